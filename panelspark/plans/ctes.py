@@ -12,8 +12,9 @@ _KEYED = """
               WHEN 'HOUSEHOLD' THEN 'F1' ELSE 'F2A' END AS category,
          CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'FAD' ELSE 'DFF' END AS "table",
          CAST(date_trunc('month', o_orderdate) AS DATE) AS bulletin_date,
-         o_orderpriority, o_orderkey, o_orderstatus
-  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"""
+         o_orderpriority, o_orderkey, o_orderstatus, replace(lower(r_name), ' ', '_') AS region
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+       JOIN region ON r_regionkey = n_regionkey"""
 _STATUS = """CASE WHEN st <> 'P' THEN 'F' WHEN k % 7 = 0 THEN 'U' WHEN k % 13 = 5 THEN 'UNK' ELSE 'C' END"""
 _RAW = """CASE WHEN st <> 'P' THEN upper(strftime(pdate, '%d%b%y')) WHEN k % 7 = 0 THEN 'U*'
           WHEN k % 13 = 5 THEN 'NA' ELSE 'C' END"""
@@ -45,6 +46,33 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         f"arg_max(o_orderstatus, o_orderkey) AS st FROM ({_KEYED}) GROUP BY ALL",
     ),
     "fine": (("fine_cells",), _panel("fine_cells", ", o_orderpriority")),
+    "region_cells": (
+        (),
+        f"SELECT region AS country, block, category, \"table\", bulletin_date, min(o_orderkey) AS k, "
+        f"arg_max(o_orderstatus, o_orderkey) AS st FROM ({_KEYED}) GROUP BY ALL",
+    ),
+    "rpanel": (("region_cells",), _panel("region_cells")),
+    "fr": (
+        ("rpanel",),
+        """SELECT country, block, category, "table", bulletin_date AS m, CAST(days_since_base AS DOUBLE) AS y
+           FROM rpanel WHERE status = 'F'""",
+    ),
+    "rank_cells": (
+        (),
+        """SELECT CASE r_name WHEN 'AMERICA' THEN 'north_america' WHEN 'MIDDLE EAST' THEN 'oceania' ELSE lower(r_name) END AS region,
+                  CAST(date_trunc('month', o_orderdate) AS DATE) AS bulletin_date, min(o_orderkey) AS k
+           FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+                JOIN region ON r_regionkey = n_regionkey GROUP BY ALL""",
+    ),
+    "ranks": (
+        ("rank_cells",),
+        """SELECT region, bulletin_date, CASE k % 9 WHEN 0 THEN 'C' WHEN 1 THEN 'U' WHEN 2 THEN 'UNK' ELSE 'F' END AS status,
+                  CASE WHEN k % 9 > 2 THEN CAST(1000 + k % 90000 AS INTEGER) END AS rank_cutoff,
+                  CASE k % 9 WHEN 0 THEN 'Current' WHEN 1 THEN 'Unavailable' WHEN 2 THEN ''
+                       WHEN 3 THEN 'AF  ' || format('{:,}', 1000 + k % 90000) || '  Except: Egypt 30,000'
+                       ELSE format('{:,}', 1000 + k % 90000) END AS raw_value,
+                  CASE WHEN k % 2 = 0 THEN 'Except: ' || (k % 100) ELSE '' END AS exceptions FROM rank_cells""",
+    ),
     "sup_cells": (
         (),
         """SELECT l_suppkey, l_returnflag, l_linestatus, CAST(date_trunc('month', l_shipdate) AS DATE) AS bulletin_date,

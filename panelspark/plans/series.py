@@ -4,29 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.config import SERIES, Protocol
+from panelspark.config import SERIES
 from panelspark.operators import series as S
 from panelspark.plans.ctes import KEY, W, register, sql
+from panelspark.plans.protocol import SHORT, obs, r6
 from panelspark.plans.registry import query
-from panelspark.sources.tables import area_panel, observed, supplier_panel
-
-# The driver tables span 80 to 83 months, so the walk-forward minimum is shorter than the published one.
-SHORT = Protocol(min_train={"FAD": 36, "DFF": 24}, min_f=48, val_tune=12, val_confirm=6)
 
 KEYD = f"{KEY}, m AS bulletin_date"
-DBL = "CAST({} AS DOUBLE)"
-
-
-def obs(spark, sf):
-    return observed(supplier_panel(spark, sf))
-
-
-def area_obs(spark, sf):
-    return observed(area_panel(spark, sf))
-
-
-def r6(*names):
-    return {n: F.round(F.col(n), 6) for n in names}
 
 
 @query(

@@ -39,19 +39,24 @@ def _raw_label(category: Column, k: Column) -> Column:
     )
 
 
-def order_cells(spark: SparkSession, sf: str, by_priority: bool = False) -> DataFrame:
+def order_cells(spark: SparkSession, sf: str, by_priority: bool = False, by_region: bool = False) -> DataFrame:
     """Published cells per (area, segment, table, month): one partial aggregation over orders.
 
-    ``by_priority`` keeps one cell per order priority, so a key has several competing cells.
+    ``by_priority`` keeps one cell per order priority, so a key has several competing cells;
+    ``by_region`` takes the five regions as areas instead of the nations.
     """
     orders = table(spark, sf, "orders")
     customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    nation = table(spark, sf, "nation")
+    area = F.when(F.col("n_nationkey") == 0, WORLD).otherwise(F.lower("n_name"))
+    if by_region:
+        nation = nation.join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        area = F.regexp_replace(F.lower("r_name"), " ", "_")
     keyed = (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
-            F.when(F.col("n_nationkey") == 0, WORLD).otherwise(F.lower("n_name")).alias("country"),
+            area.alias("country"),
             F.when(F.col("c_mktsegment").isin("HOUSEHOLD", "FURNITURE"), "family")
             .otherwise("employment")
             .alias("block"),
@@ -117,6 +122,59 @@ def area_panel(spark: SparkSession, sf: str) -> DataFrame:
     return annotate(published(order_cells(spark, sf)))
 
 
+def region_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The area panel with the five regions as areas: a dense panel over a fixed area domain."""
+    return annotate(published(order_cells(spark, sf, by_region=True)))
+
+
+REGIONS = ("africa", "america", "asia", "europe", "middle_east")
+
+
+def rank_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Regional rank cells as text, one per region and month of orders."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    region = table(spark, sf, "region").select("r_regionkey", "r_name")
+    label = (
+        F.when(F.col("r_name") == "AMERICA", "NORTH AMERICA (BAHAMAS)")
+        .when(F.col("r_name") == "MIDDLE EAST", " Oceania")
+        .otherwise(F.col("r_name"))
+    )
+    k = F.col("k")
+    number = F.format_number(1000 + k % 90000, 0)
+    raw = (
+        F.when(k % 9 == 0, "Current")
+        .when(k % 9 == 1, "Unavailable")
+        .when(k % 9 == 2, "")
+        .when(k % 9 == 3, F.concat(F.lit("AF  "), number, F.lit("  Except: Egypt 30,000")))
+        .otherwise(number)
+    )
+    return (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .groupBy("r_name", F.trunc("o_orderdate", "month").alias("bulletin_date"))
+        .agg(F.min("o_orderkey").alias("k"))
+        .select(
+            label.alias("label"),
+            "bulletin_date",
+            raw.alias("raw_value"),
+            F.when(k % 2 == 0, F.concat(F.lit("Except: "), (k % 100).cast("string"))).otherwise("").alias("exceptions"),
+        )
+    )
+
+
+def rank_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return (
+        rank_cells(spark, sf)
+        .withColumn("region", rules.region_slug(F.col("label")))
+        .withColumn("status", C.rank_status(F.col("raw_value")))
+        .withColumn("rank_cutoff", C.rank_cutoff(F.col("raw_value")))
+        .select("region", "bulletin_date", "status", "rank_cutoff", "raw_value", "exceptions")
+    )
+
+
 def supplier_panel(spark: SparkSession, sf: str) -> DataFrame:
     """One series per supplier, return flag and line status; lineitem is scanned once, without a join."""
     line = table(spark, sf, "lineitem").select(
