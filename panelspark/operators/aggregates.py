@@ -277,6 +277,23 @@ def ranking(errors: DataFrame, error: str = "mase") -> DataFrame:
     )
 
 
+def with_total_row(per_series: DataFrame) -> DataFrame:
+    """Per-series rows plus one ALL row per table: both grouping sets in one aggregation."""
+    label = [F.coalesce(F.col(c), F.lit("ALL")).alias(c) for c in ("block", "country", "category")]
+    key = [F.col(c) for c in ("table", "block", "country", "category")]
+    return (
+        per_series.groupingSets([key, [F.col("table")]], *key)
+        .agg(
+            F.sum("n").alias("n"),
+            F.round(F.avg("crps"), 6).alias("crps"),
+            F.sum("k95").alias("k95"),
+            F.round(F.sum("k95") / F.sum("n"), 6).alias("cov95"),
+            F.count(F.lit(1)).alias("n_series"),
+        )
+        .select("table", *label, "n", "crps", "k95", "cov95", "n_series")
+    )
+
+
 def acceptance(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Tuned against default per group: accepted on the mean, the median reported beside it."""
     means = pairs.groupBy(*by).agg(
