@@ -69,3 +69,32 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
 def higher_rank(q: float | Column) -> Callable[[Column], Column]:
     """1-based rank of the "higher" sample quantile: position ceil(q (n - 1)) counted from zero."""
     return lambda n: F.ceil(F.round(F.lit(q) * (n - 1), 9)) + 1
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, weights: dict[str, Column], splits: int = SPLITS) -> DataFrame:
+    """Tie-averaged ranks of ``value`` within ``keys``, one row per distinct value.
+
+    ``weights`` are aggregates carried per distinct value (such as counts of a sign). Distinct values are
+    cut into ranges; ranks are a range offset plus a local running count, so no task orders a whole group.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("n_ties"), *[w.alias(n) for n, w in weights.items()]
+    )
+    points = F.array(*[F.lit(i / splits) for i in range(1, splits)])
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, points, splits * 20).alias("_cuts"))
+    bucketed = counted.join(cuts, keys).withColumn(
+        "_b", F.size(F.filter("_cuts", lambda s: s < F.col(value)))
+    )
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        bucketed.groupBy(*keys, "_b")
+        .agg(F.sum("n_ties").alias("_bc"))
+        .select(*keys, "_b", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_lo"))
+    )
+    upto = F.sum("n_ties").over(Window.partitionBy(*keys, "_b").orderBy(value))
+    return (
+        bucketed.drop("_cuts")
+        .join(offsets, [*keys, "_b"])
+        .withColumn("rank", F.col("_lo") + upto - (F.col("n_ties") - 1) / 2.0)
+        .drop("_b", "_lo")
+    )

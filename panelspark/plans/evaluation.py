@@ -11,7 +11,7 @@ from panelspark.operators import metrics as ME
 from panelspark.operators import series as S
 from panelspark.operators import setops as SO
 from panelspark.plans.ctes import KEY, W, register, sql
-from panelspark.plans.protocol import SHORT, area_obs, obs, r6
+from panelspark.plans.protocol import SHORT, area_obs, obs, r6, settle, settle_sql
 from panelspark.plans.registry import query
 
 MINTRAIN = "CASE \"table\" WHEN 'FAD' THEN 36 ELSE 24 END"
@@ -307,7 +307,7 @@ def _intervals(spark, sf):
                               count(dy) OVER ({W} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS nd FROM d),
                  x AS (SELECT {KEY}, m, y, unnest(ds) + prev AS s FROM w WHERE nd = 24 AND y IS NOT NULL),
                  g AS (SELECT {KEY}, m, y, s, row_number() OVER (PARTITION BY {KEY}, m ORDER BY s) AS i FROM x)
-            SELECT {KEY}, count(*) AS n, round(avg(c), 8) AS crps FROM (
+            SELECT {KEY}, count(*) AS n, {settle_sql("avg(c)")} AS crps FROM (
               SELECT {KEY}, m, avg(abs(s - y)) - sum((2 * i - 25) * s) / 576 AS c FROM g GROUP BY ALL) GROUP BY ALL""",
         "slev",
     ),
@@ -319,7 +319,7 @@ def _crps(spark, sf):
     rows = rows.filter((F.size("_d") == 24) & F.col("y").isNotNull())
     samples = F.transform("_d", lambda d: d + F.col("_prev"))
     scored = rows.withColumn("samples", samples).withColumn("crps", ME.crps_of_samples(F.col("samples"), F.col("y")))
-    return scored.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("crps"), 8).alias("crps"))
+    return scored.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"), F.avg("crps").alias("crps")).withColumns(settle("crps"))
 
 
 LEVELS = ", ".join(str(q) for q in QUANTILE_LEVELS)

@@ -25,3 +25,12 @@ def region_obs(spark, sf):
 
 def r6(*names):
     return {n: F.round(F.col(n), 6) for n in names}
+
+
+def settle(*names):
+    """Six decimals with near-ties pushed up, so that both engines land on the same side of a dyadic tie."""
+    return {n: F.floor(F.col(n) * 1e6 + 0.5001) / 1e6 for n in names}
+
+
+def settle_sql(expr: str) -> str:
+    return f"floor(({expr}) * 1e6 + 0.5001) / 1e6"
