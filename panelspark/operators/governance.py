@@ -19,6 +19,12 @@ from panelspark.config import (
 from panelspark.functions.special import t_quantile
 from panelspark.operators.intervals import with_coverage_ci
 from panelspark.operators.significance import holm, wilcoxon
+from panelspark.session import stage
+
+
+def settled(x: Column) -> Column:
+    """Six decimals, near-ties upward, for reported means."""
+    return F.floor(x * 1e6 + 0.5001) / 1e6
 
 
 def score_summary(scorecard: DataFrame) -> DataFrame:
@@ -30,8 +36,8 @@ def score_summary(scorecard: DataFrame) -> DataFrame:
     sets = [[mode], [mode, h], [mode, table], [mode, origin]]
     out = scorecard.groupingSets(sets, mode, h, table, origin).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("abs_err"), 6).alias("mae_days"),
-        F.round(F.avg("scaled_err"), 6).alias("mase"),
+        settled(F.avg("abs_err")).alias("mae_days"),
+        settled(F.avg("scaled_err")).alias("mase"),
         F.sum("in80").alias("k80"),
         F.sum("in95").alias("k95"),
         F.round(F.avg("in80"), 6).alias("cov80"),
@@ -177,10 +183,12 @@ def decide(pairs: DataFrame, policy: dict = POLICY) -> DataFrame:
     Only pairs whose mode is allowed on both sides count. Too small a sample never promotes.
     """
     mode = F.col("evaluation_mode_champ")
+    # Read several times below: written once so that the scoring behind it runs once.
+    pairs = stage(pairs, "promotion-pairs")
     live = pairs.filter(mode.isin(*policy["modes_allowed"]) & (mode == F.col("evaluation_mode_shadow")))
     tables = pairs.select("table").distinct()
     vintages = live.groupBy("table").agg(F.countDistinct("origin").alias("n_vintages"), F.count(F.lit(1)).alias("n_pairs_live"))
-    kept = dedup_pairs(live)
+    kept = stage(dedup_pairs(live), "effective-pairs")
     banded = kept.withColumn("band", band_of(F.col("h"), policy["horizon_bands"]))
     coverage = banded.groupBy("table").agg(
         F.avg("in95_shadow").alias("cov95_shadow"),
@@ -269,9 +277,8 @@ def champion_challenger(errors: DataFrame, champion: str, by: list[str], margin:
     means = pairs.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_series"), F.avg("mase").alias("mean"), F.avg("_champ").alias("champion_mean")
     )
-    out = means.join(wilcoxon(pairs, group, "d"), group, "left").withColumn(
-        "p", F.coalesce("p_two", F.lit(1.0))
-    )
+    tests = wilcoxon(pairs, group, "d").select(*group, "p_two")
+    out = means.join(tests, group, "left").withColumn("p", F.coalesce("p_two", F.lit(1.0)))
     out = holm(out, by, "p", "holm_p", ["model"])
     gain = F.col("champion_mean") - F.col("mean")
     return out.withColumn("margin", gain).withColumn("holdout_pass", (F.col("holm_p") < alpha) & (gain >= margin)).select(
@@ -294,7 +301,8 @@ def significance_by_horizon(per_series: DataFrame, champion: str, baseline: str,
     means = pairs.groupBy(*group).agg(
         F.avg("champ").alias("champion_mase"), F.avg("base").alias("baseline_mase"), F.count(F.lit(1)).alias("n")
     ).filter(F.col("n") >= min_pairs)
-    out = means.join(wilcoxon(pairs, group, "d"), group, "left").withColumn("p", F.coalesce("p_two", F.lit(1.0)))
+    tests = wilcoxon(pairs, group, "d").select(*group, "p_two")
+    out = means.join(tests, group, "left").withColumn("p", F.coalesce("p_two", F.lit(1.0)))
     out = holm(out, ["table"], "p", "holm_p", ["h"])
     delta = 100 * (F.col("baseline_mase") - F.col("champion_mase")) / F.col("baseline_mase")
     return out.select(

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import stage
+
 SPLITS = 64
 
 
@@ -20,6 +22,8 @@ def order_statistic(
     rows of the located ranges are ordered. ``ranks`` maps a name to a function of the group count.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    # Read for the splitters, the range counts and the located ranges: written once.
+    counted = stage(counted, "order-statistic")
     points = F.array(*[F.lit(i / splits) for i in range(1, splits)])
     cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, points, splits * 20).alias("_cuts"))
     bucketed = counted.join(cuts, keys).withColumn(
@@ -80,6 +84,7 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, weights: dict[str,
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n_ties"), *[w.alias(n) for n, w in weights.items()]
     )
+    counted = stage(counted, "average-ranks")
     points = F.array(*[F.lit(i / splits) for i in range(1, splits)])
     cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, points, splits * 20).alias("_cuts"))
     bucketed = counted.join(cuts, keys).withColumn(

@@ -118,6 +118,14 @@ def tuning_regions(grid: DataFrame, protocol: Protocol = Protocol()) -> DataFram
     )
 
 
+def horizon_grid(obs: DataFrame, horizons: tuple[int, ...], protocol: Protocol = Protocol()) -> DataFrame:
+    """Every (series, horizon) of the evaluation grid and whether the series is long enough for it."""
+    span = month_index(F.max("bulletin_date")) - month_index(F.min("bulletin_date")) + 1
+    series = obs.groupBy(*SERIES).agg(span.alias("_span"))
+    rows = series.withColumn("h", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    return rows.select(*SERIES, "h", (F.col("_span") - min_train(protocol) >= F.col("h")).alias("feasible"))
+
+
 def tail_per_series(df: DataFrame, n: int) -> DataFrame:
     """Last ``n`` grid rows of each series."""
     w = Window.partitionBy(*SERIES).orderBy(F.col("bulletin_date").desc())
