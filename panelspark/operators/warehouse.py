@@ -490,10 +490,15 @@ def build_warehouse(
         raise ContractError(f"missing inputs: {', '.join(degradations)}")
     if sources is None:
         degradations.append("source_lineage_missing")
+    # Inputs and the keyed fact are read by dimensions, views and every contract: written once.
+    panel = stage(panel, "panel")
+    ranks = None if ranks is None else stage(ranks, "ranks")
+    raw = None if raw is None else stage(raw, "raw")
     star = build_dims(panel, ranks)
+    star.tables = {name: stage(df, name) for name, df in star.tables.items()}
     ceiling = star["dim_date"].agg(F.max("bulletin_date")).scalar()
     dated = carry_forward(fact_sha(panel), prev, PANEL_KEY, ceiling).drop("content_sha").withColumn("etl_run_id", F.lit(1))
-    star.tables["fact_priority"] = key_facts(dated, star)
+    star.tables["fact_priority"] = stage(key_facts(dated, star), "fact-priority")
     enforce(star["fact_priority"], priority_contract(star), "fact_priority")
     enforce(star["dim_category"], category_contract(), "dim_category")
     enforce(star["dim_date"], date_contract(), "dim_date")

@@ -71,7 +71,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                   CASE k % 9 WHEN 0 THEN 'Current' WHEN 1 THEN 'Unavailable' WHEN 2 THEN ''
                        WHEN 3 THEN 'AF  ' || format('{:,}', 1000 + k % 90000) || '  Except: Egypt 30,000'
                        ELSE format('{:,}', 1000 + k % 90000) END AS raw_value,
-                  CASE WHEN k % 2 = 0 THEN 'Except: ' || (k % 100) ELSE '' END AS exceptions FROM rank_cells""",
+                  CASE k % 4 WHEN 0 THEN 'Except: Egypt' WHEN 2 THEN 'Except: Nigeria' ELSE '' END AS exceptions FROM rank_cells""",
     ),
     "sup_cells": (
         (),

@@ -30,7 +30,7 @@ def build_session(app: str = "panelspark", cores: int | str = "*", **conf: str)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("FATAL")
     return spark
 
 

@@ -160,7 +160,7 @@ def rank_cells(spark: SparkSession, sf: str) -> DataFrame:
             label.alias("label"),
             "bulletin_date",
             raw.alias("raw_value"),
-            F.when(k % 2 == 0, F.concat(F.lit("Except: "), (k % 100).cast("string"))).otherwise("").alias("exceptions"),
+            F.when(k % 4 == 0, "Except: Egypt").when(k % 4 == 2, "Except: Nigeria").otherwise("").alias("exceptions"),
         )
     )
 
