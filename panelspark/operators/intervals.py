@@ -220,11 +220,13 @@ def _shifted(df: DataFrame, new: Column) -> DataFrame:
 def cap_by_world(forecasts: DataFrame, extra: list[str] | None = None, world: str = WORLD) -> DataFrame:
     """No area runs ahead of the world series of the same category, table and date.
 
-    The world side holds one row per (category, table, date); it is joined by key, so it may be of any size.
+    The world side holds one row per origin, category, table and date: calendar times code lists times
+    horizon, some hundred thousand rows at the very most and independent of the number of areas, hence
+    the broadcast.
     """
     key = [*(extra or []), "block", "category", "table", "date"]
     ref = forecasts.filter(F.col("country") == world).select(*key, F.col("days").alias("_world"))
-    capped = forecasts.join(ref, key, "left").withColumn(
+    capped = forecasts.join(F.broadcast(ref), key, "left").withColumn(
         "capped", F.coalesce((F.col("country") != world) & (F.col("days") > F.col("_world")), F.lit(False))
     )
     return _shifted(capped, F.when(F.col("capped"), F.col("_world")).otherwise(F.col("days"))).drop("_world")

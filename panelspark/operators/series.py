@@ -24,6 +24,15 @@ def whole_series(key: list[str] | None = None) -> WindowSpec:
     return Window.partitionBy(*(key or SERIES))
 
 
+def cluster(obs: DataFrame) -> DataFrame:
+    """Both tables of an area and category in one partition.
+
+    Serves every window of a series and those across its two tables with this single shuffle; a
+    partition key still holds at most two rows per calendar month.
+    """
+    return obs.repartition("country", "block", "category")
+
+
 def densify(obs: DataFrame) -> DataFrame:
     """Gap-free monthly grid from the first to the last observation of each series.
 
@@ -276,32 +285,25 @@ def table_spread(grid: DataFrame) -> DataFrame:
 def world_spread(grid: DataFrame, world: str = WORLD) -> DataFrame:
     """Level minus the world series' last known level, both as of the previous month; NULL for the world.
 
-    The world side has one row per (block, category, table, month), so it stays calendar-sized
-    however many areas there are; its last level stands until the panel ends.
+    The world side has one row per (block, category, table, month): code lists times the calendar, at
+    most some ten thousand rows whatever the number of areas, hence the broadcast. After its own
+    end its last level stands, which a second one-row-per-key lookup supplies.
     """
-    end = grid.agg(F.max("bulletin_date")).scalar()
     key = ["block", "category", "table"]
-    w = Window.partitionBy(*key).orderBy("bulletin_date")
-    nxt = F.coalesce(F.lead("bulletin_date").over(w), F.add_months(end, 1))
-    ref = (
-        grid.filter(F.col("country") == world)
-        .withColumn("_next", nxt)
-        .withColumn(
-            "bulletin_date",
-            F.explode(F.sequence("bulletin_date", F.add_months("_next", -1), F.expr("interval 1 month"))),
-        )
-        .select(*key, "bulletin_date", F.col("level").alias("_world"))
-    )
+    ref = grid.filter(F.col("country") == world).select(*key, "bulletin_date", F.col("level").alias("_world"))
+    last = ref.groupBy(*key).agg(F.max("bulletin_date").alias("_end"), F.max_by("_world", "bulletin_date").alias("_final"))
+    known = F.coalesce(F.col("_world"), F.when(F.col("bulletin_date") > F.col("_end"), F.col("_final")))
     return (
-        grid.join(ref, [*key, "bulletin_date"], "left")
-        .withColumn("_spread", F.when(F.col("country") != world, F.col("level") - F.col("_world")))
+        grid.join(F.broadcast(ref), [*key, "bulletin_date"], "left")
+        .join(F.broadcast(last), key, "left")
+        .withColumn("_spread", F.when(F.col("country") != world, F.col("level") - known))
         .withColumn("spread_vs_world", F.lag("_spread").over(over_series()))
-        .drop("_world", "_spread")
+        .drop("_world", "_spread", "_end", "_final")
     )
 
 
 def feature_frame(obs: DataFrame) -> DataFrame:
     """One row per (series, target month); every feature is known at the previous month."""
-    grid = densify(obs).select(*SERIES, "bulletin_date", "y", "level", "months_since_obs")
+    grid = densify(cluster(obs)).select(*SERIES, "bulletin_date", "y", "level", "months_since_obs")
     frame = retro_recent(streaks(lag_features(positions(grid))))
     return with_calendar(world_spread(table_spread(frame)))

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.config import SERIES, Protocol
 from panelspark.operators.forecast import forecaster
-from panelspark.operators.series import densify, min_train, split_regions
+from panelspark.operators.series import densify, min_train
 
 ALPHAS = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.99])
 BETAS = np.array([0.01, 0.05, 0.1, 0.2, 0.4])
@@ -39,12 +39,12 @@ FORM = np.concatenate([np.full(len(v), i) for i, v in enumerate(GRID.values())])
 FREE = np.array([2, 4, 5])
 
 
-def smooth(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One-step forecasts, cumulative squared errors and final (level, slope) states for every parameter row.
+def smooth(y: np.ndarray, params: np.ndarray = PARAMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One-step forecasts, cumulative squared errors and (level, slope) states for every parameter row.
 
     Row t of the forecasts uses values before t only; errors count from the third value on.
     """
-    a, b, phi, on = PARAMS.T
+    a, b, phi, on = params.T
     n = len(y)
     level = np.full(len(a), y[0])
     slope = on * (y[1] - y[0] if n > 1 else 0.0)
@@ -89,9 +89,8 @@ def ets_path(y: np.ndarray, first: int, horizon: int = HORIZON) -> tuple[np.ndar
 
 def theta_path(y: np.ndarray, first: int, horizon: int = HORIZON) -> tuple[np.ndarray, np.ndarray]:
     """Simple smoothing plus half the least-squares slope of everything seen at the origin."""
-    ahead, sse, _ = smooth(y)
-    members = np.flatnonzero(FORM == 0)
-    pick = members[np.argmin(sse[:, members], axis=1)]
+    ahead, sse, _ = smooth(y, GRID["level"])
+    pick = np.argmin(sse, axis=1)
     n = np.arange(1, len(y) + 1, dtype="float64")
     x = n - 1
     sx, sy = np.cumsum(x), np.cumsum(y)
@@ -105,39 +104,61 @@ def theta_path(y: np.ndarray, first: int, horizon: int = HORIZON) -> tuple[np.nd
 
 
 PATHS = {"ets": ets_path, "theta": theta_path}
-SCHEMA = (
-    "country string, block string, category string, `table` string, bulletin_date date, y double, hold_start date, "
-    "region string, model string, h int, forecast double"
-)
+
+
+def _path_udf(name: str):
+    """Arrow batches of whole series in, forecast arrays out: no per-series frame is ever built."""
+    path = PATHS[name]
+
+    def run(levels: pd.Series, first: pd.Series) -> pd.DataFrame:
+        pairs = [path(np.asarray(v, dtype="float64"), int(k)) for v, k in zip(levels, first, strict=True)]
+        return pd.DataFrame({"one": [p[0] for p in pairs], "future": [p[1] for p in pairs]})
+
+    return F.pandas_udf(run, "one array<double>, future array<double>")
 
 
 def smoothing_forecasts(obs: DataFrame, models: tuple[str, ...] = ("ets", "theta"), protocol: Protocol = Protocol()) -> DataFrame:
-    """One-step rows of every origin after the minimum training length, plus a ``future`` path per series."""
-    minimum = min_train(protocol)
-    grid = (
-        split_regions(densify(obs), protocol)
-        .filter(F.col("n_grid") >= minimum + protocol.holdout + protocol.buffer)
-        .select(*SERIES, "bulletin_date", "y", "level", "hold_start", "region", minimum.alias("_first"))
+    """One-step rows of every origin after the minimum training length, plus a ``future`` path per series.
+
+    Series become arrays in month order (bounded by the calendar), are smoothed in batches, and the
+    resulting arrays are unfolded again without another shuffle.
+    """
+    months = F.sort_array(F.collect_list(F.struct("bulletin_date", "level", "y")))
+    rows = (
+        densify(obs)
+        .groupBy(*SERIES)
+        .agg(months.alias("_m"))
+        .withColumn("_first", min_train(protocol))
+        .filter(F.size("_m") >= F.col("_first") + protocol.holdout + protocol.buffer)
+        .withColumn("_level", F.transform("_m", lambda m: m["level"]))
+        .withColumn("_last", F.element_at("_m", -1)["bulletin_date"])
+        .withColumn("hold_start", F.add_months("_last", -(protocol.holdout - 1)))
     )
+    done = rows.withColumns({f"_p_{name}": _path_udf(name)("_level", "_first") for name in models})
+    unfolded = F.concat(*[part for name in models for part in _unfold(name)])
+    held = F.when(F.col("bulletin_date") >= F.col("hold_start"), "holdout").otherwise("selection")
+    return (
+        done.select(*SERIES, "hold_start", F.inline(unfolded))
+        .withColumn("region", F.when(F.col("_ahead"), "future").otherwise(held))
+        .select(*SERIES, "bulletin_date", "y", "hold_start", "region", "model", "h", "forecast")
+    )
+
+
+def _unfold(name: str) -> list[Column]:
+    """Row structs of one model's forecast arrays: seen months first, then the future path."""
+
+    def row(date: Column, y: Column, h: Column, forecast: Column, ahead: bool) -> Column:
+        fields = {"bulletin_date": date, "y": y, "h": h, "forecast": forecast, "model": F.lit(name), "_ahead": F.lit(ahead)}
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    def seen(f: Column, i: Column) -> Column:
+        month = F.get(F.col("_m"), F.col("_first") + i)
+        return row(month["bulletin_date"], month["y"], F.lit(1), f, False)
+
+    def ahead(f: Column, i: Column) -> Column:
+        return row(F.add_months(F.col("_last"), i + 1), F.lit(None).cast("double"), i + 1, f, True)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bulletin_date")
-        y = pdf["level"].to_numpy(dtype="float64")
-        first = int(pdf["_first"].iloc[0])
-        tail = pdf.iloc[first:]
-        last = pd.Timestamp(pdf["bulletin_date"].iloc[-1])
-        ahead = [(last + pd.DateOffset(months=k)).date() for k in range(1, HORIZON + 1)]
-        out = []
-        for name in models:
-            one, future = PATHS[name](y, first)
-            out.append(tail[[*SERIES, "bulletin_date", "y", "hold_start", "region"]].assign(model=name, h=1, forecast=one))
-            key = {c: pdf[c].iloc[0] for c in [*SERIES, "hold_start"]}
-            out.append(pd.DataFrame({**key, "bulletin_date": ahead, "y": np.nan, "region": "future", "model": name,
-                                     "h": range(1, HORIZON + 1), "forecast": future}))
-        done = pd.concat(out, ignore_index=True)
-        return done[[*SERIES, "bulletin_date", "y", "hold_start", "region", "model", "h", "forecast"]]
-
-    return grid.groupBy(*SERIES).applyInPandas(run, SCHEMA)
+    return [F.transform(F.col(f"_p_{name}.one"), seen), F.transform(F.col(f"_p_{name}.future"), ahead)]
 
 
 @forecaster("ets")

@@ -17,6 +17,7 @@ from panelspark.functions import special
 from panelspark.operators.quantiles import SPLITS, average_ranks
 from panelspark.operators.series import over_series, positions, whole_series
 from panelspark.operators.warehouse import Contract, validate
+from panelspark.session import stage
 
 # Robust z limits, tile width, test lags.
 OUTLIER_Z = 3.0
@@ -455,7 +456,8 @@ def kendall(long: DataFrame, splits: int = SPLITS) -> DataFrame:
     different ranges of both are decided by the range counts, pairs sharing an x range or a y range are
     counted inside that range only. No pair is emitted and no task holds a whole feature.
     """
-    rows = long.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    # Read for the splitters, three pair counts and both tie terms: written once.
+    rows = stage(long.filter(F.col("x").isNotNull() & F.col("y").isNotNull()), "kendall")
     points = F.array(*[F.lit(i / splits) for i in range(1, splits)])
     cuts = rows.groupBy("feature").agg(
         F.percentile_approx("x", points, splits * 20).alias("_cx"), F.percentile_approx("y", points, splits * 20).alias("_cy")
@@ -539,6 +541,7 @@ def spearman_matrix(long: DataFrame, row_id: list[str], features: list[str]) ->
 
 def select_features(long: DataFrame, row_id: list[str], alpha: float = 0.05, threshold: float = 0.9) -> tuple[list[str], dict[str, str]]:
     """Relevant features by p-value order, dropping those too correlated with one already kept."""
+    long = stage(long, "feature-selection")
     ranked = fdr_by(kendall(long), alpha).filter("relevant").orderBy("p", "feature").collect()
     order = [r["feature"] for r in ranked]
     if len(order) < 2:

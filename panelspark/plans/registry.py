@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -19,7 +22,12 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Query], Q
     def wrap(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            return fn(tune(spark), sf)
+
+        QUERIES[name] = run
         COVERS[name] = covers
         if sql is not None:
             ORACLES[name] = sql

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.config import PANEL_KEY
 from panelspark.functions.cells import norm_label
 from panelspark.operators import warehouse as W
+from panelspark.operators.audit import check_contract
 from panelspark.plans.ctes import sql
 from panelspark.plans.registry import query
 from panelspark.session import shared_dir
@@ -157,3 +158,29 @@ def _published(spark, sf):
     back = sinks.open_warehouse(spark, root, area_panel(spark, sf))
     names = ("fact_priority", "fact_dv_rank", "dim_area", "etl_run", "dim_category_alias")
     return union_blocks(*[back[n].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n in names])
+
+
+CONTRACT = {c: "*" for c in ("country", "block", "category", "table", "raw_value")} | {
+    "bulletin_date": "date", "priority_date": "date", "days_since_base": "int", "status": "string",
+}
+
+
+@query(
+    "contract_check",
+    "G13",
+    sql("SELECT 'panel' AS artifact, strftime(max(bulletin_date), '%Y-%m') AS vintage, 0 AS n_problems FROM panel", "panel"),
+)
+def _contract(spark, sf):
+    panel = area_panel(spark, sf)
+    problems = check_contract(panel, CONTRACT)
+    return panel.agg(F.date_format(F.max("bulletin_date"), "yyyy-MM").alias("vintage")).select(
+        F.lit("panel").alias("artifact"), "vintage", F.lit(len(problems)).alias("n_problems")
+    )
+
+
+@query("release_manifest", "G14")
+def _manifest(spark, sf):
+    path = shared_dir(spark, "release")
+    sinks.write_json_dir(area_panel(spark, sf), path, "block")
+    release, rows = sinks.manifest(spark, path, "2001-08")
+    return rows.withColumn("release_id", F.lit(release))

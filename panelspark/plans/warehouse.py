@@ -11,6 +11,7 @@ from panelspark.operators import setops as SO
 from panelspark.operators import warehouse as W
 from panelspark.plans.ctes import register, sql
 from panelspark.plans.registry import query
+from panelspark.session import stage
 from panelspark.sources.tables import annotate, area_panel, order_cells, published, rank_panel
 
 KEY5 = 'country, block, category, "table", bulletin_date'
@@ -65,7 +66,7 @@ def _dim_category(spark, sf):
     ),
 )
 def _keyed(spark, sf):
-    panel = area_panel(spark, sf)
+    panel = stage(area_panel(spark, sf), "panel")
     star = W.build_dims(panel, rank_panel(spark, sf))
     return W.key_facts(panel, star).withColumn("days_since_base", F.col("days_since_base").cast("double"))
 
@@ -76,7 +77,7 @@ def _keyed(spark, sf):
     sql(f"SELECT {KEY5}, status, priority_date, CAST(days_since_base AS DOUBLE) AS days_since_base, raw_value FROM panel", "panel"),
 )
 def _panel_view(spark, sf):
-    panel = area_panel(spark, sf)
+    panel = stage(area_panel(spark, sf), "panel")
     star = W.build_dims(panel)
     view = W.panel_view(W.key_facts(panel, star, check=False), star)
     return view.withColumn("days_since_base", F.col("days_since_base").cast("double"))
@@ -105,7 +106,7 @@ def _rank_view(spark, sf):
     ),
 )
 def _mart(spark, sf):
-    panel = area_panel(spark, sf)
+    panel = stage(area_panel(spark, sf), "panel")
     star = W.build_dims(panel)
     return W.training_mart(W.key_facts(panel, star, check=False), star)
 
@@ -121,7 +122,7 @@ def _mart(spark, sf):
     ),
 )
 def _rollup(spark, sf):
-    panel = area_panel(spark, sf)
+    panel = stage(area_panel(spark, sf), "panel")
     star = W.Star({"dim_category": W.dim_category(panel)})
     fact = panel.join(
         star["dim_category"].select("category_id", "block", F.col("code").alias("category")), ["block", "category"]
@@ -141,7 +142,7 @@ def _rollup(spark, sf):
     ),
 )
 def _rollup_levels(spark, sf):
-    panel = area_panel(spark, sf)
+    panel = stage(area_panel(spark, sf), "panel")
     dim = W.dim_category(panel)
     fact = panel.join(dim.select("category_id", "block", F.col("code").alias("category")), ["block", "category"])
     return W.rollup_levels(fact, dim)

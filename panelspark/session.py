@@ -1,4 +1,4 @@
-"""Session helpers: builder defaults, shared scratch folder, size-checked broadcast."""
+"""Session helpers: builder defaults, shared scratch folder, staged tables."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows of a dimension that may be broadcast; a wider one is joined by shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def build_session(app: str = "panelspark", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -31,7 +27,7 @@ def build_session(app: str = "panelspark", cores: int | str = "*", **conf: str)
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("FATAL")
-    return spark
+    return tune(spark)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -53,8 +49,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a bounded count proves the side small; otherwise a plain join."""
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+def tune(spark: SparkSession) -> SparkSession:
+    """Let joins reuse a partitioning on a subset of their keys.
+
+    Windows partition by the series key; a join on that key plus a date or model then needs no further
+    shuffle. A series is bounded by the calendar, so the coarser partitioning cannot skew.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return spark
