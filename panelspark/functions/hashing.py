@@ -32,8 +32,9 @@ def short_sha1(*texts: Column) -> Column:
 def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Order-independent fingerprint of a multiset of rows, in one partial aggregation.
 
-    Each row contributes its sha256; four 8-hex-digit slices are summed. Sums commute, so no
-    sort, no collected list and no hot bucket whatever the row order or partitioning.
+    Each row contributes its sha256; four 8-hex-digit slices are summed as decimals wide enough for any
+    row count. Sums commute, so no sort, no collected list and no hot bucket whatever the row order or
+    partitioning.
     """
     names = sorted(columns or df.columns)
     texts = []
@@ -47,7 +48,7 @@ def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFr
         df.select(digest.alias("_sha"))
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
-            *[F.coalesce(F.sum(p), F.lit(0)).cast("bigint").alias(f"s{i}") for i, p in enumerate(piece)],
+            *[F.coalesce(F.sum(p.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i, p in enumerate(piece)],
         )
         .select(
             "n_rows",

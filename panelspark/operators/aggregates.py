@@ -342,7 +342,7 @@ def increment_corr(obs: DataFrame, areas: tuple[str, ...]) -> DataFrame:
             for a, b in pairs
         ]
     )
-    return out.select("block", "category", "table", F.inline(rows))
+    return out.select("block", "category", "table", F.inline(rows)).filter(F.col("n_months") > 0)
 
 
 def lead_lag(obs: DataFrame, areas: tuple[str, ...], max_lag: int = 6) -> DataFrame:

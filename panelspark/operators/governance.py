@@ -98,7 +98,7 @@ def performance_drift(scorecard: DataFrame, ratio: float = PERF_RATIO, floor: fl
     """Latest vintage against older ones on the same horizons; one row with both flags."""
     newest = scorecard.agg(F.max("origin")).scalar()
     tagged = scorecard.withColumn("_latest", F.col("origin") == newest)
-    horizons = tagged.filter("_latest").select("h").distinct()
+    horizons = F.broadcast(tagged.filter("_latest").select("h").distinct())  # at most one row per horizon
     matched = tagged.join(horizons, "h", "left_semi")
     latest, base = F.col("_latest"), ~F.col("_latest")
     row = matched.agg(

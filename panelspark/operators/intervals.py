@@ -101,7 +101,8 @@ def bands(points: DataFrame, scales: DataFrame | None = None) -> DataFrame:
     """Adds ``half80``, ``half95`` and ``band_method`` to rows with ``table``, ``h`` and one-step ``half``."""
     if scales is None:
         return points.withColumns(band_halves(F.col("half"), F.col("h")))
-    wide = pivot_scales(scales)
+    # At most tables x horizons rows.
+    wide = F.broadcast(pivot_scales(scales))
     joined = points.join(wide, ["table", "h"], "left")
     return joined.withColumns(band_halves(F.col("half"), F.col("h"), F.col("q80"), F.col("q95"))).drop("q80", "q95")
 
@@ -109,7 +110,7 @@ def bands(points: DataFrame, scales: DataFrame | None = None) -> DataFrame:
 def validate_scales(errors: DataFrame, scales: DataFrame) -> DataFrame:
     """Held-out coverage of the calibrated scales per (table, level), with its interval and n."""
     hits = (
-        errors.join(scales.select("table", "level", "h", "scale"), ["table", "h"])
+        errors.join(F.broadcast(scales.select("table", "level", "h", "scale")), ["table", "h"])
         .groupBy("table", "level")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("std") <= F.col("scale")).alias("k"))
     )

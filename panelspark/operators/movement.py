@@ -73,7 +73,7 @@ def bulletin_feed(panel: DataFrame, months: int = 24) -> DataFrame:
     step = F.when(both, F.datediff("priority_date", F.lag("priority_date").over(w)))
     return (
         panel.withColumns({"_step": step, "_prev": F.lag("bulletin_date").over(w)})
-        .join(calendar, "bulletin_date")
+        .join(F.broadcast(calendar), "bulletin_date")  # at most ``months`` rows
         .select(
             *SERIES,
             "bulletin_date",

@@ -35,7 +35,8 @@ def missing_months(panel: DataFrame, by: list[str], allowed: DataFrame | None =
     expected = bounds.select(*by, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month"))).alias("bulletin_date"))
     out = expected.join(present, [*by, "bulletin_date"], "left_anti")
     if allowed is not None:
-        out = out.join(allowed.select("bulletin_date"), "bulletin_date", "left_anti")
+        # Distinct months: at most one row per calendar month.
+        out = out.join(F.broadcast(allowed.select("bulletin_date").distinct()), "bulletin_date", "left_anti")
     return out.select(*by, "bulletin_date")
 
 

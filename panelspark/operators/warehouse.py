@@ -201,19 +201,22 @@ def build_dims(panel: DataFrame, ranks: DataFrame | None = None) -> Star:
 def key_facts(panel: DataFrame, star: Star, check: bool = True) -> DataFrame:
     """Natural keys to surrogate keys, m:1 on every dimension.
 
-    The calendar- and code-bounded dimensions are small by their own statistics, so the planner
-    broadcasts them; an area dimension too large for that is joined by shuffle.
+    Category, table and date are bounded by code lists and the calendar and are broadcast; the area
+    dimension has no such bound, so the planner decides from its size.
     """
     if check:
         require_unique(star["dim_area"], "slug")
         require_unique(star["dim_category"], "block", "code")
         require_unique(star["dim_date"], "bulletin_date")
     extra = [c for c in panel.columns if c not in PANEL_COLS]
+    category = star["dim_category"].select("category_id", "block", F.col("code").alias("category"))
+    table = star["dim_table"].select("table_id", F.col("code").alias("table"))
+    date = star["dim_date"].select("date_id", "bulletin_date")
     return (
         panel.join(star["dim_area"].select("area_id", F.col("slug").alias("country")), "country")
-        .join(star["dim_category"].select("category_id", "block", F.col("code").alias("category")), ["block", "category"])
-        .join(star["dim_table"].select("table_id", F.col("code").alias("table")), "table")
-        .join(star["dim_date"].select("date_id", "bulletin_date"), "bulletin_date")
+        .join(F.broadcast(category), ["block", "category"])
+        .join(F.broadcast(table), "table")
+        .join(F.broadcast(date), "bulletin_date")
         .select(
             "area_id", "category_id", "table_id", "date_id", "status", "priority_date", "days_since_base", "raw_value",
             *extra,
@@ -230,14 +233,12 @@ def key_ranks(ranks: DataFrame, star: Star) -> DataFrame:
 
 
 def _joined(fact: DataFrame, star: Star) -> DataFrame:
+    category = star["dim_category"].select("category_id", "block", F.col("code").alias("category"), "preference_level")
     return (
         fact.join(star["dim_area"].select("area_id", F.col("slug").alias("country")), "area_id")
-        .join(
-            star["dim_category"].select("category_id", "block", F.col("code").alias("category"), "preference_level"),
-            "category_id",
-        )
-        .join(star["dim_table"].select("table_id", F.col("code").alias("table")), "table_id")
-        .join(star["dim_date"], "date_id")
+        .join(F.broadcast(category), "category_id")
+        .join(F.broadcast(star["dim_table"].select("table_id", F.col("code").alias("table"))), "table_id")
+        .join(F.broadcast(star["dim_date"]), "date_id")
     )
 
 
