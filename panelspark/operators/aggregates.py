@@ -11,7 +11,7 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.config import BUFFER, DAYS_PER_YEAR, REGIMES, SERIES, Protocol
+from panelspark.config import DAYS_PER_YEAR, REGIMES, SERIES, Protocol
 from panelspark.functions.cells import fiscal_year, month_index, strip
 from panelspark.operators.quantiles import exact_median
 from panelspark.operators.series import difference, min_train, over_series

@@ -12,7 +12,6 @@ from panelspark.config import (
     ALPHA,
     BAND80_RATIO,
     MIN_CELL_N,
-    SERIES,
     SMALL_N,
     WORLD,
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.config import PANEL_KEY
 from panelspark.operators import audit as AU
 from panelspark.operators import ledger as L
-from panelspark.plans.ctes import KEY, W, register, sql
+from panelspark.plans.ctes import KEY, register, sql
 from panelspark.plans.registry import query
 from panelspark.sources.tables import annotate, area_panel, order_cells, published, rank_panel
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.config import HORIZONS, SERIES, WORLD
-from panelspark.functions.hashing import table_fingerprint
 from panelspark.operators import aggregates as A
 from panelspark.operators import forecast as FC
 from panelspark.operators import governance as G
@@ -13,10 +12,10 @@ from panelspark.operators import ledger as L
 from panelspark.operators import metrics as ME
 from panelspark.operators import series as S
 from panelspark.operators import significance as SG
-from panelspark.plans.ctes import KEY, W, register, sql
+from panelspark.plans.ctes import KEY, register, sql
 from panelspark.plans.evaluation import MINTRAIN, backtest_report
-from panelspark.plans.ledger import SHADOW, ledger, quarter_origins, score, stamped, vintage_rows
-from panelspark.plans.protocol import SHORT, obs, r6, settle, settle_sql
+from panelspark.plans.ledger import SHADOW, ledger, score, stamped, vintage_rows
+from panelspark.plans.protocol import SHORT, obs, r6, settle_sql
 from panelspark.plans.registry import query
 from panelspark.sources.tables import area_panel, supplier_panel
 

@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from panelspark.config import PANEL_KEY
 from panelspark.functions.cells import norm_label
+from panelspark.functions.rules import panel_category
 from panelspark.operators import warehouse as W
 from panelspark.operators.audit import check_contract
+from panelspark.operators.setops import union_blocks
 from panelspark.plans.ctes import sql
 from panelspark.plans.registry import query
 from panelspark.session import shared_dir
 from panelspark.sources import sinks
 from panelspark.sources import snapshots as SN
-from panelspark.sources.tables import annotate, area_panel, order_cells, published, rank_cells, rank_panel
+from panelspark.sources.tables import annotate, area_panel, order_cells, published, rank_cells, rank_panel, table
 
 KEY5 = 'country, block, category, "table", bulletin_date'
 TITLES = {"employment": "Employment-based", "family": "Family-Sponsored"}
@@ -103,8 +105,6 @@ def _page_ranks(spark, sf):
          SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(date_trunc('month', o_orderdate) AS DATE) END AS m FROM orders) GROUP BY ALL""",
 )
 def _months(spark, sf):
-    from panelspark.sources.tables import table
-
     month = F.date_format("o_orderdate", "MMMM")
     infix = F.when(F.col("o_orderkey") % 2 == 0, "for-").otherwise("")
     name = F.concat(F.lit("/data/visa-bulletin-"), infix, month, F.lit("-"), F.year("o_orderdate").cast("string"), F.lit(".html"))
@@ -148,9 +148,6 @@ def _parquet(spark, sf):
     ),
 )
 def _published(spark, sf):
-    from panelspark.functions.rules import panel_category
-    from panelspark.operators.setops import union_blocks
-
     raw = published(order_cells(spark, sf)).withColumn("category", panel_category(F.col("block"), F.col("raw_category")))
     star = W.build_warehouse(area_panel(spark, sf), rank_panel(spark, sf), raw)
     root = shared_dir(spark, "warehouse")

@@ -10,7 +10,6 @@ from panelspark.operators import metrics as ME
 from panelspark.operators import series as S
 from panelspark.operators import stats as ST
 from panelspark.plans.ctes import KEY, W, register, sql
-from panelspark.plans.evaluation import MINTRAIN
 from panelspark.plans.governance import series_errors
 from panelspark.plans.protocol import SHORT, obs, r6
 from panelspark.plans.registry import query
