@@ -266,7 +266,9 @@ def groups(fps: DataFrame, doc_id: str = "doc_id", bucket: int = BUCKET) -> Data
     lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
     linked = linked.join(lowest, "root").select("fp", "root", "lowest")
     out = firsts.join(linked, "fp", "left")
-    return out.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("lowest", "first").alias("component_id"))
+    out = out.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("lowest", "first").alias("component_id"))
+    # written, so that a join with all documents has plain shuffles on both sides, whose hot keys Spark splits
+    return stage(out, "groups")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
