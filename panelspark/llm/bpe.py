@@ -29,7 +29,9 @@ from panelspark.llm.memo import Memo, spaced
 
 #: White space as rank-file tokenizers know it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PAIRS = 1 << 20
+#: Pairs of tokens, and matches without a space before them, that a Python worker remembers at most.
+PAIRS = 1 << 18
+OTHERS = 1 << 16
 
 
 def exact_pattern(pattern: str) -> regex.Pattern:
@@ -54,8 +56,8 @@ class Bpe:
         self.made = {pair: i for i, pair in self.parts.items()}
         self.shorter = Memo(self._shorter, len(ranks) + 1)
         self.compatible = Memo(self._compatible, PAIRS)
-        self.match_ids = Memo(lambda m: array("i", self.encode_match(m.encode("utf-8", "surrogatepass"))).tobytes())
-        self.word_ids = Memo(lambda w: self._joined(" " + w))
+        self.other_ids = Memo(self._match, OTHERS)
+        self.word_ids = Memo(self._word)
 
     def _parts(self, token: bytes, rank: int) -> tuple[int, int]:
         pieces = [token[i : i + 1] for i in range(len(token))]
@@ -120,26 +122,38 @@ class Bpe:
                 at -= size[token]
         return out
 
+    def _match(self, match: str) -> bytes:
+        return array("i", self.encode_match(match.encode("utf-8", "surrogatepass"))).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and what follows it up to the next."""
+        return self._match(" " + word) if word.isalpha() else self._joined(" " + word)
+
     def _joined(self, text: str) -> bytes:
-        if text[1:].isalpha() and text[0] == " ":
-            return self.match_ids[text]
-        return b"".join(map(self.match_ids.__getitem__, self.pattern.findall(text)))
+        # a match of a space and letters is remembered as a word, any other by itself
+        found = self.pattern.findall(text)
+        return b"".join([self.word_ids[m[1:]] if m[0] == " " and m[1:].isalpha() else self.other_ids[m] for m in found])
 
     def encode(self, text: str) -> bytes:
         """Token ids of a text as 32-bit integers laid end to end."""
         first, *rest = spaced(text)
         return self._joined(first) + b"".join(map(self.word_ids.__getitem__, rest)) if rest else self._joined(first)
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as file:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
 @functools.cache
 def load(path: str, pattern: str) -> Bpe:
     """The encoder of a rank file, once for each Python process."""
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file) if rank}
-    return Bpe(ranks, pattern)
+    return Bpe(read_ranks(path), pattern)
+
+
+@functools.cache
+def load_tokens(path: str) -> dict[int, bytes]:
+    """The bytes of each token: all that decoding needs."""
+    return {rank: token for token, rank in read_ranks(path).items()}
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", passed: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -157,11 +171,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", passed:
     return map_texts(docs, text, passed, [field("ids", "array<int>")], start)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", passed: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
+def decode_ids(tokens: dict[int, bytes], ids: Iterable[int]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids))
+
+
+def decode(encoded: DataFrame, path: str, ids: str = "ids", passed: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
     """``passed`` columns and ``decoded``, the bytes of every row's tokens; null ids give null."""
 
     def start():
-        bpe = load(path, pattern)
-        return lambda rows: [[None if r is None else bpe.decode(r) for r in rows.to_pylist()]]
+        tokens = load_tokens(path)
+        return lambda rows: [[None if r is None else decode_ids(tokens, r) for r in rows.to_pylist()]]
 
     return map_texts(encoded, ids, passed, [field("decoded", "binary")], start)
