@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelspark.llm.common import PART_ROWS
-from panelspark.llm.memo import ENTRIES, spaced
+from panelspark.llm.memo import spaced
 from panelspark.session import shared_dir, stage
 
 #: Fixed values of the coding: how many ids a word holds under selectors 0 to 15, and their bits (0: all are zero).
@@ -40,6 +41,8 @@ ESCAPE = np.uint64((15 << 60) | ((1 << 60) - 1))
 PAYLOAD = np.uint64((1 << 60) - 1)
 MAGIC = b"S8IDS\x00\x00\x01"
 BLOCK_IDS = 1 << 16
+#: Words whose ids a Python worker remembers at most.
+ENTRIES = 1 << 21
 
 
 def pack(values: np.ndarray) -> np.ndarray:
@@ -57,7 +60,10 @@ def pack(values: np.ndarray) -> np.ndarray:
             more = min(width, k - width)
             fit = fit[:-more] & fit[more:]
             width += more
-        choice[fit[:n]] = s
+            if not fit.any():
+                break
+        else:
+            choice[fit[:n]] = s
     steps, places, at = COUNTS[choice].tolist(), [], 0
     while at < n:
         places.append(at)
@@ -99,6 +105,13 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is visible, else one from U+0100 on."""
+    seen = {b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()}
+    unseen = [b for b in range(256) if b not in seen]
+    return {**{b: chr(b) for b in seen}, **{b: chr(256 + i) for i, b in enumerate(unseen)}}
+
+
 class Words(dict):
     """Ids of words as far as they are known; ``asked`` collects those that are not."""
 
@@ -127,16 +140,25 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.by_word = bool(byte_level and not spec.get("normalizer") and not spec["model"].get("dropout"))
         self.first, self.later = Words(""), Words(" ")
+        self.model, self.letters = self.library.model, byte_letters()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and letters, which are one piece: straight from the library's model."""
+        letters = f" {word}".encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: Words) -> None:
         if words.asked:
-            new = list(words.asked)
-            if len(words) + len(new) > ENTRIES:
+            if len(words) + len(words.asked) > ENTRIES:
                 words.clear()
-            words.update(zip(new, self.whole([words.before + w for w in new]), strict=True))
+            plain = [w for w in words.asked if words.before and w.isalpha()]
+            words.asked.difference_update(plain)
+            words.update((w, self._word(w)) for w in plain)
+            mixed = list(words.asked)
+            words.update(zip(mixed, self.whole([words.before + w for w in mixed]), strict=True))
             words.asked.clear()
 
     def _known(self, pieces: list[str]) -> list[bytes | None]:
@@ -176,6 +198,8 @@ class Encoder:
 @functools.cache
 def load(path: str) -> Encoder:
     """The encoder of a tokenizer file, once for each Python process."""
+    # Spark runs a worker for each core; threads of the library's own would only stand in their way
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
