@@ -152,7 +152,9 @@ def link(calls: DataFrame, results: DataFrame, schema: DataFrame) -> DataFrame:
 
 
 def answer_schema(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ANSWER_SCHEMA, SCHEMA_COLUMNS)
+    names = [c.split() for c in SCHEMA_COLUMNS.split(", ")]
+    rows = [F.struct(*(F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(row, names, strict=True))) for row in ANSWER_SCHEMA]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def conversation_links(turns: DataFrame) -> DataFrame:
