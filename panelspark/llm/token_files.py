@@ -20,10 +20,12 @@ import json
 import os
 import struct
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelspark.llm.common import PART_ROWS
-from panelspark.llm.memo import spaced
+from panelspark.llm.memo import Memo, spaced
 from panelspark.session import shared_dir, stage
 
 #: Fixed values of the coding: how many ids a word holds under selectors 0 to 15, and their bits (0: all are zero).
@@ -43,6 +45,10 @@ MAGIC = b"S8IDS\x00\x00\x01"
 BLOCK_IDS = 1 << 16
 #: Words whose ids a Python worker remembers at most.
 ENTRIES = 1 << 21
+#: Letters and ASCII marks other than the apostrophe (which may stand for a left-out letter), once or at both sides of a
+#: line feed: byte-level tokenizers cut such a word just between these groups.
+MARKS = r"[!-&(-/:-@\[-`{-~]*"
+GROUPS = regex.compile(rf"(\p{{L}}+)({MARKS})(?:(\n)(\p{{L}}+)({MARKS}))?")
 
 
 def pack(values: np.ndarray) -> np.ndarray:
@@ -113,22 +119,30 @@ def byte_letters() -> dict[int, str]:
 
 
 class Words(dict):
-    """Ids of words as far as they are known; ``asked`` collects those that are not."""
+    """Ids of words, remembered up to a bound; ``asked`` collects words for which ``compute`` gives None."""
 
-    def __init__(self, before: str) -> None:
+    def __init__(self, before: str, compute: Callable[[str], bytes | None]) -> None:
         super().__init__()
-        self.before, self.asked = before, set()
+        self.before, self.compute, self.asked = before, compute, set()
 
-    def __missing__(self, word: str) -> None:
-        self.asked.add(word)
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.compute(word)
+        if ids is None:
+            self.asked.add(word)
+        else:
+            if len(self) >= ENTRIES:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class Encoder:
     """Whole texts through the tokenizers library, as unsigned 32-bit ids.
 
     A byte-level tokenizer without normaliser starts a new piece at each space before a word. There the library is
-    asked once for each distinct word, all new words of some texts in a call; what it gave is remembered up to a
-    bound. Texts with a special token's string, and all texts of other tokenizers, go to it whole.
+    asked once for each distinct word: its model for words of letters and marks, whose pieces are known, else the
+    library itself, all such new words of some texts in a call. What it gave is remembered up to a bound. Texts with
+    a special token's string, and all texts of other tokenizers, go to it whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -139,13 +153,25 @@ class Encoder:
         byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.by_word = bool(byte_level and not spec.get("normalizer") and not spec["model"].get("dropout"))
-        self.first, self.later = Words(""), Words(" ")
+        self.first, self.later = Words("", lambda word: None), Words(" ", self._word)
         self.model, self.letters = self.library.model, byte_letters()
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a space and letters, which are one piece: straight from the library's model."""
-        letters = f" {word}".encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        self.groups = Memo(self._group)
+
+    def _group(self, group: str) -> bytes:
+        """Ids of a group that the tokenizer leaves whole: straight from the library's model."""
+        letters = group.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a space and a word of such groups; None for any other word."""
+        if word.isalpha():
+            return self._group(" " + word)
+        cut = GROUPS.fullmatch(word)
+        if cut is None:
+            return None
+        head, *rest = cut.groups("")
+        known = self.later.get(head) or self.groups[" " + head]
+        return known + b"".join([self.groups[group] for group in rest if group])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -154,15 +180,16 @@ class Encoder:
         if words.asked:
             if len(words) + len(words.asked) > ENTRIES:
                 words.clear()
-            plain = [w for w in words.asked if words.before and w.isalpha()]
-            words.asked.difference_update(plain)
-            words.update((w, self._word(w)) for w in plain)
             mixed = list(words.asked)
             words.update(zip(mixed, self.whole([words.before + w for w in mixed]), strict=True))
             words.asked.clear()
 
-    def _known(self, pieces: list[str]) -> list[bytes | None]:
-        return [self.first[pieces[0]], *map(self.later.__getitem__, pieces[1:])]
+    def _known(self, pieces: list[str]) -> bytes | None:
+        """The ids of a text cut into words; None if one of them has to be asked for."""
+        try:
+            return b"".join([self.first[pieces[0]], *map(self.later.__getitem__, pieces[1:])])
+        except TypeError:  # one of the words gave None
+            return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers."""
@@ -175,19 +202,15 @@ class Encoder:
                 odd.append(i)
                 continue
             pieces = spaced(text)
-            found = self._known(pieces)
-            if None in found:
+            out[i] = self._known(pieces)
+            if out[i] is None:
                 open_.append((i, pieces))
-            else:
-                out[i] = b"".join(found)
         self._learn(self.first)
         self._learn(self.later)
         for i, pieces in open_:
-            found = self._known(pieces)
-            if None in found:  # forgotten meanwhile
+            out[i] = self._known(pieces)
+            if out[i] is None:  # forgotten meanwhile
                 odd.append(i)
-            else:
-                out[i] = b"".join(found)
         self.first.asked.clear()
         self.later.asked.clear()
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):

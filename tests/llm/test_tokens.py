@@ -125,3 +125,11 @@ def test_spaced_pieces_make_the_text():
     for text in ["", " ", "a b", " a  b ", "a \n b", "a　 b", "x \t y"]:
         pieces = memo.spaced(text)
         assert " ".join(pieces) == text and all(p and not p[0].isspace() for p in pieces[1:])
+
+
+def test_words_of_letters_and_marks_give_the_library_ids():
+    own, library = token_files.Encoder(JSON), Tokenizer.from_file(JSON)
+    words = ["gone.\nThen", "a,b", "x.\n\ny", "don't.", "end...\nÜber!!", "l'été,", "c%%%\nd", "²b.", "中文。", "word.\n", "a.'s", "rock'n'roll.\nOn"]
+    some = [" ".join(["first", *words]), " ".join(words), *(f"of {w} {w.upper()} end" for w in words)]
+    for text, got in zip(some, own.encode(some), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
