@@ -21,15 +21,15 @@ from panelspark.functions.rules import REGION_CODES, area_slug, panel_category,
 # Snapshot file names, month names, section and table markers.
 FILE_MONTH = r"visa-bulletin(?:-for)?-(\w+)-(\d{4})\.html$"
 MONTHS = (
-    "january february march april may june july august september october november december"
-).split()
+    "january", "february", "march", "april", "may", "june",
+    "july", "august", "september", "october", "november", "december",
+)
 TYPE_MARKER = re.compile(r"final action|dates for filing", re.IGNORECASE)
 SECTIONS = {
     "employment": re.compile(r"employment[\s-]*based"),
     "family": re.compile(r"family"),
     "rank": re.compile(r"dv chargeability|diversity"),
 }
-MAX_MATCHES = 4
 MIN_BLOB_REGIONS = 4
 
 
@@ -132,7 +132,6 @@ def section_cells(html: str, section: str) -> list[tuple]:
     always go by ordinal because the headings before them belong to another section.
     """
     out: list[tuple] = []
-    seen: set[str] = set()
     matched = 0
     for table in page_tables(html):
         rows = [r for r in table["rows"] if r]
@@ -151,9 +150,6 @@ def section_cells(html: str, section: str) -> list[tuple]:
             for i, row in enumerate(rows[1:]):
                 for j, value in enumerate(row):
                     out.append((matched, kind, i, j, heads[j] if j < len(heads) else "", row[0], value))
-            seen.add(kind)
-        if len(seen) == 2 or matched >= MAX_MATCHES:
-            break
     return out
 
 

@@ -162,3 +162,11 @@ def test_generic_area_headers(spark):
     out = SN.area_cells(SN.extract_cells(page(spark, OLD), "employment"), "employment", norm_label(F.col("header")))
     assert {r[0] for r in out.select("country").collect()} == {"india", "all chargeability areas except those listed"}
     assert set(PANEL_KEY) <= set(out.columns)
+
+
+def test_every_table_of_a_section_is_read():
+    table = "<table><tr><td>Family-based</td><td>All areas</td></tr><tr><td>F1</td><td>{}</td></tr></table>"
+    page = "".join(table.format(f"0{i}JAN99") for i in range(1, 7))
+    cells = SN.section_cells(page, "family")
+    assert {c[0] for c in cells} == {1, 2, 3, 4, 5, 6}
+    assert [c[6] for c in cells if c[3] == 1] == [f"0{i}JAN99" for i in range(1, 7)]
