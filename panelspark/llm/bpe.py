@@ -139,6 +139,7 @@ class Bpe:
         first, *rest = spaced(text)
         return self._joined(first) + b"".join(map(self.word_ids.__getitem__, rest)) if rest else self._joined(first)
 
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
@@ -183,3 +184,28 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", passed: tuple[str, .
         return lambda rows: [[None if r is None else decode_ids(tokens, r) for r in rows.to_pylist()]]
 
     return map_texts(encoded, ids, passed, [field("decoded", "binary")], start)
+
+
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", passed: tuple[str, ...] = ("doc_id",), whole: bool = True
+) -> DataFrame:
+    """``passed`` columns, ``ids`` of every row's whole text, and what these ids give when decoded, in one pass.
+
+    With ``whole`` the bytes come back as ``decoded``, else only ``round_trip``: whether they are the text's bytes.
+    Null counts as empty: no ids, no bytes, a round trip that holds. One worker and one copy of the text do for both.
+    """
+
+    def start():
+        bpe = load(path, pattern)
+
+        def work(texts: pa.Array):
+            rows = [t or "" for t in texts.to_pylist()]
+            found = [bpe.encode(t) for t in rows]
+            ids = lists(pa.array(np.frombuffer(b"".join(found), "<i4")), [len(f) // 4 for f in found])
+            back = [decode_ids(bpe.tokens, array("i", f)) for f in found]
+            return [ids, back if whole else [b == t.encode() for b, t in zip(back, rows, strict=True)]]
+
+        return work
+
+    last = field("decoded", "binary") if whole else field("round_trip", "boolean")
+    return map_texts(docs, text, passed, [field("ids", "array<int>"), last], start)

@@ -58,6 +58,12 @@ def test_bpe_query(spark, sf, reference, odd, empty):
     got = {r.doc_id: r.ids for r in bpe.encode(odd, RANKS, public_tokenizers.PATTERN).collect()}
     assert got[1] == got[2] == [] and len(got) == 7
     assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    both = bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN).collect()
+    apart = {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(odd, RANKS, public_tokenizers.PATTERN), RANKS).collect()}
+    assert {r.doc_id: r.ids for r in both} == got and {r.doc_id: r.decoded for r in both} == apart
+    checked = bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN, whole=False)
+    assert checked.columns == ["doc_id", "ids", "round_trip"] and all(r.round_trip for r in checked.collect())
+    assert bpe.round_trip(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 def test_piece_counts_are_the_library_s(texts):
