@@ -134,19 +134,23 @@ def signed_rank_counts(n: int) -> tuple[int, ...]:
     return tuple(counts)
 
 
-def wilcoxon_p(w_plus: float, n: int, ties: float, has_ties: bool, zeros: int, side: str) -> float:
-    """p-value of the signed-rank sum: exact up to 50 clean pairs, else normal with tie correction.
+def wilcoxon_p(w_plus: float, n: int, ties: float, has_ties: bool, zeros: int, side: str, method: str = "normal") -> float:
+    """p-value of the signed-rank sum by the named method, whatever the size.
 
+    ``normal`` corrects for ties; ``exact`` counts sign patterns and is not a number with ties or zeros.
     ``ties`` is the sum of t^3 - t over tie groups; ``side`` is two-sided, greater or less.
     """
+    if method not in ("normal", "exact"):
+        raise ValueError(method)
     if n == 0:
         return 1.0
     total = n * (n + 1) / 2.0
-    if n <= 50 and not has_ties and zeros == 0:
+    if method == "exact":
+        if has_ties or zeros:
+            return math.nan
         counts = signed_rank_counts(n)
         w = int(round(w_plus))
-        all_signs = float(2**n)
-        upper, lower = sum(counts[w:]) / all_signs, sum(counts[: w + 1]) / all_signs
+        upper, lower = sum(counts[w:]) / 2**n, sum(counts[: w + 1]) / 2**n
         if side == "greater":
             return upper
         if side == "less":

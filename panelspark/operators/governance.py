@@ -262,9 +262,14 @@ def decide(pairs: DataFrame, policy: dict = POLICY) -> DataFrame:
     )
 
 
-def champion_challenger(errors: DataFrame, champion: str, by: list[str], margin: float = MATERIAL_MARGIN, alpha: float = 0.05) -> DataFrame:
+def champion_challenger(
+    errors: DataFrame, champion: str, by: list[str], representatives: DataFrame, margin: float = MATERIAL_MARGIN, alpha: float = 0.05
+) -> DataFrame:
     """Each challenger against the champion on the series both were scored on.
 
+    Copies of a series are no independent evidence: only ``representatives`` (a row for each class of equal
+    series) enter the means and the test; ``n_series_raw`` counts the pairs before, ``n_series_effective`` after.
+
     ``errors`` has the series key, ``model`` and ``mase``. A challenger passes when it wins by a material
     mean margin and its paired test survives Holm within its family.
     """
@@ -275,15 +280,20 @@ def champion_challenger(errors: DataFrame, champion: str, by: list[str], margin:
         .withColumn("d", F.col("_champ") - F.col("mase"))
     )
     group = [*by, "model"]
+    pairs = pairs.join(representatives.select(*SERIES, F.lit(True).alias("_single")), SERIES, "left")
+    single = F.coalesce("_single", F.lit(False))
     means = pairs.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_series"), F.avg("mase").alias("mean"), F.avg("_champ").alias("champion_mean")
+        F.count(F.lit(1)).alias("n_series_raw"),
+        F.count_if(single).alias("n_series_effective"),
+        F.avg(F.when(single, F.col("mase"))).alias("mean"),
+        F.avg(F.when(single, F.col("_champ"))).alias("champion_mean"),
     )
-    tests = wilcoxon(pairs, group, "d").select(*group, "p_two")
+    tests = wilcoxon(pairs.filter(single), group, "d").select(*group, "p_two", "method")
     out = means.join(tests, group, "left").withColumn("p", F.coalesce("p_two", F.lit(1.0)))
     out = holm(out, by, "p", "holm_p", ["model"])
     gain = F.col("champion_mean") - F.col("mean")
     return out.withColumn("margin", gain).withColumn("holdout_pass", (F.col("holm_p") < alpha) & (gain >= margin)).select(
-        *group, "n_series", "mean", "champion_mean", "margin", "p", "holm_p", "holdout_pass"
+        *group, "n_series_raw", "n_series_effective", "mean", "champion_mean", "margin", "method", "p", "holm_p", "holdout_pass"
     )
 
 

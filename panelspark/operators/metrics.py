@@ -223,12 +223,13 @@ def residual_quantiles(residuals: DataFrame, by: list[str], min_n: int = 8, valu
     )
 
 
-def backtest(long: DataFrame, obs: DataFrame, protocol: Protocol = Protocol(), models: tuple[str, ...] | None = None) -> DataFrame:
+def backtest(long: DataFrame, obs: DataFrame, models: tuple[str, ...], protocol: Protocol = Protocol()) -> DataFrame:
     """Selection and hold-out scores with a conformal interval, one row per (series, model).
 
     ``long`` holds one-step forecasts with ``y`` and ``region``. Half-widths come from selection
     residuals by rank inside the same window as the errors, so the report needs one shuffle on
-    (series, model) and one join with the scales. Series without forecasts stay, with NULL scores.
+    (series, model) and one join with the scales. ``models`` names the models to report; series without
+    forecasts of one of them stay, with NULL scores.
     """
     group = [*SERIES, "model"]
     own = Window.partitionBy(*group)
@@ -256,8 +257,7 @@ def backtest(long: DataFrame, obs: DataFrame, protocol: Protocol = Protocol(), m
         F.avg(F.when(hold & F.col("half").isNotNull(), F.abs(err) <= F.col("half")).cast("double")).alias("coverage"),
         F.avg(F.when(hold, interval_score(y, lo, hi))).alias("interval_score"),
     )
-    names = models or tuple(sorted({"naive1", "seasonal", "drift"}))
-    grid = holdout_scale(obs, protocol).withColumn("model", F.explode(F.array(*[F.lit(m) for m in names])))
+    grid = holdout_scale(obs, protocol).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
     return (
         grid.join(scores, group, "left")
         .withColumn("sel_mase", F.col("sel_mae") / F.col("scale"))

@@ -46,6 +46,8 @@ def order_statistic(
     touched = located.select(*keys, "_b", "_lo").distinct()
     cum = (
         bucketed.drop("_cuts")
+        # dealt by range as well: the window below must not inherit a partitioning on the keys alone
+        .repartition(*keys, "_b")
         .join(touched, [*keys, "_b"])
         .withColumn("_cum", F.col("_lo") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy(value)))
         .select(*keys, "_b", "_cum", F.col(value).alias("_v"))
@@ -99,6 +101,7 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, weights: dict[str,
     upto = F.sum("n_ties").over(Window.partitionBy(*keys, "_b").orderBy(value))
     return (
         bucketed.drop("_cuts")
+        .repartition(*keys, "_b")
         .join(offsets, [*keys, "_b"])
         .withColumn("rank", F.col("_lo") + upto - (F.col("n_ties") - 1) / 2.0)
         .drop("_b", "_lo")

@@ -170,7 +170,10 @@ def chi2_tail_even(x: Column, df: int) -> Column:
 
 
 def kpss(df: DataFrame, value: str, max_lag: int = 12, out: str = "kpss") -> DataFrame:
-    """KPSS level statistic with a Bartlett window of floor(4 (n/100)^(1/4)) lags."""
+    """KPSS level statistic with a Bartlett window of floor(4 (n/100)^(1/4)) lags.
+
+    A series whose window is wider than ``max_lag`` (12: over 8,100 months) fails the query; none is cut short.
+    """
     w, own = over_series(), whole_series()
     rows = df.filter(F.col(value).isNotNull()).withColumn("_e", F.col(value) - F.avg(value).over(own))
     rows = rows.withColumn("_cum", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -183,6 +186,8 @@ def kpss(df: DataFrame, value: str, max_lag: int = 12, out: str = "kpss") -> Dat
     )
     n = F.col("_n")
     lag = F.floor(4 * F.pow(n / 100.0, F.lit(0.25)))
+    too_long = F.raise_error(F.lit(f"kpss: a series needs more than max_lag={max_lag} lags")).cast("bigint")
+    lag = F.when(lag > max_lag, too_long).otherwise(lag)
     s2 = F.col("_g0")
     for k in range(1, max_lag + 1):
         s2 = s2 + F.when(k <= lag, 2 * (1 - k / (lag + 1)) * F.coalesce(F.col(f"_g{k}"), F.lit(0.0))).otherwise(0.0)
@@ -383,11 +388,13 @@ def model_confidence_set(losses: DataFrame, unit: list[str], models: tuple[str,
     rows = wide.join(size, unit).filter(F.col("_k") == len(models)).withColumn("_h", key)
     drawn = rows.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
     u = F.pmod(F.xxhash64("_h", "_rep"), F.lit(1 << 30)) / float(1 << 30)
-    weight, cumulative, term = F.lit(0.0), 0.0, float(np.exp(-1.0))
-    for i in range(8):
-        cumulative += term
+    # Inverse of the Poisson distribution function: every step that the finest uniform draw can reach.
+    weight, cumulative, term, i = F.lit(0.0), float(np.exp(-1.0)), float(np.exp(-1.0)), 0
+    while cumulative <= 1.0 - 2.0**-30:
         weight = weight + (u >= cumulative).cast("double")
-        term /= i + 1
+        i += 1
+        term /= i
+        cumulative += term
     # Replication 0 is the sample itself.
     drawn = drawn.withColumn("_w", F.when(F.col("_rep") == 0, 1.0).otherwise(weight))
     table = (
@@ -454,7 +461,9 @@ def kendall(long: DataFrame, splits: int = SPLITS) -> DataFrame:
 
     ``long`` has ``feature``, ``x`` and ``y``. Values are cut into ranges on both axes: pairs in
     different ranges of both are decided by the range counts, pairs sharing an x range or a y range are
-    counted inside that range only. No pair is emitted and no task holds a whole feature.
+    counted inside that range only. A value that is a cut itself, as every frequent value is, gets a range of its
+    own; its rows tie with each other and are not looked at again. So a range that is looked into holds about one
+    of ``splits`` parts of the feature. No pair is emitted and no task holds a whole feature.
     """
     # Read for the splitters, three pair counts and both tie terms: written once.
     rows = stage(long.filter(F.col("x").isNotNull() & F.col("y").isNotNull()), "kendall")
@@ -462,14 +471,12 @@ def kendall(long: DataFrame, splits: int = SPLITS) -> DataFrame:
     cuts = rows.groupBy("feature").agg(
         F.percentile_approx("x", points, splits * 20).alias("_cx"), F.percentile_approx("y", points, splits * 20).alias("_cy")
     )
-    cut = rows.join(cuts, "feature").select(
-        "feature", "x", "y",
-        F.size(F.filter("_cx", lambda s: s < F.col("x"))).alias("bx"),
-        F.size(F.filter("_cy", lambda s: s < F.col("y"))).alias("by"),
-    )
+    # Even ranges lie between cuts, odd ones hold the value of a cut.
+    place = lambda cut, v: 2 * F.size(F.filter(cut, lambda s: s < F.col(v))) + F.array_contains(cut, F.col(v)).cast("int")
+    cut = rows.join(cuts, "feature").select("feature", "x", "y", place("_cx", "x").alias("bx"), place("_cy", "y").alias("by"))
 
     def between(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros((splits, splits))
+        n = np.zeros((2 * splits, 2 * splits))
         n[pdf["bx"].to_numpy(), pdf["by"].to_numpy()] = pdf["c"].to_numpy()
         cum = np.pad(n, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
         below = cum[:-1, :-1]  # strictly smaller on both axes
@@ -487,8 +494,8 @@ def kendall(long: DataFrame, splits: int = SPLITS) -> DataFrame:
     schema = "feature string, s double"
     parts = (
         cells.groupBy("feature").applyInPandas(between, schema)
-        .unionByName(cut.groupBy("feature", "bx").applyInPandas(inside("x"), schema))
-        .unionByName(cut.groupBy("feature", "by").applyInPandas(inside("bx"), schema))
+        .unionByName(cut.filter("bx % 2 = 0").repartition("feature", "bx").groupBy("feature", "bx").applyInPandas(inside("x"), schema))
+        .unionByName(cut.filter("by % 2 = 0").repartition("feature", "by").groupBy("feature", "by").applyInPandas(inside("bx"), schema))
     )
     score = parts.groupBy("feature").agg(F.sum("s").alias("s"))
 

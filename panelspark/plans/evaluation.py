@@ -61,10 +61,9 @@ def _scale(spark, sf):
     return ME.naive_scale(obs(spark, sf)).withColumns(r6("scale"))
 
 
-def quarter_cutoffs(o):
-    """A cutoff every grid quarter, the usual dense case of vintage scoring."""
-    grid = S.densify(o)
-    return grid.filter(F.month("bulletin_date") % 3 == 0).select(*SERIES, F.col("bulletin_date").alias("cutoff"))
+def monthly_cutoffs(o):
+    """A cutoff at every grid month, the dense case of vintage scoring."""
+    return S.densify(o).select(*SERIES, F.col("bulletin_date").alias("cutoff"))
 
 
 @query(
@@ -73,7 +72,7 @@ def quarter_cutoffs(o):
     sql(
         f"""SELECT c.country, c.block, c.category, c."table", c.m AS cutoff, count(d.m) AS n_history,
               round(nullif(CASE WHEN count(d.m) > 12 THEN avg(dm) ELSE avg(d1) END, 0), 6) AS scale
-            FROM (SELECT * FROM slev WHERE month(m) % 3 = 0) c
+            FROM slev c
             LEFT JOIN sdiffs d ON d.country = c.country AND d.block = c.block AND d.category = c.category
               AND d."table" = c."table" AND d.m < c.m GROUP BY ALL""",
         "slev",
@@ -82,7 +81,7 @@ def quarter_cutoffs(o):
 )
 def _scale_before(spark, sf):
     o = obs(spark, sf)
-    return ME.scale_before(o, quarter_cutoffs(o)).withColumns(r6("scale"))
+    return ME.scale_before(o, monthly_cutoffs(o)).withColumns(r6("scale"))
 
 
 # Rolling origins, by explicit (origin, target) pairs here.
@@ -246,7 +245,7 @@ register(
 
 def backtest_report(spark, sf, source=obs):
     o = source(spark, sf)
-    return ME.backtest(FC.one_step_long(o, SHORT), o, SHORT)
+    return ME.backtest(FC.one_step_long(o, SHORT), o, FC.BASELINES, SHORT)
 
 
 @query(

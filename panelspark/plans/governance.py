@@ -204,16 +204,22 @@ def series_errors(spark, sf):
     return backtest_report(spark, sf).select(*SERIES, "model", F.round("hold_mase", 9).alias("mase"))
 
 
+def challengers(spark, sf):
+    values = obs(spark, sf).withColumnRenamed("bulletin_date", "date").withColumnRenamed("y", "actual")
+    single = G.replica_representatives(values, SERIES, ["block", "category", "table"])
+    return G.champion_challenger(series_errors(spark, sf), "naive1", ["table"], single)
+
+
 @query("champion_challenger", "G22 N5 W23")
 def _challenge(spark, sf):
-    return G.champion_challenger(series_errors(spark, sf), "naive1", ["table"]).withColumns(
+    return challengers(spark, sf).withColumns(
         r6("mean", "champion_mean", "margin", "p", "holm_p")
     )
 
 
 @query("best_challenger", "E24 G22")
 def _best(spark, sf):
-    return G.best_challenger(G.champion_challenger(series_errors(spark, sf), "naive1", ["table"]), ["table"])
+    return G.best_challenger(challengers(spark, sf), ["table"])
 
 
 def horizon_errors(spark, sf):
@@ -315,7 +321,7 @@ register(
 def _best_k(spark, sf):
     o = obs(spark, sf)
     long = FC.one_step_long(o, SHORT)
-    errors = ME.backtest(long, o, SHORT).select(*SERIES, "model", F.round("sel_mase", 9).alias("sel_mase"))
+    errors = ME.backtest(long, o, FC.BASELINES, SHORT).select(*SERIES, "model", F.round("sel_mase", 9).alias("sel_mase"))
     hold = long.filter(F.col("region") == "holdout").withColumnRenamed("bulletin_date", "date")
     return G.best_k(errors, hold, 2, [*SERIES, "date"]).withColumns(r6("forecast"))
 

@@ -15,34 +15,38 @@ from panelspark.plans.evaluation import MINTRAIN
 from panelspark.plans.protocol import SHORT, obs, r6, settle, settle_sql
 from panelspark.plans.registry import query
 
-SHADOW = V.Recipe(("naive1", "drift"), "mean")
+# Deployed and shadow recipes: models and how they are combined.
+CHAMPION = (("naive1", "seasonal", "drift"), "median")
+SHADOW = (("naive1", "drift"), "mean")
 CALIBRATION_END = "2001-01"
 
 
-def quarter_origins(o):
-    """Every third panel month is a vintage; early months drop out for lack of history."""
-    return o.filter(F.month("bulletin_date") % 3 == 0).select("bulletin_date").distinct()
+def monthly_origins(o):
+    """Every panel month is a vintage; early months drop out for lack of history."""
+    return o.select("bulletin_date").distinct()
 
 
-def vintage_rows(o, recipe=V.Recipe(), coherent=True, scales=None):
-    return V.vintages(o, quarter_origins(o), recipe, SHORT, scales, coherent=coherent)
+def vintage_rows(o, recipe=CHAMPION, coherent=True, scales=None):
+    rows = V.recipe_rows(o.sparkSession, *recipe)
+    return V.vintages(o, monthly_origins(o), rows, SHORT, scales, coherent=coherent)
 
 
-def stamped(rows, recipe=V.Recipe()):
+def stamped(rows, recipe=CHAMPION):
+    labels = V.recipe_rows(rows.sparkSession, *recipe).select("table", V.recipe_label().alias("recipe"))
     return L.stamp(
-        rows,
-        F.concat(F.lit(recipe.name + "@"), F.col("table")),
+        rows.join(labels, "table"),
+        F.concat("recipe", F.lit("@"), "table"),
         F.col("origin"),
         "2001-12-01T00:00:00+00:00",
         backfill=F.col("origin") < CALIBRATION_END,
-    )
+    ).drop("recipe")
 
 
-def ledger(spark, sf, recipe=V.Recipe()):
+def ledger(spark, sf, recipe=CHAMPION):
     return stamped(vintage_rows(obs(spark, sf), recipe), recipe)
 
 
-def score(spark, sf, recipe=V.Recipe()):
+def score(spark, sf, recipe=CHAMPION):
     return L.scorecard(ledger(spark, sf, recipe), obs(spark, sf))
 
 
@@ -63,7 +67,7 @@ def _vint(resid: str, point: str) -> str:
     FROM (SELECT *, list_sort(list({resid}) FILTER ({resid} IS NOT NULL) OVER ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) AS errs,
                  list(level) OVER ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS yr FROM ens),
          (SELECT CAST(unnest(generate_series(1, 12)) AS INTEGER) AS h)
-    WHERE month(m) % 3 = 0 AND pos >= {MINTRAIN} + 30 AND len(errs) > 0"""
+    WHERE pos >= {MINTRAIN} + 30 AND len(errs) > 0"""
 
 
 _DRIFT = "level + h * (level - fst) / (pos - 1)"
@@ -107,16 +111,16 @@ for _src, _name in (("vpoint", "vrows"), ("vpoint2", "vrows2")):
     register(f"{_name}_cone", (f"{_name}_cap",), _swap)
 
 
-def _stamped(cone: str, recipe: V.Recipe) -> str:
+def _stamped(cone: str, label: str) -> str:
     key = "concat_ws('|', origin, country, category, \"table\", CAST(date AS VARCHAR), model_version)"
     return f"""SELECT *, substr(sha1({key}), 1, 12) AS forecast_id, substr(sha1(concat_ws('|', h, days, lo80, hi80, lo95, hi95)), 1, 12) AS row_hash
-      FROM (SELECT *, '{recipe.name}@' || "table" AS model_version,
+      FROM (SELECT *, '{label}@' || "table" AS model_version,
               CASE WHEN origin >= '{CALIBRATION_END}' AND strftime(date, '%Y-%m') > origin THEN 'live' ELSE 'backfill' END AS evaluation_mode
             FROM {cone})"""
 
 
-register("led", ("vrows_cone",), _stamped("vrows_cone", V.Recipe()))
-register("led2", ("vrows2_cone",), _stamped("vrows2_cone", SHADOW))
+register("led", ("vrows_cone",), _stamped("vrows_cone", "median(naive1+seasonal+drift)"))
+register("led2", ("vrows2_cone",), _stamped("vrows2_cone", "mean(naive1+drift)"))
 
 
 def _scored(led: str) -> str:

@@ -61,7 +61,7 @@ def brute_wilcoxon(d, side):
 
 def test_wilcoxon_exact(spark):
     d = [1.2, -0.4, 2.2, 3.1, -0.9, 4.4, 0.3, 5.0]
-    out = SG.wilcoxon(spark.createDataFrame([("g", x) for x in d], "g string, d double"), ["g"], "d", ("two", "greater", "less")).first()
+    out = SG.wilcoxon(spark.createDataFrame([("g", x) for x in d], "g string, d double"), ["g"], "d", ("two", "greater", "less"), "exact").first()
     for side in ("two", "greater", "less"):
         assert math.isclose(out[f"p_{side}"], brute_wilcoxon(d, side), rel_tol=1e-12)
 
