@@ -1,4 +1,4 @@
-"""Near duplicates by SimHash, found with an index in Gray order.
+"""Near duplicates by SimHash, found with an index in Gray order, and by similar sets of shingles (``keep_one``).
 
 Fingerprint: XXH64 (seed 42) of each run of three words votes on 64 bits; a bit is set if it is set in over half of
 the hashes. Two fingerprints are linked if they differ in at most ``DISTANCE`` bits, and documents are grouped by the
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import as_bytes, field, map_texts
+from panelspark.llm.common import as_bytes, field, lists, map_texts
 from panelspark.session import stage
 
 WORDS = 3
@@ -48,6 +48,17 @@ ALL = (1 << BITS) - 1
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+#: Words of a shingle and the Jaccard similarity (a fraction) from which ``keep_one`` takes texts as near duplicates.
+SET_WORDS = 5
+SIMILARITY = (4, 5)
+#: Bands and minimum hashes in each. Sets of similarity s share a band with probability 1 - (1 - s ** BAND_ROWS) ** BANDS:
+#: at 0.8 all but 3 pairs in a million do, at 0.9 all but one in 10 ** 12.
+BANDS = 32
+BAND_ROWS = 5
+_random = np.random.default_rng(SEED)
+FLIPS, TIMES = (_random.integers(0, ALL, BANDS * BAND_ROWS, np.uint64, endpoint=True) for _ in range(2))
+TIMES |= np.uint64(1)
+
 
 def fingerprint(text: bytes | None) -> int:
     """The unsigned fingerprint of a text in UTF-8; 0 for null and for a text without words."""
@@ -282,24 +293,136 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return found.select(doc_id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingles(text: bytes | None) -> np.ndarray:
+    """Distinct XXH64 of the runs of ``SET_WORDS`` words of a text in UTF-8, ascending; a shorter text is one run.
+
+    Null and a text without words have the one hash of an empty run.
+    """
+    words = (text or b"").translate(LOWER).split()
+    joined = b" ".join(words)
+    if len(words) <= SET_WORDS:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - SET_WORDS + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[SET_WORDS - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each of ``BANDS`` bands of ``BAND_ROWS`` minimum hashes of a set."""
+    lowest = np.full(len(TIMES), ALL, np.uint64)
+    for at in range(0, len(hashes), 512):  # in parts, so that a long text's hashes don't fill the memory
+        mixed = (hashes[at : at + 512, None] ^ FLIPS) * TIMES
+        mixed ^= mixed >> np.uint64(29)
+        np.minimum(lowest, mixed.min(0), out=lowest)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in lowest.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    return keys
+
+
+def _with_bands(docs: DataFrame, text: str, passed: tuple[str, ...], mark: str) -> DataFrame:
+    """``passed`` columns, the digest of every row's set of shingles (``mark``), its size and its band keys."""
+
+    def start():
+        def work(texts: pa.Array):
+            sets = [shingles(t) for t in as_bytes(texts)]
+            keys = np.concatenate([band_keys(s) for s in sets] or [np.zeros(0, np.uint64)])
+            return [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], lists(pa.array(keys.view(np.int64)), [BANDS] * len(sets))
+
+        return work
+
+    return map_texts(docs, text, passed, [field(mark, "binary"), field(f"{mark}n", "int"), field(f"{mark}keys", "array<bigint>")], start)
+
+
+def _alike(a: Column | int, b: Column | int, shared: Column | int) -> Column:
+    """Whether sets of ``a`` and ``b`` members of which ``shared`` are in both are as similar as ``SIMILARITY`` or more."""
+    over, under = SIMILARITY
+    return under * shared >= over * (a + b - shared)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of the ``pairs`` whose whole sets, of ``sets`` (fp, members), have the similarity."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("members").alias(f"{side}s")), side)
+    shared = F.size(F.array_intersect("as", "bs"))
+    return pairs.where(_alike(F.size("as"), F.size("bs"), shared)).select("a", "b")
+
+
+def similar_sets(stored: DataFrame, text: str, mark: str, place: Column) -> DataFrame:
+    """(node, root): the lowest set that each set with a similar one reaches, of the written rows of ``_with_bands``.
+
+    Sets that share a band key are candidates. Shingles that only one of them has can't be shared, which bounds the
+    similarity of a pair from the sizes and the numbers of the other shingles; pairs whose bound is too low are never
+    made. Of the others, each set is first compared with one of its bucket, that with the most shingles that
+    others have; the components of what is similar then leave few pairs in different components, all of which are
+    compared. So no candidate pair is left out unless it can't be similar or its sets are connected already.
+    """
+    distinct = stored.groupBy(F.col(mark).alias("fp")).agg(F.min(place).alias("place"), F.first(f"{mark}n").alias("n"), F.first(f"{mark}keys").alias("keys"))
+    distinct = stage(distinct, "sets")
+    rows = distinct.select("fp", "n", F.explode("keys").alias("key"))
+    several = stage(rows.groupBy("key").count().where("count > 1").select("key"), "several")
+    rows = stage(rows.join(several, "key", "left_semi"), "bands")
+
+    # texts of the sets that share a bucket, each once
+    wanted = rows.select("fp").distinct().join(distinct.select("fp", "place"), "fp").select("place.*")
+    chosen = stored.join(wanted, (F.col("_metadata.file_name") == wanted["file"]) & (F.col("_metadata.row_index") == wanted["row"]), "left_semi")
+
+    def start():
+        def work(texts: pa.Array):
+            sets = [shingles(t) for t in as_bytes(texts)]
+            return [lists(pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)), [len(s) for s in sets])]
+
+        return work
+
+    sets = stage(map_texts(chosen, text, (mark,), [field("members", "array<bigint>")], start).withColumnRenamed(mark, "fp"), "members")
+    lonely = sets.select("fp", F.explode("members").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("fp"))
+    lonely = stage(lonely.where("c = 1").groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("lonely")), "lonely")
+    rows = rows.join(lonely, "fp", "left").select("key", "fp", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("c"))
+    rows = stage(rows.where(_alike(F.col("n"), F.col("c"), F.col("c"))), "counted")
+
+    def fits(other_n: str, other_c: str) -> Column:
+        return _alike(F.col("n"), F.col(other_n), F.least("c", other_c))
+
+    order = F.struct(-F.col("c"), F.xxhash64("fp"), "fp", "n", "c")
+    centres = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("best")).where("rows > 1")
+    centres = stage(centres.select("key", F.col("best.fp").alias("centre"), F.col("best.n").alias("m"), F.col("best.c").alias("d")), "centres")
+    pairs = rows.join(centres, "key").where("fp <> centre").where(fits("m", "d"))
+    pairs = pairs.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
+    first = stage(_verified(stage(pairs, "pairs"), sets), "similar")
+    known = components(first)
+    rows = rows.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = stage(rows, "rooted")
+    mixed = stage(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "mixed")
+    rows = stage(rows.join(mixed, "key", "left_semi"), "mixed-bands")
+    other = rows.select("key", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("root").alias("other"))
+    pairs = rows.join(other, "key").where("fp < b and root <> other").where(fits("m", "d")).select(F.col("fp").alias("a"), "b").distinct()
+    pairs = stage(pairs, "more-pairs")
+    return components(first.unionByName(_verified(pairs, sets)))
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each group of near duplicates, with all columns: that of the smallest id (a null id only if there is no other).
 
-    Rows of one id in a group are told apart by their place in the written copy, after a hash of their text, so that
+    Near duplicates have sets of runs of ``SET_WORDS`` words with a Jaccard similarity of ``SIMILARITY`` or more, or are
+    connected by others that have (``similar_sets``). Rows of one id in a group are told apart by their place in the written copy, after a hash of their text, so that
     repeated rows leave one.
     """
     names = docs.columns
     mark = "fp"
     while mark in names:
         mark += "_"
-    marked = fingerprints(docs.withColumn(f"{mark}t", F.col(text)), f"{mark}t", tuple(names), mark)
+    marked = _with_bands(docs.withColumn(f"{mark}t", F.col(text)), f"{mark}t", tuple(names), mark)
     stored = stage(marked, "marked")
     place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     rows = stored.select(
         F.col(mark).alias("fp"),
-        F.col(doc_id).alias("doc_id"),
         F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), place.alias("place")).alias("best"),
     )
-    roots = groups(stored.select(F.col(mark).alias("fp"), F.col(doc_id).alias("doc_id"))).select("fp", "root")
-    kept = rows.join(roots, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.place.*")
+    # the best of each set first, so that copies, however many, meet the roots as one row
+    rows = rows.groupBy("fp").agg(F.min("best").alias("best"))
+    roots = stage(similar_sets(stored, text, mark, place), "roots")
+    rooted = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.place.*")
     return stored.join(kept, (F.col("_metadata.file_name") == kept["file"]) & (F.col("_metadata.row_index") == kept["row"]), "left_semi").select(*names)

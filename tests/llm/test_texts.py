@@ -146,6 +146,32 @@ def test_one_row_of_each_group_stays(odd, empty):
     assert len(rows) == 8 and {r.component_id for r in rows if r.fingerprint == "0" * 16} == {1}
 
 
+def test_kept_rows_against_brute_force_jaccard(spark):
+    rnd = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = []
+    for size in (12, 30, 100, 400):
+        for _ in range(6):
+            base = [rnd.choice(vocabulary) for _ in range(size)]
+            texts.append(base)
+            for _ in range(5):  # copies of copies with some words changed, similarity about 0.6 to 1
+                base = list(base)
+                for _ in range(rnd.randint(0, max(1, size // 50))):
+                    base[rnd.randrange(size)] = rnd.choice(vocabulary)
+                texts.append(base)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root, only_similar = list(range(len(sets))), 0
+    for j in range(len(sets)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                only_similar += sets[i] != sets[j]
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert only_similar > 20 and len(set(root)) > 24
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(root)
+
+
 def test_tool_links(spark):
     calls = spark.createDataFrame(
         [
