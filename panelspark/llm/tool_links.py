@@ -33,12 +33,12 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations (conv_id, turn, role, text).
 
     Each user turn calls ``answer`` under the identifier conversation:turn and waits for the user turn two before it; an
-    assistant turn is the result of the turn before it. Repeated turns count once, with their number in
-    ``copies`` and the least text (a null text only if there is no other). A null conversation or turn gives a null identifier.
+    assistant turn is the result of the turn before it. Equal rows count once, with their number in ``copies``; different
+    texts under one conversation and turn stay apart. A null conversation or turn gives a null identifier. Other roles are left out.
     """
     def of(role: str) -> DataFrame:
         rows = turns.where(F.col("role") == role).select(F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("bigint").alias("at"), "text")
-        return rows.groupBy("conv", "at").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+        return rows.groupBy("conv", "at", "text").agg(F.count(F.lit(1)).alias("copies"))
 
     def ident(back: int) -> Column:
         return F.concat_ws(":", "conv", (F.col("at") - back).cast("string"))
@@ -62,7 +62,7 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def depths(calls: DataFrame) -> DataFrame:
     """(call_id, depth) of each identified call: calls before it in its chain; null on a circle."""
-    known = calls.where("call_id is not null").select("call_id", "waits_for")
+    known = calls.where("call_id is not null").groupBy("call_id").agg(F.min("waits_for").alias("waits_for"))
     heads = known.select(F.col("call_id").alias("waits_for"), F.lit(True).alias("there"))
     steps = known.join(heads, "waits_for", "left").select("call_id", F.when(F.col("there"), F.col("waits_for")).alias("next"))
     steps = stage(steps.withColumn("depth", F.col("next").isNotNull().cast("bigint")), "steps")
@@ -105,7 +105,8 @@ def link(calls: DataFrame, results: DataFrame, schema: DataFrame) -> DataFrame:
     """A row for each call with its result, and for each result without a call.
 
     conv_id, call_id, call_turn, result_turn, depth, position, call_copies, result_copies, status (answered, unanswered, orphan,
-    no_id), valid, errors (ascending, joined by "; ") and json. Calls without an identifier are never linked. A call
+    conflict, no_id), valid, errors (ascending, joined by "; ") and json. Calls without an identifier are never linked. Where
+    an identifier has several calls or several results, none of them are linked: each is a row with the status conflict. A call
     of a name without schema has the error "unknown function"; fields that its schema lacks are unknown as well.
     """
     fields = schema.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("field", "kind", "required", "least", "most"))).alias("fields"))
@@ -126,10 +127,19 @@ def link(calls: DataFrame, results: DataFrame, schema: DataFrame) -> DataFrame:
     checked = checked.withColumns({"errors": errors, "kinds": kinds})
     checked = checked.withColumn("args", F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(arguments)), written), ","), F.lit("}")))
     checked = checked.join(depths(calls), "call_id", "left")
-    both = checked.join(results, "call_id", "full")
+    ids = calls.select("call_id", F.lit(True).alias("asks")).unionByName(results.select("call_id", F.lit(False).alias("asks")))
+    several = ids.where("call_id is not null").groupBy("call_id", "asks").count().where("count > 1")
+    several = stage(several.select("call_id", F.lit(True).alias("conflict")).distinct(), "conflicts")
+    # rows that are not to be linked get an odd part as a call, an even one as a result, which also deals them out
+    apart = F.col("call_id").isNull() | F.col("conflict").isNotNull()
+    checked = checked.join(several, "call_id", "left")
+    checked = checked.withColumn("part", F.when(apart, F.xxhash64("args").bitwiseOR(F.lit(1))).otherwise(F.lit(0))).withColumnRenamed("conflict", "of_calls")
+    found = results.join(several, "call_id", "left")
+    found = found.withColumn("part", F.when(apart, F.xxhash64("result").bitwiseAND(F.lit(-2))).otherwise(F.lit(0))).withColumnRenamed("conflict", "of_results")
+    both = checked.join(found, ["call_id", "part"], "full")
     call, result = F.col("call_copies").isNotNull(), F.col("result_copies").isNotNull()
     status = (
-        F.when(F.col("call_id").isNull(), "no_id").when(call & result, "answered").when(call, "unanswered").otherwise("orphan")
+        F.when(F.col("call_id").isNull(), "no_id").when(F.coalesce("of_calls", "of_results"), "conflict").when(call & result, "answered").when(call, "unanswered").otherwise("orphan")
     )
     json = F.concat(
         F.lit('{"arguments":'), F.coalesce("args", F.lit("null")), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'),

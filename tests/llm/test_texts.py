@@ -204,6 +204,21 @@ def test_conversations_with_odd_rows(spark, sf):
     assert tool_links.conversation_links(table(spark, sf, "conversations").where("1 = 0")).count() == 0
 
 
+def test_different_texts_of_one_turn_are_conflicts(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "q"), (1, 1, "assistant", "r"), (1, 1, "assistant", "s"), (1, 1, "assistant", "s"), (1, 2, "user", "t"), (1, 2, "user", "u"), (1, 3, "assistant", "v")]
+        + [(1, 4, "user", "w"), (1, 5, "assistant", "x"), (None, 0, "user", "a"), (None, 0, "user", "b"), (2, None, "assistant", "c"), (2, None, "assistant", "d")],
+        "conv_id long, turn long, role string, text string",
+    )
+    rows = tool_links.conversation_links(turns).collect()
+    got = sorted((r.call_id or "", r.status, r.call_copies or 0, r.result_copies or 0) for r in rows)
+    assert got == [("", "no_id", 0, 1)] * 2 + [("", "no_id", 1, 0)] * 2 + [("1:0", "conflict", 0, 1), ("1:0", "conflict", 0, 2), ("1:0", "conflict", 1, 0)] + [
+        ("1:2", "conflict", 0, 1), ("1:2", "conflict", 1, 0), ("1:2", "conflict", 1, 0), ("1:4", "answered", 1, 1)
+    ]
+    assert {r.call_id: r.depth for r in rows if r.call_copies and r.call_id} == {"1:0": 0, "1:2": 1, "1:4": 2}
+    assert all(any(f'"{x}"' in r.json for r in rows) for x in "qrstuvwxabcd")
+
+
 def test_pipeline_stages(spark, sf, odd, empty):
     docs = table(spark, sf, "documents")
     kept = docs
