@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelspark.llm import bpe, decontaminate, langid, main_text, piece_count, quality_lm, quality_rules, simhash, token_files, tool_links
+from panelspark.llm import bpe, decontaminate, langid, main_text, packing, piece_count, quality_lm, quality_rules, simhash, token_files, tool_links
 from panelspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The id that ends a document in token files.
 END_ID = 2
+#: The id that ends a document in packed sequences.
+PACKED_END_ID = 0
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +90,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), PACKED_END_ID)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_main_text": op2_main_text,
@@ -99,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
+    "op11_packing": op11_packing,
     "pipeline": corpus_pipeline.run,
 }
 
