@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelspark.llm import bpe, decontaminate, langid, main_text, packing, piece_count, prefix_trie, quality_lm, quality_rules, simhash, token_files, tool_links
+from panelspark.llm import bpe, decontaminate, hard_negatives, langid, main_text, packing, piece_count, prefix_trie, quality_lm, quality_rules, simhash, token_files, tool_links
 from panelspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.withColumn("depth", F.col("depth").cast("bigint"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_main_text": op2_main_text,
@@ -113,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op10_bpe": op10_bpe,
     "op11_packing": op11_packing,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -177,6 +182,6 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BI
 FROM judged
 """
 
-ORACLES: dict[str, str] = {"op4_tool_links": tool_links.SQL, "op5_decontaminate": OP5_SQL, "op9_quality_rules": OP9_SQL, "op12_prefix_trie": prefix_trie.SQL}
+ORACLES: dict[str, str] = {"op4_tool_links": tool_links.SQL, "op5_decontaminate": OP5_SQL, "op9_quality_rules": OP9_SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_hard_negatives": hard_negatives.SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
