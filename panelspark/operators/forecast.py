@@ -30,7 +30,7 @@ def forecaster(name: str) -> Callable[[Forecaster], Forecaster]:
     return wrap
 
 
-def _at_horizon(h: int, season: int) -> dict[str, Column]:
+def at_horizon(h: int, season: int) -> dict[str, Column]:
     """The three baselines for a target ``h`` months after the origin, as columns of the target row."""
     w = over_series()
     level = F.lag("level", h).over(w)
@@ -46,21 +46,27 @@ def _at_horizon(h: int, season: int) -> dict[str, Column]:
 def rolling_baselines(
     obs: DataFrame, horizons: tuple[int, ...] = HORIZONS, protocol: Protocol = Protocol()
 ) -> DataFrame:
-    """Long forecasts (model, series, h, date, forecast, actual) of observed targets over all origins.
+    """Long forecasts (model, series, h, date, forecast, actual) of observed targets over all origins."""
+    return rolling(positions(densify(obs)), horizons, protocol, lambda h: at_horizon(h, protocol.season))
+
+
+def rolling(
+    grid: DataFrame, horizons: tuple[int, ...], protocol: Protocol, values: Callable[[int], dict[str, Column]]
+) -> DataFrame:
+    """Forecasts at all horizons from columns of the target row: ``values(h)`` gives one for each model.
 
     The origin has at least the minimum training length and the longest feasible horizon of the
     series fits behind it, so all horizons of a series share their origins.
     """
-    grid = positions(densify(obs)).withColumn("_min", min_train(protocol))
+    grid = grid.withColumn("_min", min_train(protocol))
     reach = F.least(F.lit(max(horizons)), F.col("n_grid") - F.col("_min"))
     rows = []
     for h in horizons:
         origin = F.col("pos") - h
         valid = (origin >= F.col("_min")) & (origin <= F.col("n_grid") - reach) & (F.lit(h) <= reach)
-        values = _at_horizon(h, protocol.season)
         rows += [
-            F.struct(F.lit(m).alias("model"), F.lit(h).alias("h"), F.when(valid, values[m]).alias("forecast"))
-            for m in BASELINES
+            F.struct(F.lit(m).alias("model"), F.lit(h).alias("h"), F.when(valid, value).alias("forecast"))
+            for m, value in values(h).items()
         ]
     return (
         grid.withColumn("_rows", F.array(*rows))
@@ -76,7 +82,7 @@ def one_step(obs: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
     Wide rows on the dense grid: ``y`` is NULL on months that are never scored, ``region`` tells
     selection from hold-out. Series too short for hold-out plus buffer are left out.
     """
-    values = _at_horizon(1, protocol.season)
+    values = at_horizon(1, protocol.season)
     return (
         split_regions(densify(obs), protocol)
         .withColumns({m: values[m] for m in BASELINES})

@@ -1,10 +1,10 @@
-"""Exponential smoothing and theta forecasts over rolling origins.
+"""Exponential smoothing and theta over rolling origins: one recursion, a state for every origin.
 
-A series is sequential and bounded by the calendar, so Spark spreads the series and each one is a
-short numpy recursion. The recursion carries a whole grid of smoothing parameters at once with their
-running squared error, which refits the model at every origin at the price of a single pass.
-Deliberate deviations: parameters come from a grid instead of a likelihood search, and theta is the
-classic form (smoothed level plus half the least-squares slope).
+A forecast of any horizon follows from the state at its origin: level, slope and damping of exponential smoothing, level
+and half the least-squares slope of theta. So the recursion runs once over the months, for a batch of series and a whole
+grid of smoothing parameters at a time, and keeps the state of each month: no refit per origin, none per horizon.
+Deliberate deviations: parameters come from a grid (the best so far at each origin) instead of a likelihood search, and theta
+is the classic form (smoothed level plus half the least-squares slope).
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.config import SERIES, Protocol
-from panelspark.operators.forecast import forecaster
-from panelspark.operators.series import densify, min_train
+from panelspark.config import HORIZONS, SERIES, Protocol
+from panelspark.operators.forecast import BASELINES, at_horizon, forecaster, rolling
+from panelspark.operators.series import densify, min_train, over_series, positions, whole_series
 
 ALPHAS = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.99])
 BETAS = np.array([0.01, 0.05, 0.1, 0.2, 0.4])
 PHIS = np.array([0.8, 0.9, 0.98])
 HORIZON = 12
+CANDIDATES = (*BASELINES, "ets", "theta")
 
 
 def _grid() -> dict[str, np.ndarray]:
@@ -37,128 +38,150 @@ PARAMS = np.vstack(list(GRID.values()))
 FORM = np.concatenate([np.full(len(v), i) for i, v in enumerate(GRID.values())])
 # Free parameters per form: smoothing constants plus initial states.
 FREE = np.array([2, 4, 5])
+#: Least squared error that the choice of a form tells apart.
+LEAST_SSE = 1e-12
+#: What is known of a series at an origin; ``ets_phi`` is 0 for a level, 1 for a full trend.
+STATES = ("ets_level", "ets_slope", "ets_phi", "theta_level", "theta_slope")
+#: Series that go through the recursion side by side.
+BATCH = 256
 
 
-def smooth(y: np.ndarray, params: np.ndarray = PARAMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One-step forecasts, cumulative squared errors and (level, slope) states for every parameter row.
+def choose_forms(sse: np.ndarray, n: int) -> np.ndarray:
+    """For each row of squared errors on ``n`` values, the form with the lowest corrected information criterion."""
+    m = max(n - 2, 1)
+    least = np.stack([np.maximum(sse[:, form == FORM].min(1), LEAST_SSE) for form in range(len(FREE))], axis=1)
+    return np.argmin(m * np.log(least / m) + form_penalty(m), axis=1)
+
+
+def form_penalty(m: int) -> np.ndarray:
+    """What the criterion adds for a form's free parameters on ``m`` errors."""
+    return np.array([2.0 * k + 2.0 * k * (k + 1) / max(m - k - 1, 1) for k in FREE.tolist()])
 
-    Row t of the forecasts uses values before t only; errors count from the third value on.
+
+def batch_states(y: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``STATES`` (first axis) of every series (rows of ``y``) after each month; NaN before ``first`` months.
+
+    The form is chosen once, at ``first`` months; among its parameters, those with the least squared error up to the
+    origin count. Errors count from the third month on.
     """
-    a, b, phi, on = params.T
-    n = len(y)
-    level = np.full(len(a), y[0])
-    slope = on * (y[1] - y[0] if n > 1 else 0.0)
-    ahead = np.full((n + 1, len(a)), np.nan)
-    sse = np.zeros((n + 1, len(a)))
-    states = np.zeros((n + 1, 2, len(a)))
-    ahead[1] = level + phi * slope
-    states[1] = level, slope
-    for t in range(1, n):
-        e = y[t] - ahead[t]
-        sse[t + 1] = sse[t] + (e * e if t >= 2 else 0.0)
-        level = ahead[t] + a * e
-        slope = phi * slope + a * b * e
-        ahead[t + 1] = level + phi * slope
-        states[t + 1] = level, slope
-    return ahead, sse, states
-
-
-def choose_form(sse_at: np.ndarray, n: int) -> int:
-    """Form with the lowest corrected information criterion on ``n`` values."""
-    m = max(n - 2, 1)
-    best = []
-    for form, k in enumerate(FREE):
-        s = max(float(sse_at[form == FORM].min()), 1e-12)
-        penalty = 2.0 * k + 2.0 * k * (k + 1) / max(m - k - 1, 1)
-        best.append(m * np.log(s / m) + penalty)
-    return int(np.argmin(best))
-
-
-def ets_path(y: np.ndarray, first: int, horizon: int = HORIZON) -> tuple[np.ndarray, np.ndarray]:
-    """(one-step forecasts for positions ``first``.., future path): form chosen once on y[:first]."""
-    ahead, sse, states = smooth(y)
-    form = choose_form(sse[first], first)
-    members = np.flatnonzero(form == FORM)
-    pick = members[np.argmin(sse[:, members], axis=1)]
-    rows = np.arange(first, len(y))
-    level, slope = states[len(y)][:, pick[len(y)]]
-    phi = PARAMS[pick[len(y)], 2]
-    steps = np.cumsum(phi ** np.arange(1, horizon + 1))
-    return ahead[rows, pick[rows]], level + steps * slope
-
-
-def theta_path(y: np.ndarray, first: int, horizon: int = HORIZON) -> tuple[np.ndarray, np.ndarray]:
-    """Simple smoothing plus half the least-squares slope of everything seen at the origin."""
-    ahead, sse, _ = smooth(y, GRID["level"])
-    pick = np.argmin(sse, axis=1)
-    n = np.arange(1, len(y) + 1, dtype="float64")
-    x = n - 1
-    sx, sy = np.cumsum(x), np.cumsum(y)
-    sxy, sxx = np.cumsum(x * y), np.cumsum(x * x)
-    det = n * sxx - sx * sx
-    slope = np.divide(n * sxy - sx * sy, det, out=np.zeros_like(det), where=det > 0)
-    rows = np.arange(first, len(y))
-    one = ahead[rows, pick[rows]] + 0.5 * slope[rows - 1]
-    future = ahead[len(y), pick[len(y)]] + 0.5 * slope[-1] * np.arange(1, horizon + 1)
-    return one, future
-
-
-PATHS = {"ets": ets_path, "theta": theta_path}
-
-
-def _path_udf(name: str):
-    """Arrow batches of whole series in, forecast arrays out: no per-series frame is ever built."""
-    path = PATHS[name]
-
-    def run(levels: pd.Series, first: pd.Series) -> pd.DataFrame:
-        pairs = [path(np.asarray(v, dtype="float64"), int(k)) for v, k in zip(levels, first, strict=True)]
-        return pd.DataFrame({"one": [p[0] for p in pairs], "future": [p[1] for p in pairs]})
-
-    return F.pandas_udf(run, "one array<double>, future array<double>")
-
-
-def smoothing_forecasts(obs: DataFrame, models: tuple[str, ...] = ("ets", "theta"), protocol: Protocol = Protocol()) -> DataFrame:
-    """One-step rows of every origin after the minimum training length, plus a ``future`` path per series.
-
-    Series become arrays in month order (bounded by the calendar), are smoothed in batches, and the
-    resulting arrays are unfolded again without another shuffle.
+    a, b, phi, on = PARAMS.T
+    n, months = y.shape
+    out = np.full((len(STATES), n, months), np.nan)
+    level = np.repeat(y[:, :1], len(a), axis=1)
+    slope = on * (y[:, 1:2] - y[:, :1]) if months > 1 else np.zeros_like(level)
+    sse, form = np.zeros_like(level), np.zeros(n, np.int64)
+    plain = np.flatnonzero(FORM == 0)
+    x = np.arange(months, dtype=np.float64)
+    sx, sxx, sy, sxy = np.cumsum(x), np.cumsum(x * x), np.cumsum(y, axis=1), np.cumsum(x * y, axis=1)
+    for t in range(months):
+        if t:
+            ahead = level + phi * slope
+            e = y[:, t, None] - ahead
+            if t >= 2:
+                sse += e * e
+            level = ahead + a * e
+            slope = phi * slope + a * b * e
+        starting = first == t + 1
+        if starting.any():
+            form[starting] = choose_forms(sse[starting], t + 1)
+        rows = np.flatnonzero(first <= t + 1)
+        if len(rows):
+            pick = np.where(FORM == form[rows, None], sse[rows], np.inf).argmin(1)
+            out[:3, rows, t] = level[rows, pick], slope[rows, pick], phi[pick]
+            out[3, rows, t] = level[rows, plain[sse[np.ix_(rows, plain)].argmin(1)]]
+            det = (t + 1) * sxx[t] - sx[t] * sx[t]
+            out[4, rows, t] = 0.5 * ((t + 1) * sxy[rows, t] - sx[t] * sy[rows, t]) / det if det > 0 else 0.0
+    return out
+
+
+def _states(levels: pd.Series, first: pd.Series) -> pd.DataFrame:
+    """Arrow batches of whole series in, an array for each state out, from ``first`` months on."""
+    found: list[list[np.ndarray]] = [[] for _ in STATES]
+    for at in range(0, len(levels), BATCH):
+        some, starts = levels.iloc[at : at + BATCH], first.iloc[at : at + BATCH].to_numpy()
+        lengths = [len(v) for v in some]
+        y = np.zeros((len(some), max(lengths)))
+        for row, values, n in zip(y, some, lengths, strict=True):
+            row[:n] = values
+        states = batch_states(y, starts)
+        for column, values in zip(found, states, strict=True):
+            column += [v[s - 1 : n] for v, s, n in zip(values, starts.tolist(), lengths, strict=True)]
+    return pd.DataFrame(dict(zip(STATES, found, strict=True)))
+
+
+def with_states(grid: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
+    """Rows of a dense grid with the ``STATES`` after their month; NULL before the minimum training length.
+
+    Series become arrays in month order (bounded by the calendar) and are unfolded again: both keep the
+    partitioning by series.
     """
-    months = F.sort_array(F.collect_list(F.struct("bulletin_date", "level", "y")))
-    rows = (
-        densify(obs)
-        .groupBy(*SERIES)
-        .agg(months.alias("_m"))
-        .withColumn("_first", min_train(protocol))
-        .filter(F.size("_m") >= F.col("_first") + protocol.holdout + protocol.buffer)
-        .withColumn("_level", F.transform("_m", lambda m: m["level"]))
-        .withColumn("_last", F.element_at("_m", -1)["bulletin_date"])
-        .withColumn("hold_start", F.add_months("_last", -(protocol.holdout - 1)))
-    )
-    done = rows.withColumns({f"_p_{name}": _path_udf(name)("_level", "_first") for name in models})
-    unfolded = F.concat(*[part for name in models for part in _unfold(name)])
-    held = F.when(F.col("bulletin_date") >= F.col("hold_start"), "holdout").otherwise("selection")
+    others = [c for c in grid.columns if c not in (*SERIES, "bulletin_date")]
+    months = F.sort_array(F.collect_list(F.struct("bulletin_date", *others)))
+    recursion = F.pandas_udf(_states, ", ".join(f"{name} array<double>" for name in STATES))
+    rows = grid.groupBy(*SERIES).agg(months.alias("_m")).withColumn("_first", min_train(protocol))
+    rows = rows.withColumn("_s", recursion(F.transform("_m", lambda m: m["level"]), "_first"))
+
+    def month(m: Column, i: Column) -> Column:
+        states = [F.get(F.col(f"_s.{name}"), i - F.col("_first") + 1).alias(name) for name in STATES]
+        return F.struct(*[m[c].alias(c) for c in ("bulletin_date", *others)], *states)
+
+    return rows.select(*SERIES, F.inline(F.transform("_m", month)))
+
+
+def ahead(state: Column, h: Column | int) -> dict[str, Column]:
+    """Both forecasts ``h`` months after an origin from a struct of its ``STATES``."""
+    steps = F.lit(h) if isinstance(h, int) else h
+    phi = state["ets_phi"]
+    damped = phi * (1 - F.pow(phi, steps)) / F.nullif(1 - phi, F.lit(0.0))
+    growth = F.when(phi == 1, steps.cast("double")).when(phi == 0, 0.0).otherwise(damped)
+    return {"ets": state["ets_level"] + state["ets_slope"] * growth, "theta": state["theta_level"] + state["theta_slope"] * steps}
+
+
+def state_struct() -> Column:
+    return F.struct(*STATES)
+
+
+def rolling_candidates(obs: DataFrame, horizons: tuple[int, ...] = HORIZONS, protocol: Protocol = Protocol()) -> DataFrame:
+    """Baselines, smoothing and theta of every origin at every horizon, in the form of ``rolling_baselines``."""
+
+    def values(h: int) -> dict[str, Column]:
+        return {**at_horizon(h, protocol.season), **ahead(F.lag(state_struct(), h).over(over_series()), h)}
+
+    return rolling(with_states(positions(densify(obs)), protocol), horizons, protocol, values)
+
+
+def smoothing_forecasts(obs: DataFrame, models: tuple[str, ...] = ("ets", "theta"), protocol: Protocol = Protocol(), horizon: int = HORIZON) -> DataFrame:
+    """One-step rows of every origin after the minimum training length, plus a ``future`` path per series."""
+    grid = with_states(positions(densify(obs)), protocol)
+    grid = grid.filter(F.col("n_grid") >= min_train(protocol) + protocol.holdout + protocol.buffer)
+    last = F.col("pos") == F.col("n_grid")
+    # a month's row carries its own one-step forecast, the last month's row the path beyond it as well
+    one = ahead(F.lag(state_struct(), 1).over(over_series()), 1)
+    rows = [_row(F.lit(0), F.lit(1), F.col("y"), one[m], m, F.lit(False)) for m in models]
+    path = [_path(m, horizon) for m in models]
+    grid = grid.withColumn("hold_start", F.add_months(F.max("bulletin_date").over(whole_series()), -(protocol.holdout - 1)))
+    grid = grid.withColumn("_rows", F.array(*rows))
+    grid = grid.withColumn("_rows", F.when(last, F.concat("_rows", *path)).otherwise(F.col("_rows")))
+    held = F.when(F.col("date") >= F.col("hold_start"), "holdout").otherwise("selection")
     return (
-        done.select(*SERIES, "hold_start", F.inline(unfolded))
+        grid.select(*SERIES, "bulletin_date", "hold_start", F.inline("_rows"))
+        .withColumn("date", F.add_months("bulletin_date", F.col("_shift")))
+        .filter(F.col("forecast").isNotNull())
         .withColumn("region", F.when(F.col("_ahead"), "future").otherwise(held))
-        .select(*SERIES, "bulletin_date", "y", "hold_start", "region", "model", "h", "forecast")
+        .select(*SERIES, F.col("date").alias("bulletin_date"), "y", "hold_start", "region", "model", "h", "forecast")
     )
 
 
-def _unfold(name: str) -> list[Column]:
-    """Row structs of one model's forecast arrays: seen months first, then the future path."""
-
-    def row(date: Column, y: Column, h: Column, forecast: Column, ahead: bool) -> Column:
-        fields = {"bulletin_date": date, "y": y, "h": h, "forecast": forecast, "model": F.lit(name), "_ahead": F.lit(ahead)}
-        return F.struct(*[c.alias(n) for n, c in fields.items()])
-
-    def seen(f: Column, i: Column) -> Column:
-        month = F.get(F.col("_m"), F.col("_first") + i)
-        return row(month["bulletin_date"], month["y"], F.lit(1), f, False)
+def _row(shift: Column, h: Column, y: Column, forecast: Column, model: str, future: Column) -> Column:
+    return F.struct(
+        shift.cast("int").alias("_shift"), h.cast("int").alias("h"), y.alias("y"), forecast.alias("forecast"), F.lit(model).alias("model"), future.alias("_ahead")
+    )
 
-    def ahead(f: Column, i: Column) -> Column:
-        return row(F.add_months(F.col("_last"), i + 1), F.lit(None).cast("double"), i + 1, f, True)
 
-    return [F.transform(F.col(f"_p_{name}.one"), seen), F.transform(F.col(f"_p_{name}.future"), ahead)]
+def _path(model: str, horizon: int) -> Column:
+    """Rows of one model's forecasts beyond an origin."""
+    none = F.lit(None).cast("double")
+    return F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: _row(h, h, none, ahead(state_struct(), h)[model], model, F.lit(True)))
 
 
 @forecaster("ets")

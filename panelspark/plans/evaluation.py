@@ -10,11 +10,11 @@ from panelspark.operators import forecast as FC
 from panelspark.operators import metrics as ME
 from panelspark.operators import series as S
 from panelspark.operators import setops as SO
+from panelspark.operators import smoothing as SM
 from panelspark.plans.ctes import KEY, W, register, sql
 from panelspark.plans.protocol import SHORT, area_obs, obs, r6, settle, settle_sql
 from panelspark.plans.registry import query
-
-MINTRAIN = "CASE \"table\" WHEN 'FAD' THEN 36 ELSE 24 END"
+from panelspark.plans.states import MINTRAIN, ahead
 
 # One-step forecasts of the three baselines on the dense grid, with the walk-forward region.
 register(
@@ -90,7 +90,7 @@ register(
     ("lev",),
     f"""SELECT * FROM (
           SELECT o.country, o.block, o.category, o."table", t.m AS date, t.y AS actual, h,
-            o.level AS naive1, s.level AS seasonal, o.level + h * (o.level - f.level) / nullif(o.pos - 1, 0) AS drift
+            o.level AS naive1, s.level AS seasonal, o.level + h * (o.level - f.level) / nullif(o.pos - 1, 0) AS drift, o.pos AS origin
           FROM (SELECT *, {MINTRAIN} AS mt, least(60, n_grid - {MINTRAIN}) AS reach FROM lev) o
           CROSS JOIN (SELECT unnest([{", ".join(map(str, HORIZONS))}]) AS h) hs
           JOIN lev t USING (country, block, category, "table")
@@ -125,22 +125,46 @@ register(
         FROM (SELECT *, abs(y - lag(y, 12) OVER ({W})) AS dm, abs(y - lag(y) OVER ({W})) AS d1,
                      CAST(max(m) OVER (PARTITION BY {KEY}) - INTERVAL 23 MONTH AS DATE) AS hs FROM f) GROUP BY ALL""",
 )
+_SMOOTH = ahead("s", "h")
+register(
+    "candidates",
+    ("rolling", "rollong", "states"),
+    "SELECT * FROM rollong"
+    + "".join(
+        f""" UNION ALL SELECT country, block, category, "table", date, actual, CAST(h AS INTEGER), '{m}', {f}
+             FROM rolling r JOIN states s USING (country, block, category, "table") WHERE s.pos = r.origin"""
+        for m, f in _SMOOTH.items()
+    ),
+)
 register(
     "mbh",
-    ("rollong", "ascale"),
+    ("candidates", "ascale"),
     f"""SELECT model, {KEY}, h, count(*) AS n, avg(abs(actual - forecast)) / any_value(scale) AS mase
-        FROM rollong JOIN ascale USING ({KEY}) WHERE scale IS NOT NULL GROUP BY ALL""",
+        FROM candidates JOIN ascale USING ({KEY}) WHERE scale IS NOT NULL GROUP BY ALL""",
 )
 
 
+@query(
+    "rolling_candidates",
+    "E2 E3 E17",
+    sql(f"SELECT {KEY}, date, actual, model, h, {settle_sql('forecast')} AS forecast FROM candidates", "candidates"),
+)
+def _candidates(spark, sf):
+    return SM.rolling_candidates(area_obs(spark, sf), HORIZONS, SHORT).withColumns(settle("forecast"))
+
+
+def horizon_errors(spark, sf):
+    o = area_obs(spark, sf)
+    return ME.mase_by_horizon(SM.rolling_candidates(o, HORIZONS, SHORT), ME.holdout_scale(o, SHORT))
+
+
 @query(
     "mase_by_horizon",
     "E17",
-    sql(f"SELECT model, {KEY}, h, n, round(mase, 6) AS mase FROM mbh", "mbh"),
+    sql(f"SELECT model, {KEY}, h, n, {settle_sql('mase')} AS mase FROM mbh", "mbh"),
 )
 def _by_horizon(spark, sf):
-    o = area_obs(spark, sf)
-    return ME.mase_by_horizon(FC.rolling_baselines(o, HORIZONS, SHORT), ME.holdout_scale(o, SHORT)).withColumns(r6("mase"))
+    return horizon_errors(spark, sf).withColumns(settle("mase"))
 
 
 @query(
@@ -153,9 +177,7 @@ def _by_horizon(spark, sf):
     ),
 )
 def _champion(spark, sf):
-    o = area_obs(spark, sf)
-    per = ME.mase_by_horizon(FC.rolling_baselines(o, HORIZONS, SHORT), ME.holdout_scale(o, SHORT))
-    return ME.champion_by_horizon(per).withColumns(r6("mase"))
+    return ME.champion_by_horizon(horizon_errors(spark, sf)).withColumns(r6("mase"))
 
 
 @query(
@@ -435,13 +457,14 @@ def _seeds(spark, sf):
     "common_dates",
     "U5",
     sql(
-        f"""SELECT {KEY}, date FROM (SELECT DISTINCT {KEY}, date, model FROM rollong WHERE h = 12) GROUP BY ALL HAVING count(*) = 3""",
-        "rollong",
+        f"""SELECT {KEY}, h, date FROM (SELECT DISTINCT {KEY}, h, date, model FROM candidates) GROUP BY ALL HAVING count(*) = 5""",
+        "candidates",
     ),
 )
 def _common(spark, sf):
-    rolling = FC.rolling_baselines(area_obs(spark, sf), HORIZONS, SHORT).filter(F.col("h") == 12)
-    return SO.common_dates(rolling, SERIES, 3)
+    """Every horizon's common dates of all five candidates."""
+    rolling = SM.rolling_candidates(area_obs(spark, sf), HORIZONS, SHORT)
+    return SO.common_dates(rolling, [*SERIES, "h"], len(SM.CANDIDATES))
 
 
 @query(
