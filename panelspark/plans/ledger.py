@@ -9,15 +9,18 @@ from panelspark.operators import forecast as FC
 from panelspark.operators import intervals as IV
 from panelspark.operators import ledger as L
 from panelspark.operators import metrics as ME
+from panelspark.operators import smoothing as SM
 from panelspark.operators import vintage as V
 from panelspark.plans.ctes import KEY, W, register, sql
 from panelspark.plans.evaluation import MINTRAIN
 from panelspark.plans.protocol import SHORT, obs, r6, settle, settle_sql
 from panelspark.plans.registry import query
+from panelspark.plans.states import ahead
+from panelspark.session import stage
 
 # Deployed and shadow recipes: models and how they are combined.
-CHAMPION = (("naive1", "seasonal", "drift"), "median")
-SHADOW = (("naive1", "drift"), "mean")
+CHAMPION = V.recipes(SM.CANDIDATES, "median")
+SHADOW = V.recipes(("naive1", "drift"), "mean")
 CALIBRATION_END = "2001-01"
 
 
@@ -27,36 +30,51 @@ def monthly_origins(o):
 
 
 def vintage_rows(o, recipe=CHAMPION, coherent=True, scales=None):
-    rows = V.recipe_rows(o.sparkSession, *recipe)
-    return V.vintages(o, monthly_origins(o), rows, SHORT, scales, coherent=coherent)
+    return V.vintages(o, monthly_origins(o), recipe, SHORT, scales, coherent=coherent)
 
 
 def stamped(rows, recipe=CHAMPION):
-    labels = V.recipe_rows(rows.sparkSession, *recipe).select("table", V.recipe_label().alias("recipe"))
     return L.stamp(
-        rows.join(labels, "table"),
-        F.concat("recipe", F.lit("@"), "table"),
+        rows,
+        F.concat(V.recipe_label(recipe), F.lit("@"), F.col("table")),
         F.col("origin"),
         "2001-12-01T00:00:00+00:00",
         backfill=F.col("origin") < CALIBRATION_END,
-    ).drop("recipe")
+    )
+
+
+def observed_once(spark, sf):
+    """The observed panel, written: origins, grid, actuals and scales all read it."""
+    return stage(obs(spark, sf), "observed")
+
+
+def ledger_of(o, recipe=CHAMPION):
+    return stamped(vintage_rows(o, recipe), recipe)
 
 
 def ledger(spark, sf, recipe=CHAMPION):
-    return stamped(vintage_rows(obs(spark, sf), recipe), recipe)
+    return ledger_of(observed_once(spark, sf), recipe)
+
+
+def score_of(o, recipe=CHAMPION):
+    return L.scorecard(stage(ledger_of(o, recipe), "ledger"), o)
 
 
 def score(spark, sf, recipe=CHAMPION):
-    return L.scorecard(ledger(spark, sf, recipe), obs(spark, sf))
+    return score_of(observed_once(spark, sf), recipe)
 
 
+_AHEAD = ahead("", "h")
 register(
     "ens",
-    ("slev",),
-    f"""SELECT *, abs(y - list_sort([naive1, seasonal, drift])[2]) AS r, abs(y - (naive1 + drift) / 2) AS r2 FROM (
+    ("slev", "sstates"),
+    f"""SELECT *, CASE WHEN seasonal IS NOT NULL AND ets IS NOT NULL THEN abs(y - list_sort([naive1, seasonal, drift, ets, theta])[3]) END AS r,
+               abs(y - (naive1 + drift) / 2) AS r2 FROM (
           SELECT {KEY}, m, y, level, pos, n_grid, first_value(level) OVER ({W}) AS fst, lag(level) OVER ({W}) AS naive1,
-            lag(level, 12) OVER ({W}) AS seasonal,
-            lag(level) OVER ({W}) + (lag(level) OVER ({W}) - first_value(level) OVER ({W})) / nullif(pos - 2, 0) AS drift FROM slev)""",
+            lag(level, 12) OVER ({W}) AS seasonal, ets_level, ets_slope, ets_phi, theta_level, theta_slope,
+            lag(level) OVER ({W}) + (lag(level) OVER ({W}) - first_value(level) OVER ({W})) / nullif(pos - 2, 0) AS drift,
+            lag({_AHEAD["ets"]}) OVER ({W}) AS ets, lag({_AHEAD["theta"]}) OVER ({W}) AS theta
+          FROM (SELECT *, 1 AS h FROM slev LEFT JOIN sstates USING ({KEY}, pos)))""",
 )
 
 
@@ -71,7 +89,7 @@ def _vint(resid: str, point: str) -> str:
 
 
 _DRIFT = "level + h * (level - fst) / (pos - 1)"
-register("vpoint", ("ens",), _vint("r", f"list_sort([level, yr[(h - 1) % 12 + 1], {_DRIFT}])[2]"))
+register("vpoint", ("ens",), _vint("r", f"list_sort([level, yr[(h - 1) % 12 + 1], {_DRIFT}, {_AHEAD['ets']}, {_AHEAD['theta']}])[3]"))
 register("vpoint2", ("ens",), _vint("r2", f"(level + {_DRIFT}) / 2"))
 
 _INT = "CAST(round_even(round({}, 6), 0) AS INTEGER)"
@@ -119,8 +137,8 @@ def _stamped(cone: str, label: str) -> str:
             FROM {cone})"""
 
 
-register("led", ("vrows_cone",), _stamped("vrows_cone", "median(naive1+seasonal+drift)"))
-register("led2", ("vrows2_cone",), _stamped("vrows2_cone", "mean(naive1+drift)"))
+register("led", ("vrows_cone",), _stamped("vrows_cone", CHAMPION[0].label))
+register("led2", ("vrows2_cone",), _stamped("vrows2_cone", SHADOW[0].label))
 
 
 def _scored(led: str) -> str:
@@ -148,17 +166,17 @@ VNAMES = ["origin", *SERIES, "h", "date", "band_method", "days", "lo80", "hi80",
 
 @query("forecast_vintages", "E23 E19", sql(f"SELECT {VCOLS} FROM vrows", "vrows"))
 def _vintages(spark, sf):
-    return vintage_rows(obs(spark, sf), coherent=False).select(*VNAMES)
+    return vintage_rows(observed_once(spark, sf), coherent=False).select(*VNAMES)
 
 
 @query("coherent_vintages", "C1 E23", sql(f"SELECT {VCOLS}, capped, swapped FROM vrows_cone", "vrows_cone"))
 def _coherent(spark, sf):
-    return vintage_rows(obs(spark, sf)).select(*VNAMES, "capped", "swapped")
+    return vintage_rows(observed_once(spark, sf)).select(*VNAMES, "capped", "swapped")
 
 
 @query("shadow_vintages", "E24", sql(f"SELECT {VCOLS} FROM vrows2_cone", "vrows2_cone"))
 def _shadow(spark, sf):
-    return vintage_rows(obs(spark, sf), SHADOW).select(*VNAMES)
+    return vintage_rows(observed_once(spark, sf), SHADOW).select(*VNAMES)
 
 
 @query(
@@ -172,7 +190,7 @@ def _shadow(spark, sf):
     ),
 )
 def _violations(spark, sf):
-    return IV.cone_violations(vintage_rows(obs(spark, sf), coherent=False), ["origin"])
+    return IV.cone_violations(stage(vintage_rows(observed_once(spark, sf), coherent=False), "vintages"), ["origin"])
 
 
 @query(
@@ -258,7 +276,8 @@ def _births(spark, sf):
     ),
 )
 def _pending(spark, sf):
-    return L.pending_counts(L.attach_actuals(ledger(spark, sf), obs(spark, sf)))
+    o = observed_once(spark, sf)
+    return L.pending_counts(L.attach_actuals(ledger_of(o), o))
 
 
 @query(
@@ -284,7 +303,8 @@ register(
 
 
 def pairs_of(spark, sf):
-    return L.pair_scorecards(score(spark, sf), score(spark, sf, SHADOW))
+    o = observed_once(spark, sf)
+    return L.pair_scorecards(score_of(o), score_of(o, SHADOW))
 
 
 @query(
@@ -333,7 +353,8 @@ register(
 
 
 def std_errors(spark, sf):
-    scored = L.attach_actuals(ledger(spark, sf), obs(spark, sf)).withColumn("pred", F.col("days"))
+    o = observed_once(spark, sf)
+    scored = L.attach_actuals(ledger_of(o), o).withColumn("pred", F.col("days"))
     return IV.standardized_errors(scored)
 
 
@@ -348,8 +369,9 @@ def _scales(spark, sf):
 
 @query("band_scale_validation", "E26 A25")
 def _validate_scales(spark, sf):
-    held_out = std_errors(spark, sf).filter(F.col("origin") >= CALIBRATION_END)
-    return IV.validate_scales(held_out, calibrated_scales(spark, sf))
+    errors = stage(std_errors(spark, sf), "std-errors")
+    scales = IV.band_scales(errors.filter(F.col("origin") < CALIBRATION_END))
+    return IV.validate_scales(errors.filter(F.col("origin") >= CALIBRATION_END), scales)
 
 
 register(
@@ -365,7 +387,7 @@ register(
 
 @query("calibrated_bands", "E19 W20", sql(_banded("vbands", "h80", "h95", "method"), "vbands"))
 def _calibrated(spark, sf):
-    rows = vintage_rows(obs(spark, sf), coherent=False, scales=calibrated_scales(spark, sf))
+    rows = vintage_rows(observed_once(spark, sf), coherent=False, scales=calibrated_scales(spark, sf))
     return rows.select(*VNAMES)
 
 
