@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.config import LEDGER_KEY, LEDGER_PAYLOAD, SERIES
 from panelspark.functions.hashing import canonical_number, short_sha1
-from panelspark.operators.metrics import scale_before
+from panelspark.operators.metrics import with_scale_before
 from panelspark.operators.setops import union_blocks
 
 SEAL = [
@@ -163,19 +163,13 @@ def pending_counts(attached: DataFrame) -> DataFrame:
 
 
 def scorecard(ledger: DataFrame, obs: DataFrame) -> DataFrame:
-    """Scored rows of realised targets, scaled by the history up to and including the origin month.
-
-    The scale is computed once per distinct (series, origin), not per forecast row.
-    """
+    """Scored rows of realised targets, scaled by the history up to and including the origin month."""
     cutoff = F.add_months(F.to_date(F.concat("origin", F.lit("-01"))), 1)
-    dated = ledger.withColumn("cutoff", cutoff)
-    scales = scale_before(obs, dated.select(*SERIES, "cutoff").distinct()).select(*SERIES, "cutoff", "scale")
     err = F.col("days") - F.col("actual")
     inside = lambda lv: F.col("actual").between(F.col(f"lo{lv}"), F.col(f"hi{lv}")).cast("int")
+    scored = attach_actuals(ledger, obs).filter(F.col("actual").isNotNull()).withColumn("cutoff", cutoff)
     return (
-        attach_actuals(dated, obs)
-        .filter(F.col("actual").isNotNull())
-        .join(scales, [*SERIES, "cutoff"], "left")
+        with_scale_before(scored, obs, "cutoff")
         .select(
             "origin",
             "h",

@@ -35,13 +35,14 @@ def naive_scale(obs: DataFrame, m: int = SEASON) -> DataFrame:
     )
 
 
-def scale_before(obs: DataFrame, cutoffs: DataFrame, m: int = SEASON) -> DataFrame:
-    """Scale of the history strictly before each (series, cutoff).
+def with_scale_before(rows: DataFrame, obs: DataFrame, cutoff: str, m: int = SEASON) -> DataFrame:
+    """``rows`` with ``n_history`` and ``scale`` of the history of their series strictly before their ``cutoff``.
 
-    Cutoffs are interleaved with the observations and read the running means of the last row before
-    them: a range join without the join.
+    Rows are interleaved with the observations and read the running means of the last observation before
+    them: a range join without the join, in one shuffle on the series.
     """
     run = over_series().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = [c for c in rows.columns if c not in SERIES]
     prefix = obs.withColumns(_naive_diffs(m)).select(
         *SERIES,
         F.col("bulletin_date").alias("_at"),
@@ -52,24 +53,28 @@ def scale_before(obs: DataFrame, cutoffs: DataFrame, m: int = SEASON) -> DataFra
             F.avg("_d1").over(run).alias("d1"),
         ).alias("_stat"),
     )
-    asked = cutoffs.select(*SERIES, F.col("cutoff").alias("_at")).distinct()
-    asked = asked.withColumn("_kind", F.lit(0)).withColumn("_stat", F.lit(None).cast(prefix.schema["_stat"].dataType))
+    asked = rows.select(*SERIES, F.col(cutoff).alias("_at"), F.lit(0).alias("_kind"), F.struct(*rest).alias("_row"))
     # At equal months the cutoff sorts first: an observation on the cutoff itself does not count.
     order = Window.partitionBy(*SERIES).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, -1)
     s = F.last("_stat", ignorenulls=True).over(order)
     return (
-        prefix.unionByName(asked)
+        prefix.unionByName(asked, allowMissingColumns=True)
         .withColumn("_s", s)
         .filter(F.col("_kind") == 0)
         .select(
             *SERIES,
-            F.col("_at").alias("cutoff"),
+            "_row.*",
             F.coalesce(F.col("_s.n"), F.lit(0)).alias("n_history"),
             _scale(F.col("_s.n"), F.col("_s.dm"), F.col("_s.d1"), m).alias("scale"),
         )
     )
 
 
+def scale_before(obs: DataFrame, cutoffs: DataFrame, m: int = SEASON) -> DataFrame:
+    """Scale of the history strictly before each (series, cutoff)."""
+    return with_scale_before(cutoffs.select(*SERIES, "cutoff").distinct(), obs, "cutoff", m)
+
+
 def holdout_scale(obs: DataFrame, protocol: Protocol = Protocol()) -> DataFrame:
     """Seasonal and lag-one scale before each series' own hold-out start, in one shuffle."""
     m = protocol.season

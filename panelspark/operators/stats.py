@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.config import SEASON, SERIES
 from panelspark.functions import special
-from panelspark.operators.quantiles import SPLITS, average_ranks
+from panelspark.operators.quantiles import average_ranks, sort_key
 from panelspark.operators.series import over_series, positions, whole_series
 from panelspark.operators.warehouse import Contract, validate
 from panelspark.session import stage
@@ -26,6 +26,10 @@ HAMPEL_MIN = 6
 HAMPEL_SIGMA = 3.0
 MAD_TO_SIGMA = 1.4826
 LAGS = 12
+#: Rows that the inversion count takes as one block, as a power of two, and the bits of a key it looks at together.
+BLOCK_BITS = 7
+BLOCK = 1 << BLOCK_BITS
+DIGIT = 4
 # KPSS level critical values and Dickey-Fuller t with a constant, with their p-values.
 KPSS_TABLE = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
 DF_TABLE = ((-3.43, 0.01), (-3.12, 0.025), (-2.86, 0.05), (-2.57, 0.10))
@@ -419,89 +423,74 @@ def model_confidence_set(losses: DataFrame, unit: list[str], models: tuple[str,
     return kept
 
 
-def _inversions(rank: np.ndarray) -> int:
-    """Pairs i < j with rank_i > rank_j, by merging blocks of doubling width, one vector step per width."""
-    n, total, width = len(rank), 0, 1
-    if n < 2:
-        return 0
-    values, span = rank.astype("int64"), int(rank.max()) + 2
-    place = np.arange(n)
-    while width < n:
-        block = place // (2 * width)
-        keys = block * span + values
-        right = (place // width) % 2 == 1
-        left_keys = keys[~right]
-        not_above = np.searchsorted(left_keys, keys[right], side="right")
-        left_end = np.searchsorted(left_keys, (block[right] + 1) * span, side="left")
-        total += int((left_end - not_above).sum())
-        values = np.sort(keys) - block * span
-        width *= 2
-    return total
-
-
-def _pairs_within(*columns: np.ndarray) -> int:
-    """Pairs of rows that agree on every given column."""
-    _, counts = np.unique(np.column_stack(columns), axis=0, return_counts=True)
-    return int((counts.astype("int64") * (counts - 1) // 2).sum())
-
-
-def _sign_sum(x: np.ndarray, y: np.ndarray) -> float:
-    """Sum of sign(dx) sign(dy) over all pairs: total minus ties minus twice the discordant pairs."""
-    n = len(x)
-    if n < 2:
-        return 0.0
-    rank = np.unique(y, return_inverse=True)[1][np.lexsort((y, x))]
-    comparable = n * (n - 1) // 2 - _pairs_within(x) - _pairs_within(y) + _pairs_within(x, y)
-    # Equal x is sorted by y, so it holds no inversion; equal y is never one.
-    return float(comparable - 2 * _inversions(rank))
-
-
-def kendall(long: DataFrame, splits: int = SPLITS) -> DataFrame:
+def _discordant_in(entries: Column) -> Column:
+    """Pairs of entries (k, c) of which the earlier has the larger k, each as often as its rows have it."""
+
+    def after(i: Column) -> Column:
+        one = F.get(entries, i)
+        less = F.filter(F.slice(entries, i + 2, F.lit(BLOCK)), lambda e: _unsigned(e["k"]) < _unsigned(one["k"]))
+        return one["c"].cast("double") * F.aggregate(less, F.lit(0).cast("bigint"), lambda total, e: total + e["c"])
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(entries) - 1), F.lit(0.0), lambda total, i: total + after(i))
+
+
+def _unsigned(key: Column) -> Column:
+    return key.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def counted_ties(ordered: DataFrame) -> DataFrame:
+    """Pairs of a feature's rows that agree on x and y."""
+    c = F.col("c").cast("double")
+    return ordered.groupBy("feature").agg(F.sum(c * (c - 1) / 2).alias("xytie"))
+
+
+def kendall(long: DataFrame) -> DataFrame:
     """Kendall tau-b of every feature with the target, asymptotic p with tie correction.
 
-    ``long`` has ``feature``, ``x`` and ``y``. Values are cut into ranges on both axes: pairs in
-    different ranges of both are decided by the range counts, pairs sharing an x range or a y range are
-    counted inside that range only. A value that is a cut itself, as every frequent value is, gets a range of its
-    own; its rows tie with each other and are not looked at again. So a range that is looked into holds about one
-    of ``splits`` parts of the feature. No pair is emitted and no task holds a whole feature.
+    ``long`` has ``feature``, ``x`` and ``y``. Equal (x, y) rows count as one, with their number. Rows are dealt by range in the
+    order of (x, y) and cut into blocks of ``BLOCK``, and two rows of different blocks are discordant if the earlier has the larger
+    y: there is exactly one digit at which their keys first differ. So a row's key of y, a digit of ``DIGIT`` bits at a
+    time, puts it in one node for each digit (the bits before it), and a group-by counts the digits of each block and
+    node; what earlier blocks of the node have of larger digits, times what the block has, adds up to all such pairs.
+    Pairs within a block are counted in its array. No pair is emitted, no task holds a feature: the largest group has
+    a row for each block.
     """
-    # Read for the splitters, three pair counts and both tie terms: written once.
-    rows = stage(long.filter(F.col("x").isNotNull() & F.col("y").isNotNull()), "kendall")
-    points = F.array(*[F.lit(i / splits) for i in range(1, splits)])
-    cuts = rows.groupBy("feature").agg(
-        F.percentile_approx("x", points, splits * 20).alias("_cx"), F.percentile_approx("y", points, splits * 20).alias("_cy")
-    )
-    # Even ranges lie between cuts, odd ones hold the value of a cut.
-    place = lambda cut, v: 2 * F.size(F.filter(cut, lambda s: s < F.col(v))) + F.array_contains(cut, F.col(v)).cast("int")
-    cut = rows.join(cuts, "feature").select("feature", "x", "y", place("_cx", "x").alias("bx"), place("_cy", "y").alias("by"))
-
-    def between(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros((2 * splits, 2 * splits))
-        n[pdf["bx"].to_numpy(), pdf["by"].to_numpy()] = pdf["c"].to_numpy()
-        cum = np.pad(n, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-        below = cum[:-1, :-1]  # strictly smaller on both axes
-        above = cum[:-1, -1:] - cum[:-1, 1:]  # smaller x, larger y
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "s": [float((n * (below - above)).sum())]})
-
-    def inside(xcol: str):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            s = _sign_sum(pdf[xcol].to_numpy(dtype="float64"), pdf["y"].to_numpy(dtype="float64"))
-            return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "s": [s]})
-
-        return run
-
-    cells = cut.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("c"))
-    schema = "feature string, s double"
-    parts = (
-        cells.groupBy("feature").applyInPandas(between, schema)
-        .unionByName(cut.filter("bx % 2 = 0").repartition("feature", "bx").groupBy("feature", "bx").applyInPandas(inside("x"), schema))
-        .unionByName(cut.filter("by % 2 = 0").repartition("feature", "by").groupBy("feature", "by").applyInPandas(inside("bx"), schema))
-    )
-    score = parts.groupBy("feature").agg(F.sum("s").alias("s"))
+    rows = long.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    counted = rows.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    ordered = counted.repartitionByRange("feature", "x", "y").sortWithinPartitions("feature", "x", "y")
+    # consecutive ids follow the order; keys are made unsigned, so that their bits order them
+    key = sort_key(F.col("y").cast("double")).bitwiseXOR(F.lit(-(1 << 63)))
+    ordered = ordered.withColumn("_id", F.monotonically_increasing_id()).withColumn("k", key)
+    ordered = stage(ordered.withColumn("_block", F.shiftright("_id", BLOCK_BITS)), "kendall")
+
+    entries = F.sort_array(F.collect_list(F.struct("_id", "k", "c")))
+    blocks = ordered.groupBy("feature", "_block").agg(entries.alias("_e"))
+    # bits that all keys share need no count
+    bits = ordered.agg(F.bit_or("k").alias("some"), F.bit_and("k").alias("all")).first()
+    differ = 0 if bits["some"] is None else (bits["some"] & ~bits["all"]) & ((1 << 64) - 1)
+    shifts = [s for s in range(64 - DIGIT, -1, -DIGIT) if differ >> s & (2**DIGIT - 1)]
+
+    inside = blocks.select("feature", _discordant_in(F.col("_e")).alias("d"))
+    parts = inside
+    if shifts:
+        each = blocks.select("feature", "_block", F.explode("_e").alias("_e"), F.lit(0).alias("_"))
+        each = each.select("feature", "_block", F.col("_e.k").alias("k"), F.col("_e.c").alias("c"), F.explode(F.array(*map(F.lit, shifts))).alias("shift"))
+        at = lambda s: F.expr(f"shiftrightunsigned(k, {s})")
+        node = F.when(F.col("shift") == 64 - DIGIT, F.lit(0).cast("bigint")).otherwise(at(f"shift + {DIGIT}"))
+        each = each.withColumn("node", node).withColumn("digit", at("shift").bitwiseAND(F.lit(2**DIGIT - 1)))
+        digits = range(2**DIGIT)
+        counts = each.groupBy("feature", "_block", "shift", "node").agg(*[F.sum(F.when(F.col("digit") == d, F.col("c")).otherwise(0)).alias(f"d{d}") for d in digits])
+        earlier = Window.partitionBy("feature", "shift", "node").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        larger = [sum((F.col(f"d{e}") for e in range(d + 2, 2**DIGIT)), F.col(f"d{d + 1}")) for d in range(2**DIGIT - 1)]
+        pairs = [F.col(f"d{d}").cast("double") * F.coalesce(F.sum(more).over(earlier), F.lit(0)) for d, more in enumerate(larger)]
+        parts = parts.unionByName(counts.select("feature", sum(pairs[1:], pairs[0]).alias("d")))
+    discordant = parts.groupBy("feature").agg(F.sum("d").alias("_d"))
+    both = counted_ties(ordered)
+    score = discordant.join(both, "feature")
 
     def ties(col: str, prefix: str) -> DataFrame:
         t = F.col("_t").cast("double")
-        counted = rows.groupBy("feature", col).agg(F.count(F.lit(1)).alias("_t"))
+        counted = ordered.groupBy("feature", col).agg(F.sum("c").alias("_t"))
         return counted.groupBy("feature").agg(
             F.sum(t * (t - 1) / 2).alias(f"{prefix}tie"),
             F.sum(t * (t - 1) * (t - 2)).alias(f"{prefix}0"),
@@ -512,6 +501,8 @@ def kendall(long: DataFrame, splits: int = SPLITS) -> DataFrame:
     out = score.join(ties("x", "x"), "feature").join(ties("y", "y"), "feature")
     n = F.col("xn").cast("double")
     m = n * (n - 1)
+    # comparable pairs, less the discordant ones twice
+    out = out.withColumn("s", m / 2 - F.col("xtie") - F.col("ytie") + F.col("xytie") - 2 * F.col("_d"))
     tau = F.col("s") / F.nullif(F.sqrt((m / 2 - F.col("xtie")) * (m / 2 - F.col("ytie"))), F.lit(0.0))
     var = (
         (m * (2 * n + 5) - F.col("x1") - F.col("y1")) / 18

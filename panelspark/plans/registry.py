@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,11 +21,7 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Query], Q
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
 
-        @functools.wraps(fn)
-        def run(spark: SparkSession, sf: str) -> DataFrame:
-            return fn(tune(spark), sf)
-
-        QUERIES[name] = run
+        QUERIES[name] = fn
         COVERS[name] = covers
         if sql is not None:
             ORACLES[name] = sql

@@ -81,13 +81,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Let joins reuse a partitioning on a subset of their keys.
-
-    Windows partition by the series key; a join on that key plus a date or model then needs no further
-    shuffle. A series is bounded by the calendar, so the coarser partitioning cannot skew.
-    """
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    return spark

@@ -83,25 +83,58 @@ def test_special_functions():
         special.jeffreys(3, 2)
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 37, 200])
-def test_sign_sum(n):
-    g = np.random.default_rng(n)
-    x, y = g.integers(0, 9, n).astype(float), g.integers(0, 9, n).astype(float)
-    brute = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(n) for j in range(i))
-    assert ST._sign_sum(x, y) == brute
+def sign_sum(x, y):
+    return float(np.triu(np.sign(x[:, None] - x) * np.sign(y[:, None] - y)).sum())
 
 
-def test_kendall_over_ranges(spark):
+def pairs_apart(v):
+    return float(np.triu(v[:, None] != v, 1).sum())
+
+
+def test_kendall_counts_inversions_over_blocks(spark):
+    """Ties, a value of a third of the rows, one-value and all-distinct columns, against all pairs."""
     g = np.random.default_rng(1)
-    x = np.where(g.random(400) < 0.34, 2.0, np.round(g.normal(size=400), 2))
-    y = np.round(x + g.normal(size=400), 1)
-    df = spark.createDataFrame([("f", float(a), float(b)) for a, b in zip(x, y, strict=True)], "feature string, x double, y double")
-    out = ST.kendall(df, splits=8).first()
-    s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(400) for j in range(i))
-    nx = sum(x[i] != x[j] for i in range(400) for j in range(i))
-    ny = sum(y[i] != y[j] for i in range(400) for j in range(i))
-    assert out["s"] == s and math.isclose(out["tau"], s / math.sqrt(float(nx) * float(ny)), rel_tol=1e-12)
-    assert out["p"] < 1e-6
+    n = 1500
+    x = np.where(g.random(n) < 0.34, 2.0, np.round(g.normal(size=n), 2))
+    made = {
+        "tied": (x, np.round(x + g.normal(size=n), 1)),
+        "distinct": (g.permutation(n).astype(float), g.normal(size=n) * 1e300),
+        "falling": (np.arange(n, dtype=float), -np.arange(n, dtype=float) ** 3),
+        "one x": (np.ones(n), g.normal(size=n)),
+        "one y": (g.normal(size=n), np.zeros(n)),
+        "tiny": (np.array([1.0, 2.0, 3.0]), np.array([-1e-310, 0.0, -5e-324])),
+    }
+    rows = [(f, float(a), float(b)) for f, (xs, ys) in made.items() for a, b in zip(xs, ys, strict=True)]
+    df = spark.createDataFrame([*rows, ("tied", None, 1.0), ("tied", 1.0, None)], "feature string, x double, y double").repartition(5)
+    out = {r["feature"]: r for r in ST.kendall(df).collect()}
+    assert out.keys() == made.keys()
+    for name, (xs, ys) in made.items():
+        s, ends = sign_sum(xs, ys), pairs_apart(xs) * pairs_apart(ys)
+        assert (out[name]["s"], out[name]["n"]) == (s, len(xs)), name
+        assert out[name]["tau"] is None if not ends else math.isclose(out[name]["tau"], s / math.sqrt(ends), rel_tol=1e-12)
+    assert out["tied"]["p"] < 1e-6 and out["one x"]["p"] == 1.0
+
+
+def test_sort_key_orders_doubles(spark):
+    g = np.random.default_rng(7)
+    special_values = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.0**-1022, np.nextafter(2.0**-1022, 0), 1.7976931348623157e308, -1.7976931348623157e308, math.inf, -math.inf]
+    powers = [s * f(2.0**e) for e in range(-1074, 1024, 37) for s in (1, -1) for f in (lambda v: v, lambda v: np.nextafter(v, 0), lambda v: np.nextafter(v, math.inf))]
+    values = np.array(special_values + powers + (g.normal(size=200) * 10.0 ** g.integers(-300, 300, 200)).tolist())
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    keys = np.array([r["k"] for r in df.select(Q.sort_key(F.col("v")).alias("k")).collect()], np.int64)
+    bits = values.view(np.int64)
+    assert keys.tolist() == np.where(bits < 0, -(bits & (2**63 - 1)), bits).tolist()
+    nan = df.sparkSession.createDataFrame([(math.nan,)], "v double").select(Q.sort_key(F.col("v"))).first()[0]
+    assert nan > keys.max()
+
+
+def test_order_statistics_keep_null_groups_and_integers(spark):
+    rows = [(None, 1, 2**53 + i) for i in range(5)] + [("a", None, i % 3) for i in range(10)] + [(None, None, 7)]
+    df = spark.createDataFrame(rows, "k string, j int, v long")
+    out = {(r["k"], r["j"]): (r["n"], r["lo"], r["hi"]) for r in Q.order_statistic(df, ["k", "j"], "v", {"lo": lambda n: F.lit(1), "hi": lambda n: n}).collect()}
+    assert out == {(None, 1): (5, 2**53, 2**53 + 4), ("a", None): (10, 0, 2), (None, None): (1, 7, 7)}
+    ranks = {(r["k"], r["j"], r["v"]): r["rank"] for r in Q.average_ranks(df, ["k", "j"], "v", {}).collect()}
+    assert ranks[("a", None, 0)] == 2.5 and ranks[(None, 1, 2**53 + 4)] == 5.0 and ranks[(None, None, 7)] == 1.0
 
 
 def test_feature_selection(spark):
@@ -122,21 +155,24 @@ def test_confidence_set_drops_the_bad_model(spark):
     assert "bad" not in kept and kept
 
 
-def test_smoothing_refits_like_a_fresh_fit():
-    y = np.cumsum(np.random.default_rng(5).normal(20, 60, 70)) + 5000
-    one, future = SM.ets_path(y, 30)
-    for origin in (30, 44, 69):
-        fresh, path = SM.ets_path(y[:origin], 30)
-        assert math.isclose(one[origin - 30], path[0], rel_tol=1e-12)
-        assert np.allclose(fresh, one[: origin - 30])
-    assert len(future) == SM.HORIZON
+def test_states_are_those_of_a_series_cut_at_the_origin():
+    g = np.random.default_rng(5)
+    y = np.cumsum(g.normal(20, 60, (3, 70)), axis=1) + 5000
+    first = np.array([30, 24, 36])
+    states = SM.batch_states(y, first)
+    for origin in (36, 44, 69):
+        assert np.array_equal(SM.batch_states(y[:, :origin], first)[:, :, -1], states[:, :, origin - 1])
+        alone = SM.batch_states(y[1:2], first[1:2])
+        assert np.array_equal(alone[:, 0], states[:, 1], equal_nan=True)
+    assert np.isnan(states[:, 2, 34]).all() and np.isfinite(states[:, 2, 35:]).all()
     steady = 100.0 + 30.0 * np.arange(60)
-    assert np.allclose(SM.ets_path(steady, 24)[1], 100.0 + 30.0 * np.arange(60, 72))
+    level, slope, phi = SM.batch_states(steady[None], np.array([24]))[:3, 0, -1]
+    assert (phi, round(slope, 9)) == (1.0, 30.0) and math.isclose(level, steady[-1])
 
 
 def test_theta_matches_a_plain_recursion():
     y = np.cumsum(np.random.default_rng(6).normal(10, 40, 50)) + 3000
-    one, _ = SM.theta_path(y, 20)
+    states = SM.batch_states(y[None], np.array([20]))
     for origin in (20, 35, 49):
         hist = y[:origin]
         best = None
@@ -149,7 +185,7 @@ def test_theta_matches_a_plain_recursion():
             if best is None or sse < best[0] - 1e-9:
                 best = (sse, level)
         slope = np.polyfit(np.arange(origin), hist, 1)[0]
-        assert math.isclose(one[origin - 20], best[1] + 0.5 * slope, rel_tol=1e-9)
+        assert math.isclose(states[3, 0, origin - 1] + states[4, 0, origin - 1], best[1] + 0.5 * slope, rel_tol=1e-9)
 
 
 def test_adaptive_replay():
