@@ -1,4 +1,4 @@
-"""Near duplicates by SimHash, found with an index in Gray order, and by similar sets of shingles (``keep_one``).
+"""Near duplicates by SimHash, found with an index in Gray order; by fingerprints alone or by similar sets (``keep_one``).
 
 Fingerprint: XXH64 (seed 42) of each run of three words votes on 64 bits; a bit is set if it is set in over half of
 the hashes. Two fingerprints are linked if they differ in at most ``DISTANCE`` bits, and documents are grouped by the
@@ -18,6 +18,10 @@ Only distinct fingerprints are compared, so that exact copies, however many, cou
 
 A task gives a spanning forest of the links in its bucket rather than all pairs, and the forests are joined by rounds
 of large-star and small-star joins, each written to the shared folder.
+
+``keep_one`` wants sets of five-word runs of Jaccard similarity 0.8 or more. Their fingerprints differ in about ten bits of 64, too
+many to cut buckets by bits, so minimum hashes deal the sets to buckets, and the Gray-order index searches each bucket for
+fingerprints that differ in at most ``NEAR`` bits; what it finds is compared exactly (``similar_sets``).
 """
 
 from __future__ import annotations
@@ -51,10 +55,17 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words of a shingle and the Jaccard similarity (a fraction) from which ``keep_one`` takes texts as near duplicates.
 SET_WORDS = 5
 SIMILARITY = (4, 5)
+#: Bits in which the fingerprints of similar sets may differ. At similarity 0.8 they differ in 9.7 bits on average, with a
+#: deviation of 2.9: 95 of 100 such pairs are within 14 bits, 99 of 100 at 0.85.
+NEAR = 14
 #: Bands and minimum hashes in each. Sets of similarity s share a band with probability 1 - (1 - s ** BAND_ROWS) ** BANDS:
 #: at 0.8 all but 3 pairs in a million do, at 0.9 all but one in 10 ** 12.
 BANDS = 32
 BAND_ROWS = 5
+#: Rounds in which each set is compared with one set of each of its buckets, before the index searches what is left.
+STARS = 3
+#: Nearest sets that a search gives at first, and how much more it gives in each further round.
+FIRST, MORE = 4, 8
 _random = np.random.default_rng(SEED)
 FLIPS, TIMES = (_random.integers(0, ALL, BANDS * BAND_ROWS, np.uint64, endpoint=True) for _ in range(2))
 TIMES |= np.uint64(1)
@@ -194,6 +205,29 @@ class GrayIndex:
         return search, node
 
 
+    def near(self, queries: np.ndarray, bucket: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, row, differing bits) of all rows in a query's bucket that differ from it in at most ``distance`` bits."""
+        sizes = np.diff(np.append(self.starts, len(self.fps)))
+        work = np.cumsum(sizes[bucket]) // PAIRS
+        for part in np.split(np.arange(len(queries)), np.flatnonzero(np.diff(work)) + 1):
+            search, node, differ = part, bucket[part], np.zeros(len(part), np.int64)
+            # bits that a whole bucket shares are looked at before the tree below it
+            top, mixed, _, _, _ = self.levels[-1]
+            differ += np.bitwise_count((queries[search] ^ top[node]) & ~mixed[node])
+            ok = differ <= distance
+            search, node, differ = search[ok], node[ok], differ[ok]
+            for level in range(len(self.levels) - 1, 0, -1):
+                _, mixed, child, last, _ = self.levels[level]
+                head, below, _, _, _ = self.levels[level - 1]
+                owner, into = _expand(last[node] - child[node], child[node])
+                query = search[owner]
+                new = mixed[node][owner] & ~below[into]
+                total = differ[owner] + np.bitwise_count((queries[query] ^ head[into]) & new)
+                ok = total <= distance
+                search, node, differ = query[ok], into[ok], total[ok]
+            yield search, node, differ
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The lowest row that each of ``n`` rows is connected to."""
     label = np.arange(n)
@@ -322,18 +356,32 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes: a bit is set if it is set in over half of them."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)]).astype("<u8")
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def _with_bands(docs: DataFrame, text: str, passed: tuple[str, ...], mark: str) -> DataFrame:
-    """``passed`` columns, the digest of every row's set of shingles (``mark``), its size and its band keys."""
+    """``passed`` columns, the digest of every row's set of shingles (``mark``), its size, fingerprint and band keys."""
 
     def start():
         def work(texts: pa.Array):
             sets = [shingles(t) for t in as_bytes(texts)]
             keys = np.concatenate([band_keys(s) for s in sets] or [np.zeros(0, np.uint64)])
-            return [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], lists(pa.array(keys.view(np.int64)), [BANDS] * len(sets))
+            prints = np.array([set_fingerprint(s) for s in sets], np.uint64)
+            return [
+                [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets],
+                pa.array(prints.view(np.int64)), lists(pa.array(keys.view(np.int64)), [BANDS] * len(sets)),
+            ]
 
         return work
 
-    return map_texts(docs, text, passed, [field(mark, "binary"), field(f"{mark}n", "int"), field(f"{mark}keys", "array<bigint>")], start)
+    fields = [field(mark, "binary"), field(f"{mark}n", "int"), field(f"{mark}bits", "bigint"), field(f"{mark}keys", "array<bigint>")]
+    return map_texts(docs, text, passed, fields, start)
 
 
 def _alike(a: Column | int, b: Column | int, shared: Column | int) -> Column:
@@ -343,86 +391,164 @@ def _alike(a: Column | int, b: Column | int, shared: Column | int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the ``pairs`` whose whole sets, of ``sets`` (fp, members), have the similarity."""
+    """(a, b, similar) of the ``pairs`` from their whole sets, of ``sets`` (fp, members)."""
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("members").alias(f"{side}s")), side)
     shared = F.size(F.array_intersect("as", "bs"))
-    return pairs.where(_alike(F.size("as"), F.size("bs"), shared)).select("a", "b")
+    return pairs.select("a", "b", _alike(F.size("as"), F.size("bs"), shared).alias("similar"))
+
 
+def _near_pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, more): for each search, up to ``most`` nearest sets of its part of a bucket that are in other components.
 
-def similar_sets(stored: DataFrame, text: str, mark: str, place: Column) -> DataFrame:
+    Rows (key, chunk, kind, bits, n, root, fp) are sorted by part, rows of the index (kind 0) before searches (1), and by
+    Gray rank. ``more`` tells that a search found further sets.
+    """
+    over, under = SIMILARITY
+    kinds = [np.int64, np.int32, np.int32, np.int64, np.int32, "S16", "S16"]
+    rest = [np.zeros(0, k) for k in kinds]
+
+    def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, chunk, kind, bits, n, root, fp = rows
+        new = np.append(True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) if len(key) else np.zeros(0, bool)
+        part = np.cumsum(new) - 1
+        inside, ask = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        found: list[list] = [[], [], []]
+        if len(inside) and len(ask):
+            # a part's searches are rows of its bucket, so that each part has rows of the index, or the search finds none
+            parts, starts = np.unique(part[inside], return_index=True)
+            ask = ask[np.isin(part[ask], parts)]
+            index = GrayIndex(bits[inside].view(np.uint64), starts)
+            for q, r, differ in index.near(bits[ask].view(np.uint64), np.searchsorted(parts, part[ask]), NEAR):
+                q, r = ask[q], inside[r]
+                small, large = np.minimum(n[q], n[r]).astype(np.int64), np.maximum(n[q], n[r]).astype(np.int64)
+                ok = (root[q] != root[r]) & (under * small >= over * large)
+                q, r, differ = q[ok], r[ok], differ[ok]
+                order = np.lexsort((fp[r], differ, q))
+                q, r = q[order], r[order]
+                first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+                rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+                more = np.isin(q, q[rank == most])
+                keep = rank < most
+                a, b = fp[q[keep]], fp[r[keep]]
+                both = list(zip(a.tolist(), b.tolist(), strict=True))
+                found[0] += map(min, both)
+                found[1] += map(max, both)
+                found[2] += more[keep].tolist()
+        whole = [[x.ljust(16, b"\0") for x in column] for column in found[:2]]  # numpy leaves out zeros at the end
+        return pa.RecordBatch.from_arrays([pa.array(whole[0], pa.binary()), pa.array(whole[1], pa.binary()), pa.array(found[2], pa.bool_())], ["a", "b", "more"])
+
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False).astype(k) if k != "S16" else np.array(c.to_pylist(), k) for c, k in zip(batch.columns, kinds, strict=True)]
+        rows = [np.append(x, y) for x, y in zip(rest, new, strict=True)]
+        ended = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
+        cut = int(ended[-1]) + 1 if len(ended) else 0
+        rest = [x[cut:] for x in rows]  # the last part may go on in the next batch
+        if cut:
+            yield pairs([x[:cut] for x in rows])
+        if len(rest[0]) > 1 << 16:  # many searches: those read so far are done, the index stays
+            yield pairs(rest)
+            rest = [x[rest[2] == 0] for x in rest]
+    yield pairs(rest)
+
+
+def similar_sets(stored: DataFrame, text: str, mark: str) -> DataFrame:
     """(node, root): the lowest set that each set with a similar one reaches, of the written rows of ``_with_bands``.
 
-    Sets that share a band key are candidates. Shingles that only one of them has can't be shared, which bounds the
-    similarity of a pair from the sizes and the numbers of the other shingles; pairs whose bound is too low are never
-    made. Of the others, each set is first compared with one of its bucket, that with the most shingles that
-    others have; the components of what is similar then leave few pairs in different components, all of which are
-    compared. So no candidate pair is left out unless it can't be similar or its sets are connected already.
+    Sets that share a band key are in one bucket. In ``STARS`` rounds each set is compared with one set of each of its buckets
+    that is in another component; that is linear and joins most of what belongs together. Then every set that is not in
+    the component of its bucket's star searches the bucket, in parts of at most about ``BUCKET`` sets, for the fingerprints of
+    other components within ``NEAR`` bits. A search gives its nearest sets first; the rest follow in later rounds,
+    as long as the components stay apart. So all candidates are compared but those that are connected already.
     """
-    distinct = stored.groupBy(F.col(mark).alias("fp")).agg(F.min(place).alias("place"), F.first(f"{mark}n").alias("n"), F.first(f"{mark}keys").alias("keys"))
+    distinct = stored.groupBy(F.col(mark).alias("fp")).agg(
+        F.min(f"{mark}id").alias("id"), F.first(f"{mark}n").alias("n"), F.first(f"{mark}bits").alias("bits"), F.first(f"{mark}keys").alias("keys")
+    )
     distinct = stage(distinct, "sets")
-    rows = distinct.select("fp", "n", F.explode("keys").alias("key"))
+    rows = distinct.select("fp", "n", "bits", F.explode("keys").alias("key"))
     several = stage(rows.groupBy("key").count().where("count > 1").select("key"), "several")
     rows = stage(rows.join(several, "key", "left_semi"), "bands")
 
     # texts of the sets that share a bucket, each once
-    wanted = rows.select("fp").distinct().join(distinct.select("fp", "place"), "fp").select("place.*")
-    chosen = stored.join(wanted, (F.col("_metadata.file_name") == wanted["file"]) & (F.col("_metadata.row_index") == wanted["row"]), "left_semi")
+    wanted = rows.select("fp").distinct().join(distinct.select("fp", "id"), "fp").select(F.col("id").alias(f"{mark}id"))
+    chosen = stored.join(wanted, f"{mark}id", "left_semi")
 
     def start():
         def work(texts: pa.Array):
-            sets = [shingles(t) for t in as_bytes(texts)]
-            return [lists(pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)), [len(s) for s in sets])]
+            found = [shingles(t) for t in as_bytes(texts)]
+            return [lists(pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)), [len(s) for s in found])]
 
         return work
 
     sets = stage(map_texts(chosen, text, (mark,), [field("members", "array<bigint>")], start).withColumnRenamed(mark, "fp"), "members")
-    lonely = sets.select("fp", F.explode("members").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("fp"))
-    lonely = stage(lonely.where("c = 1").groupBy("fp").agg(F.count(F.lit(1)).cast("int").alias("lonely")), "lonely")
-    rows = rows.join(lonely, "fp", "left").select("key", "fp", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("c"))
-    rows = stage(rows.where(_alike(F.col("n"), F.col("c"), F.col("c"))), "counted")
-
-    def fits(other_n: str, other_c: str) -> Column:
-        return _alike(F.col("n"), F.col(other_n), F.least("c", other_c))
-
-    order = F.struct(-F.col("c"), F.xxhash64("fp"), "fp", "n", "c")
-    centres = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("best")).where("rows > 1")
-    centres = stage(centres.select("key", F.col("best.fp").alias("centre"), F.col("best.n").alias("m"), F.col("best.c").alias("d")), "centres")
-    pairs = rows.join(centres, "key").where("fp <> centre").where(fits("m", "d"))
-    pairs = pairs.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
-    first = stage(_verified(stage(pairs, "pairs"), sets), "similar")
-    known = components(first)
-    rows = rows.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rows = stage(rows, "rooted")
-    mixed = stage(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "mixed")
-    rows = stage(rows.join(mixed, "key", "left_semi"), "mixed-bands")
-    other = rows.select("key", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("root").alias("other"))
-    pairs = rows.join(other, "key").where("fp < b and root <> other").where(fits("m", "d")).select(F.col("fp").alias("a"), "b").distinct()
-    pairs = stage(pairs, "more-pairs")
-    return components(first.unionByName(_verified(pairs, sets)))
+
+    tested = stage(sets.select(F.col("fp").alias("a"), F.col("fp").alias("b"), F.lit(True).alias("similar")).where(F.lit(False)), "tested")
+    known = None
+    over, under = SIMILARITY
+
+    def rooted() -> DataFrame:
+        """Rows of buckets that hold several components."""
+        if known is None:
+            return rows.withColumn("root", F.col("fp"))
+        out = stage(rows.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+        mixed = out.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        return stage(out.join(mixed, "key", "left_semi"), "mixed")
+
+    def compare(pairs: DataFrame) -> int:
+        """Compare what has not been compared; the number of new links."""
+        nonlocal tested, known
+        fresh = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        done = stage(_verified(fresh, sets), "compared")
+        tested = stage(tested.unionByName(done), "tested")
+        linked = done.where("similar").count()
+        if linked:
+            known = components(tested.where("similar").select("a", "b"))
+        return linked
+
+    for turn in range(STARS):
+        now = rooted()
+        order = F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "n", "root")
+        star = now.groupBy("key").agg(F.min(order).alias("s")).select("key", F.col("s.fp").alias("centre"), F.col("s.n").alias("m"), F.col("s.root").alias("other"))
+        pairs = now.join(stage(star, "stars"), "key").where("root <> other").where(under * F.least("n", "m") >= over * F.greatest("n", "m"))
+        compare(pairs.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")))
+
+    most = FIRST
+    while True:
+        now = rooted()
+        order = F.struct(F.xxhash64("fp", F.lit(STARS)), "root")
+        sizes = now.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("chunks"), F.min(order).alias("s"))
+        now = now.join(stage(sizes.select("key", "chunks", F.col("s.root").alias("other")), "bucket-sizes"), "key")
+        index = now.withColumn("chunk", F.pmod(F.hash("fp"), F.col("chunks"))).withColumn("kind", F.lit(0))
+        search = now.where("root <> other").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("kind", F.lit(1))
+        dealt = index.unionByName(search).select("key", "chunk", "kind", "bits", "n", "root", "fp")
+        dealt = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind", gray_rank(F.col("bits")))
+        found = stage(dealt.mapInArrow(lambda batches, n=most: _near_pairs(batches, n), "a binary, b binary, more boolean"), "near")
+        unfinished = found.where("more").limit(1).count()
+        linked = compare(found.select("a", "b"))
+        if not linked and not unfinished:
+            break
+        most *= MORE
+    return known if known is not None else components(tested.select("a", "b"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each group of near duplicates, with all columns: that of the smallest id (a null id only if there is no other).
 
     Near duplicates have sets of runs of ``SET_WORDS`` words with a Jaccard similarity of ``SIMILARITY`` or more, or are
-    connected by others that have (``similar_sets``). Rows of one id in a group are told apart by their place in the written copy, after a hash of their text, so that
-    repeated rows leave one.
+    connected by others that have (``similar_sets``). Null and empty texts, and those of white space alone, are copies of
+    each other. Rows of one id in a group are told apart by a hash of their text and then by their place in the written
+    copy, so that repeated rows leave one. Helper columns start with a prefix that no column has, whatever its case.
     """
     names = docs.columns
     mark = "fp"
-    while mark in names:
+    while any(name.lower().startswith(mark) for name in names):
         mark += "_"
-    marked = _with_bands(docs.withColumn(f"{mark}t", F.col(text)), f"{mark}t", tuple(names), mark)
-    stored = stage(marked, "marked")
-    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    rows = stored.select(
-        F.col(mark).alias("fp"),
-        F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), place.alias("place")).alias("best"),
-    )
+    marked = _with_bands(docs.withColumn(f"{mark}text", F.col(text)), f"{mark}text", tuple(names), mark)
+    stored = stage(marked.withColumn(f"{mark}id", F.monotonically_increasing_id()), "marked")
+    best = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.col(f"{mark}id").alias("id"))
     # the best of each set first, so that copies, however many, meet the roots as one row
-    rows = rows.groupBy("fp").agg(F.min("best").alias("best"))
-    roots = stage(similar_sets(stored, text, mark, place), "roots")
-    rooted = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.place.*")
-    return stored.join(kept, (F.col("_metadata.file_name") == kept["file"]) & (F.col("_metadata.row_index") == kept["row"]), "left_semi").select(*names)
+    rows = stored.groupBy(F.col(mark).alias("fp")).agg(F.min(best).alias("best"))
+    roots = stage(similar_sets(stored, text, mark), "roots")
+    found = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = found.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias(f"{mark}id"))
+    return stored.join(kept, f"{mark}id", "left_semi").select(*names)

@@ -234,3 +234,45 @@ def test_pipeline_stages(spark, sf, odd, empty):
         for _, step in corpus_pipeline.STAGES[:-1]:
             assert step(spark, rows, sf).columns == odd.columns
         assert len(corpus_pipeline.tokens(spark, rows, sf).collect()) == rows.count()
+
+
+def test_kept_rows_with_columns_named_like_helpers(odd):
+    names = {"fpt": F.lit("x"), "FP_": F.lit(1), "fpkeys": F.lit(None), "_metadata": F.lit("m"), "key": F.lit(2), "root": F.lit(3), "a": F.lit(4)}
+    docs = odd.withColumns(names)
+    kept = simhash.keep_one(docs)
+    assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6]
+    assert {(r.fpt, r.FP_, r._metadata) for r in kept.collect()} == {("x", 1, "m")}
+
+
+def test_fingerprints_of_similar_sets_are_near():
+    """Pairs of Jaccard similarity 0.8 to 0.82 differ in few enough bits; far pairs don't."""
+    rnd = np.random.default_rng(11)
+    near = far = 0
+    for _ in range(400):
+        size = int(rnd.integers(20, 400))
+        shared, own = int(round(0.81 * size)), size - int(round(0.81 * size))
+        pool = rnd.integers(0, 1 << 63, shared + own, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        cut = own // 2
+        a, b, c = pool[: shared + cut], np.concatenate([pool[:shared], pool[shared + cut :]]), rnd.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+        prints = [simhash.set_fingerprint(s) for s in (a, b, c)]
+        near += (prints[0] ^ prints[1]).bit_count() <= simhash.NEAR
+        far += (prints[0] ^ prints[2]).bit_count() <= simhash.NEAR
+    assert near >= 0.93 * 400 and far <= 2
+
+
+def test_index_finds_all_rows_near_a_query():
+    rnd = np.random.default_rng(2)
+    sizes = [1, 5, 300, 9]
+    fps = [np.sort(rnd.integers(0, 1 << 20, n).astype(np.uint64)) for n in sizes]
+    starts = np.cumsum([0, *sizes[:-1]])
+    whole = np.concatenate(fps)
+    index = simhash.GrayIndex(whole, starts)
+    queries, bucket = rnd.integers(0, 1 << 20, 60).astype(np.uint64), rnd.integers(0, 4, 60)
+    got = {(int(q), int(r), int(d)) for parts in index.near(queries, bucket, 6) for q, r, d in zip(*parts, strict=True)}
+    want = {
+        (q, int(r), (int(queries[q]) ^ int(whole[r])).bit_count())
+        for q in range(60)
+        for r in range(starts[bucket[q]], starts[bucket[q]] + sizes[bucket[q]])
+        if (int(queries[q]) ^ int(whole[r])).bit_count() <= 6
+    }
+    assert got == want and want
