@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from array import array
 from collections.abc import Iterable
 
@@ -22,6 +23,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from panelspark.llm.common import field, lists, map_texts
@@ -40,11 +42,65 @@ def exact_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(spelled)
 
 
+def _ranges(codes: Iterable[int]) -> str:
+    """A character class (without brackets) of code points in ascending order."""
+    out: list[list[int]] = []
+    for code in codes:
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+def _every() -> str:
+    return "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+
+
+@functools.cache
+def library_classes() -> dict[str, frozenset[int]]:
+    """Code points of the classes L and N as the tiktoken library knows them, asked from the library itself."""
+    found = {}
+    for name in "LN":
+        one = tiktoken.Encoding("class", pat_str=rf"\p{{{name}}}", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        found[name] = frozenset(map(ord, bytes(one.encode_ordinary(_every())).decode()))
+    return found
+
+
+@functools.cache
+def _unlike() -> np.ndarray:
+    """Which code points Python, the regex module and the library class differently: their Unicode versions differ."""
+    classes, every = library_classes(), _every()
+    letters, numbers = (frozenset(map(ord, regex.findall(rf"\p{{{name}}}", every))) for name in "LN")
+    alpha = frozenset(ord(c) for c in every if c.isalpha())
+    out = np.zeros(0x110000, bool)
+    out[list((letters ^ classes["L"]) | (numbers ^ classes["N"]) | (alpha ^ classes["L"]))] = True
+    return out
+
+
+def unlike(text: str) -> bool:
+    """Whether a text has such a code point."""
+    return not text.isascii() and bool(_unlike()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any())
+
+
+def library_pattern(pattern: str) -> regex.Pattern:
+    """The pattern with the library's classes spelled out; much slower, so only for texts in which ``unlike`` finds something."""
+    for name, codes in library_classes().items():
+        listed, mark = _ranges(sorted(codes)), rf"\p{{{name}}}"
+        # inside a class the ranges stand as they are, elsewhere as a class of their own
+        parts, depth = [], 0
+        for piece in re.split(r"((?<!\\)[\[\]])", pattern):
+            depth += {"[": 1, "]": -1}.get(piece, 0)
+            parts.append(piece.replace(mark, listed if depth else f"[{listed}]"))
+        pattern = "".join(parts)
+    return exact_pattern(pattern)
+
+
 class Bpe:
     """The vocabulary of a rank file and its encoder."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.pattern = ranks, exact_pattern(pattern)
+        self.ranks, self.pattern, self.given, self.slow = ranks, exact_pattern(pattern), pattern, None
         self.tokens = {i: t for t, i in ranks.items()}
         self.size = {i: len(t) for t, i in ranks.items()}
         self.automaton = ahocorasick.Automaton()
@@ -136,6 +192,9 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """Token ids of a text as 32-bit integers laid end to end."""
+        if unlike(text):
+            self.slow = self.slow or library_pattern(self.given)
+            return b"".join([self._match(m) for m in self.slow.findall(text)])
         first, *rest = spaced(text)
         return self._joined(first) + b"".join(map(self.word_ids.__getitem__, rest)) if rest else self._joined(first)
 

@@ -122,7 +122,9 @@ class Strings:
             return lambda texts: [[[s.decode() for s in windows(t)] for t in as_bytes(texts)]]
 
         found = map_texts(benchmark, text, (item_id,), [field("strings", "array<string>")], start)
-        pairs = found.select(F.col(item_id).cast("bigint").alias("item"), F.explode("strings").alias("string")).distinct()
+        #: SQL type of item ids
+        self.kind = benchmark.schema[item_id].dataType.simpleString()
+        pairs = found.select(F.col(item_id).alias("item"), F.explode("strings").alias("string")).distinct()
         self.pairs = stage(pairs, "test-strings")
         self.blocks = max(1, math.ceil(self.pairs.count() / block))
 
@@ -150,8 +152,8 @@ def _finder(strings):
     return start
 
 
-def _fields() -> list:
-    return [field("n_words", "bigint"), field("hits", "array<struct<start:int,end:int>>"), field("items", "array<bigint>")]
+def _fields(strings: Strings) -> list:
+    return [field("n_words", "bigint"), field("hits", "array<struct<start:int,end:int>>"), field("items", f"array<{strings.kind}>")]
 
 
 def find(docs: DataFrame, strings: Strings, text: str = "text", passed: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -161,12 +163,12 @@ def find(docs: DataFrame, strings: Strings, text: str = "text", passed: tuple[st
     """
     send = docs.sparkSession.sparkContext.broadcast
     if strings.blocks == 1:
-        return map_texts(docs, text, passed, _fields(), _finder(send(strings.block(0))))
+        return map_texts(docs, text, passed, _fields(strings), _finder(send(strings.block(0))))
     stored = stage(docs.select(*passed, F.col(text).alias("_text")), "texts")
     placed = stored.withColumns({"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
     hits = None
     for number in range(strings.blocks):
-        block = map_texts(placed, "_text", ("_file", "_row"), _fields(), _finder(send(strings.block(number)))).where(F.size("hits") > 0)
+        block = map_texts(placed, "_text", ("_file", "_row"), _fields(strings), _finder(send(strings.block(number)))).where(F.size("hits") > 0)
         hits = block if hits is None else hits.unionByName(block)
     hits = hits.groupBy("_file", "_row").agg(
         F.flatten(F.collect_list("hits")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
@@ -175,7 +177,7 @@ def find(docs: DataFrame, strings: Strings, text: str = "text", passed: tuple[st
     def start():
         return lambda texts: [[len(words(t)) for t in as_bytes(texts)]]
 
-    counted = map_texts(placed, "_text", (*passed, "_file", "_row"), _fields()[:1], start)
+    counted = map_texts(placed, "_text", (*passed, "_file", "_row"), _fields(strings)[:1], start)
     out = counted.join(hits, ["_file", "_row"], "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     return out.select(

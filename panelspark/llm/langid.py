@@ -3,7 +3,7 @@
 A text is read as its runs of letters, lower-cased. Every run of two to four neighbouring symbols inside a word
 (the word's borders are a symbol too) is hashed to one of ``BUCKETS`` embeddings; their mean goes through a linear
 softmax. Embeddings and softmax are trained together by stochastic gradient descent on a bounded, documented
-sample of labelled rows (``SAMPLE_PER_LANG`` for each of at most ``MAX_LANGS`` languages); prediction reads every
+sample of labelled rows (``SAMPLE_PER_LANG`` for each language that any row is labelled with); prediction reads every
 character of every text. As the model is linear after the mean, the product of both matrices is one table with
 a row of language scores for each bucket.
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import field, keep_rows, map_texts
@@ -29,9 +29,8 @@ from panelspark.llm.common import field, keep_rows, map_texts
 UNKNOWN = "und"
 BUCKETS = 1 << 13
 DIM = 16
-#: Bounds of the fitting sample: rows for each language, languages, and characters in an excerpt of a sampled row.
+#: Bounds of the fitting sample: rows for each language, and characters in an excerpt of a sampled row.
 SAMPLE_PER_LANG = 400
-MAX_LANGS = 176
 EXCERPT = 60
 REJECT_RATE = 0.001
 #: No text whose best language has this probability or more is rejected.
@@ -129,15 +128,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(labelled: DataFrame, doc_id: str, lang: str, text: str) -> pd.DataFrame:
-    """At most about SAMPLE_PER_LANG rows of each language as bucket counts, each as a whole and as a short excerpt."""
-    counts = labelled.groupBy(lang).count().orderBy(F.desc("count"), F.col(lang)).limit(MAX_LANGS).collect()
-    if not counts:
+    """SAMPLE_PER_LANG rows of each language, or all if there are fewer, as bucket counts, each as a whole and as a short excerpt.
+
+    Rows are drawn by a hash of id and text; equal rows, however many, count once, so that they can't fill a language's part.
+    """
+    roll = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc_id, text), 11) / F.lit(float(1 << 53))
+    rows = labelled.select(roll.alias("roll"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # a row for each language; its share leaves about twice the rows wanted, of which the first by hash stay
+    shares = rows.groupBy("lang").agg(F.approx_count_distinct("roll").alias("rows"))
+    share = {r["lang"]: min(1.0, 2 * SAMPLE_PER_LANG / r["rows"]) for r in shares.collect()}
+    if not share:
         return pd.DataFrame({"lang": [], "buckets": [], "counts": []})
-    # one threshold on a hash for each language takes a random share of its rows, wherever they lie
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1.0, SAMPLE_PER_LANG / r[1]))))
-    roll = F.pmod(F.xxhash64(F.lit(SEED), doc_id), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = labelled.select(roll.alias("roll"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    chosen = chosen.where(F.col("roll") < F.element_at(share, F.col("lang")))
+    least = labelled.sparkSession.createDataFrame(sorted(share.items()), "lang string, share double")
+    chosen = rows.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(least), "lang").where("roll <= share")
+    chosen = chosen.groupBy("lang", "roll").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("roll"))
+    chosen = chosen.withColumn("place", first).where(F.col("place") <= SAMPLE_PER_LANG)
 
     def start():
         def work(texts: pa.Array):
@@ -151,8 +157,7 @@ def _sample(labelled: DataFrame, doc_id: str, lang: str, text: str) -> pd.DataFr
 
     kinds = [field(c, "array<int>") if c.startswith("b") else field(c, "array<float>") for c in ("b_whole", "c_whole", "b_short", "c_short")]
     rows = map_texts(chosen, "text", ["roll", "lang"], kinds, start)
-    # rows that share an id share its hash; the limit bounds the sample for them too
-    rows = rows.orderBy("roll", "lang").limit(2 * SAMPLE_PER_LANG * len(counts)).toPandas()
+    rows = rows.toPandas()
     rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["lang"][i], list(rows["b_short"][i]), list(rows["b_whole"][i])))]
     parts = [rows[["lang", f"b_{k}", f"c_{k}"]].set_axis(["lang", "buckets", "counts"], axis=1) for k in ("whole", "short")]
     out = pd.concat(parts, ignore_index=True)

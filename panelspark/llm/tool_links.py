@@ -34,7 +34,8 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Each user turn calls ``answer`` under the identifier conversation:turn and waits for the user turn two before it; an
     assistant turn is the result of the turn before it. Equal rows count once, with their number in ``copies``; different
-    texts under one conversation and turn stay apart. A null conversation or turn gives a null identifier. Other roles are left out.
+    texts under one conversation and turn stay apart. A null conversation or turn gives a null identifier. ``other_turns``
+    has the rows of all other roles.
     """
     def of(role: str) -> DataFrame:
         rows = turns.where(F.col("role") == role).select(F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("bigint").alias("at"), "text")
@@ -167,32 +168,57 @@ def answer_schema(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def other_turns(turns: DataFrame) -> DataFrame:
+    """Rows of roles that neither call nor answer (system, tool, null), in the form of ``link``, with the status other.
+
+    Equal rows count once; the name in the JSON is the role, the result the text.
+    """
+    rest = turns.where(F.coalesce(~F.col("role").isin("user", "assistant"), F.lit(True)))
+    rows = rest.groupBy(F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("bigint").alias("at"), "role", "text").agg(F.count(F.lit(1)).alias("copies"))
+    json = F.concat(F.lit('{"arguments":null,"id":null,"name":'), _quoted(F.col("role")), F.lit(',"result":'), _quoted(F.col("text")), F.lit("}"))
+    none = {c: F.lit(None).cast(kind) for c, kind in (("call_id", "string"), ("result_turn", "bigint"), ("depth", "bigint"), ("position", "bigint"))}
+    return rows.select(
+        F.col("conv").alias("conv_id"), none["call_id"].alias("call_id"), F.col("at").alias("call_turn"), none["result_turn"].alias("result_turn"), none["depth"].alias("depth"),
+        none["position"].alias("position"), F.col("copies").alias("call_copies"), F.lit(None).cast("bigint").alias("result_copies"), F.lit("other").alias("status"),
+        F.lit(None).cast("boolean").alias("valid"), F.lit(None).cast("string").alias("errors"), json.alias("json"),
+    )
+
+
 def conversation_links(turns: DataFrame) -> DataFrame:
-    """``link`` over plain conversations."""
-    return link(*from_conversations(turns), answer_schema(turns.sparkSession))
+    """``link`` over plain conversations, and a row for each turn of another role: no row is left out.
+
+    Only the four columns are looked at; texts of any length, null and empty ones are arguments and results as they are.
+    """
+    return link(*from_conversations(turns), answer_schema(turns.sparkSession)).unionByName(other_turns(turns))
 
 
 SQL = """
 WITH RECURSIVE calls AS (
-  SELECT CAST(conv_id AS VARCHAR) AS conv, turn AS pos, min(text) AS text, count(*) AS copies FROM conversations WHERE role = 'user' GROUP BY ALL),
+  SELECT CAST(conv_id AS VARCHAR) AS conv, turn AS pos, text, count(*) AS copies, CAST(conv_id AS VARCHAR) || ':' || turn AS id FROM conversations WHERE role = 'user' GROUP BY conv_id, turn, text),
 results AS (
-  SELECT CAST(conv_id AS VARCHAR) AS conv, turn AS pos, min(text) AS text, count(*) AS copies FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+  SELECT CAST(conv_id AS VARCHAR) AS conv, turn AS pos, text, count(*) AS copies, CAST(conv_id AS VARCHAR) || ':' || (turn - 1) AS id FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn, text),
+several AS (
+  SELECT DISTINCT id FROM (SELECT id, 'c' AS side FROM calls UNION ALL SELECT id, 'r' FROM results) WHERE id IS NOT NULL GROUP BY id, side HAVING count(*) > 1),
+asked AS (SELECT DISTINCT conv, pos, id FROM calls WHERE id IS NOT NULL),
 chain AS (
-  SELECT conv, pos, 0 AS depth FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls b WHERE b.conv = c.conv AND b.pos = c.pos - 2)
+  SELECT conv, pos, id, 0 AS depth FROM asked c WHERE NOT EXISTS (SELECT 1 FROM asked b WHERE b.conv = c.conv AND b.pos = c.pos - 2)
   UNION ALL
-  SELECT c.conv, c.pos, depth + 1 FROM chain JOIN calls c ON c.conv = chain.conv AND c.pos = chain.pos + 2),
+  SELECT c.conv, c.pos, c.id, depth + 1 FROM chain JOIN asked c ON c.conv = chain.conv AND c.pos = chain.pos + 2),
+c AS (SELECT calls.*, calls.id IS NULL OR calls.id IN (SELECT id FROM several) AS apart FROM calls),
+r AS (SELECT results.*, results.id IS NULL OR results.id IN (SELECT id FROM several) AS apart FROM results),
 both_ AS (
-  SELECT coalesce(c.conv, r.conv) AS conv_id,
-    CASE WHEN c.copies IS NOT NULL THEN c.conv || ':' || c.pos ELSE r.conv || ':' || (r.pos - 1) END AS call_id,
-    c.pos AS call_turn, r.pos AS result_turn, chain.depth, c.copies AS call_copies, r.copies AS result_copies, c.text AS question, r.text AS result
-  FROM (calls c LEFT JOIN chain ON chain.conv = c.conv AND chain.pos = c.pos) FULL JOIN results r ON c.conv = r.conv AND c.pos = r.pos - 1),
+  SELECT coalesce(x.conv, y.conv) AS conv_id, coalesce(x.id, y.id) AS call_id, x.pos AS call_turn, y.pos AS result_turn, x.copies AS call_copies, y.copies AS result_copies,
+    x.text AS question, y.text AS result, false AS apart
+  FROM (SELECT * FROM c WHERE NOT apart) x FULL JOIN (SELECT * FROM r WHERE NOT apart) y ON x.id = y.id
+  UNION ALL SELECT conv, id, pos, NULL, copies, NULL, text, NULL, true FROM c WHERE apart
+  UNION ALL SELECT conv, id, NULL, pos, NULL, copies, NULL, text, true FROM r WHERE apart),
 checked AS (
-  SELECT *, CASE WHEN call_copies IS NULL THEN NULL ELSE list_filter([
+  SELECT both_.*, CASE WHEN call_copies IS NOT NULL THEN chain.depth END AS depth, CASE WHEN call_copies IS NULL THEN NULL ELSE list_filter([
     CASE WHEN question IS NULL THEN 'question: missing' WHEN length(question) NOT BETWEEN 1 AND 1200 THEN 'question: range' END,
     CASE WHEN call_turn IS NULL THEN 'turn: missing' WHEN call_turn NOT BETWEEN 0 AND 1000000 THEN 'turn: range' END], lambda x: x IS NOT NULL) END AS errs
-  FROM both_)
+  FROM both_ LEFT JOIN chain ON chain.id = both_.call_id)
 SELECT conv_id, call_id, call_turn, result_turn, CAST(depth AS BIGINT) AS depth, CAST(2 * depth AS BIGINT) AS position, call_copies, result_copies,
-  CASE WHEN call_id IS NULL THEN 'no_id' WHEN call_copies IS NOT NULL AND result_copies IS NOT NULL THEN 'answered'
+  CASE WHEN call_id IS NULL THEN 'no_id' WHEN apart THEN 'conflict' WHEN call_copies IS NOT NULL AND result_copies IS NOT NULL THEN 'answered'
     WHEN call_copies IS NOT NULL THEN 'unanswered' ELSE 'orphan' END AS status,
   CASE WHEN call_copies IS NOT NULL THEN len(errs) = 0 END AS valid, array_to_string(errs, '; ') AS errors,
   '{"arguments":' || CASE WHEN call_copies IS NULL THEN 'null' ELSE '{"question":' || coalesce(CAST(to_json(question) AS VARCHAR), 'null')
@@ -200,4 +226,8 @@ SELECT conv_id, call_id, call_turn, result_turn, CAST(depth AS BIGINT) AS depth,
     || ',"id":' || coalesce(CAST(to_json(call_id) AS VARCHAR), 'null') || ',"name":' || CASE WHEN call_copies IS NULL THEN 'null' ELSE '"answer"' END
     || ',"result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}' AS json
 FROM checked
+UNION ALL
+SELECT CAST(conv_id AS VARCHAR), NULL, turn, NULL, NULL, NULL, count(*), NULL, 'other', NULL, NULL,
+  '{"arguments":null,"id":null,"name":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"result":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant') GROUP BY conv_id, turn, role, text
 """

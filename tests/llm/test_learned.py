@@ -105,3 +105,18 @@ def test_quality_keeps_trusted(spark, sf, odd, empty):
     assert rows[1].kept is False and rows[2].perplexity is None and rows[3].n_chars > 0
     assert quality_lm.classify(empty, labels).count() == 0
     assert {r.kept for r in quality_lm.classify(odd, labels.where("1 = 0")).collect()} == {False}
+
+
+def test_every_labelled_language_is_learned(spark):
+    """Many rows under one id, copies of one row, and more languages than rows of some: none vanishes from the sample."""
+    english = [(3, f"this is the text number {i} of the many that the old man and the others read here", "en") for i in range(3000)]
+    french = [(10 + i, f"voici le texte numéro {i} que les autres lisent dans la maison avec le chat", "fr") for i in range(40)]
+    german = [(9000, "dies ist ein einziger Satz, der sehr oft in der Tabelle steht und nicht verloren geht", "de")] * 2000
+    rare = [(20_000 + 4 * i, f"{chr(0x4E00 + 300 * i)}{chr(0x4E10 + 300 * i)}{chr(0x4E20 + 300 * i)} " * 5, f"x{i:03d}") for i in range(40)]
+    docs = spark.createDataFrame(english + french + german + rare, "doc_id long, text string, lang string").repartition(4)
+    learnable = {r.lang for r in docs.where(~langid.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    assert {"en", "fr", "de"} <= learnable and len(learnable) > 25
+    model = langid.fit(docs)
+    assert set(model.langs) == learnable
+    wanted = spark.createDataFrame([(1, english[1][1]), (2, french[1][1])], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(wanted, model).collect()} == {1: "en", 2: "fr"}

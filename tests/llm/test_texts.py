@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -200,7 +201,7 @@ def test_conversations_with_odd_rows(spark, sf):
         "conv_id long, turn long, role string, text string",
     )
     rows = sorted((r.conv_id or "", r.status, r.call_copies) for r in tool_links.conversation_links(turns).collect())
-    assert rows == [("", "no_id", 1), ("1", "answered", 2), ("2", "no_id", None)]
+    assert rows == [("", "no_id", 1), ("1", "answered", 2), ("2", "no_id", None), ("3", "other", 1)]
     assert tool_links.conversation_links(table(spark, sf, "conversations").where("1 = 0")).count() == 0
 
 
@@ -240,7 +241,7 @@ def test_kept_rows_with_columns_named_like_helpers(odd):
     names = {"fpt": F.lit("x"), "FP_": F.lit(1), "fpkeys": F.lit(None), "_metadata": F.lit("m"), "key": F.lit(2), "root": F.lit(3), "a": F.lit(4)}
     docs = odd.withColumns(names)
     kept = simhash.keep_one(docs)
-    assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6]
+    assert kept.dtypes == docs.dtypes and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6]
     assert {(r.fpt, r.FP_, r._metadata) for r in kept.collect()} == {("x", 1, "m")}
 
 
@@ -276,3 +277,18 @@ def test_index_finds_all_rows_near_a_query():
         if (int(queries[q]) ^ int(whole[r])).bit_count() <= 6
     }
     assert got == want and want
+
+
+def test_links_equal_sql_on_conflicts_and_other_roles(spark):
+    """Conflicts, other and null roles, null ids and turns, a very long text and clashing columns."""
+    long_text = "long text \\ \"quoted\" é " * 20_000
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "r"), (1, 1, "assistant", "s"), (1, 2, "user", "t"), (1, 2, "user", "u"), (1, 3, "assistant", "v"), (1, 4, "user", "w")]
+    rows += [(2, 0, "system", "rules"), (2, 0, "system", "rules"), (2, 1, "user", long_text), (2, 2, "assistant", ""), (2, 3, "user", ""), (2, 4, "tool", None), (2, 5, None, "n")]
+    rows += [(None, 0, "user", "a"), (None, 0, "user", "b"), (3, None, "assistant", "c"), (3, None, "user", None), (4, 1, "assistant", "orphan"), (None, None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"call_id": F.lit("x"), "Status": F.lit(1), "name": F.lit(None)})
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    out = tool_links.conversation_links(turns)
+    assert differences(out, con, tool_links.SQL) == []
+    assert sum((r.call_copies or 0) + (r.result_copies or 0) for r in out.collect()) == len(rows)

@@ -139,3 +139,12 @@ def test_words_of_letters_and_marks_give_the_library_ids():
     some = [" ".join(["first", *words]), " ".join(words), *(f"of {w} {w.upper()} end" for w in words)]
     for text, got in zip(some, own.encode(some), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_bpe_gives_the_library_ids_for_every_code_point(reference):
+    own = bpe.load(RANKS, public_tokenizers.PATTERN)
+    assert bpe.unlike("a࢏") and not bpe.unlike("é ß 中 ½") and not bpe.unlike("plain")
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x33500 or c % 64 == 0 or 0xE0000 <= c < 0xE0200)]
+    for at in range(0, len(codes), 48):
+        text = "".join(f"a{chr(c)}'s {chr(c)}1 {chr(c)}\n" for c in codes[at : at + 48])
+        assert np.frombuffer(own.encode(text), "<i4").tolist() == reference.encode_ordinary(text), hex(codes[at])
