@@ -378,27 +378,35 @@ def friedman(errors: DataFrame, models: tuple[str, ...], error: str = "mase") ->
     return out.withColumn("p", tail).withColumn("critical_difference", cd)
 
 
+#: Values that a bootstrap's uniform numbers can have.
+DRAWS = 1 << 32
+
+
+def poisson_steps(draws: int = DRAWS) -> list[float]:
+    """Distribution function of the Poisson law of mean one, up to the largest uniform number below one."""
+    steps, term, i = [float(np.exp(-1.0))], float(np.exp(-1.0)), 0
+    while steps[-1] <= 1.0 - 1.0 / draws:
+        i += 1
+        term /= i
+        steps.append(steps[-1] + term)
+    return steps[:-1]
+
+
 def model_confidence_set(losses: DataFrame, unit: list[str], models: tuple[str, ...], alpha: float = 0.05, reps: int = 500, seed: int = 42) -> list[str]:
     """Models not significantly worse than the best, by a unit bootstrap.
 
     Losses shrink to a sum and count per (unit, model); each unit gets a Poisson weight per replication
-    from a hash of (seed, replication, unit), so resampling is a distributed, repeatable aggregation.
+    from the md5 digest of (seed, unit, replication), so resampling is a distributed aggregation that any engine can repeat.
     Only the (replication, model) means reach the driver, where models are eliminated one by one.
     """
-    key = F.xxhash64(F.lit(seed), *unit)
     per_unit = losses.filter(F.col("model").isin(*models)).groupBy(*unit, "model").agg(F.sum("loss").alias("_s"), F.count("loss").alias("_c"))
     wide = per_unit.groupBy(*unit).pivot("model", list(models)).agg(F.first("_s"))
     size = per_unit.groupBy(*unit).agg(F.min("_c").alias("_c"), F.count(F.lit(1)).alias("_k"))
-    rows = wide.join(size, unit).filter(F.col("_k") == len(models)).withColumn("_h", key)
+    rows = wide.join(size, unit).filter(F.col("_k") == len(models))
     drawn = rows.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    u = F.pmod(F.xxhash64("_h", "_rep"), F.lit(1 << 30)) / float(1 << 30)
-    # Inverse of the Poisson distribution function: every step that the finest uniform draw can reach.
-    weight, cumulative, term, i = F.lit(0.0), float(np.exp(-1.0)), float(np.exp(-1.0)), 0
-    while cumulative <= 1.0 - 2.0**-30:
-        weight = weight + (u >= cumulative).cast("double")
-        i += 1
-        term /= i
-        cumulative += term
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in unit], F.col("_rep").cast("string")))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(DRAWS))
+    weight = sum(((u >= step).cast("double") for step in poisson_steps()), F.lit(0.0))
     # Replication 0 is the sample itself.
     drawn = drawn.withColumn("_w", F.when(F.col("_rep") == 0, 1.0).otherwise(weight))
     table = (

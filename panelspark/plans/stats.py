@@ -308,7 +308,37 @@ def _friedman(spark, sf):
     return ST.friedman(series_errors(spark, sf), FC.BASELINES).withColumns(r6("friedman", "p", "critical_difference"))
 
 
-@query("model_confidence_set", "N9")
+_STEPS = ", ".join(f"{v:.17e}" for v in ST.poisson_steps())
+register(
+    "bootmeans",
+    ("onelong",),
+    f"""WITH u AS (SELECT {KEY}, model, sum((y - forecast)^2) AS s, count(*) AS c FROM onelong WHERE region = 'holdout' AND y IS NOT NULL GROUP BY ALL),
+             n AS (SELECT {KEY}, min(c) AS c FROM u GROUP BY ALL HAVING count(*) = 3),
+             w AS (SELECT n.*, r, CASE WHEN r = 0 THEN 1.0 ELSE len(list_filter([{_STEPS}], lambda x:
+                     ('0x' || substr(md5(concat_ws('|', '42', country, block, category, "table", r)), 1, 8))::BIGINT / {float(ST.DRAWS)!r} >= x)) END AS w
+                   FROM n, (SELECT unnest(range(501)) AS r)),
+             v AS (SELECT r, model, sum(w * s) / nullif(sum(w * w.c), 0) AS v FROM w JOIN u USING ({KEY}) GROUP BY ALL)
+        SELECT * FROM v WHERE r IN (SELECT r FROM v GROUP BY r HAVING count(v) = 3)""",
+)
+
+
+def _eliminate(kept: str) -> str:
+    """One step: the models in ``kept`` without the worst, if it is significantly worse than the others."""
+    return f"""
+      SELECT model FROM {kept} WHERE (SELECT count(*) FROM {kept}) < 2 OR model NOT IN (
+        WITH d AS (SELECT r, model, v - avg(v) OVER (PARTITION BY r) AS d FROM bootmeans WHERE model IN (SELECT model FROM {kept})),
+             c AS (SELECT d.r, d.model, d.d - z.d AS e, z.d AS centre FROM d JOIN d z ON z.r = 0 AND z.model = d.model WHERE d.r > 0),
+             t AS (SELECT model, sqrt(avg(e * e)) AS sd, coalesce(any_value(centre) / nullif(sqrt(avg(e * e)), 0), 0) AS t FROM c GROUP BY model),
+             m AS (SELECT r, max(e / nullif(sd, 0)) AS m FROM c JOIN t USING (model) GROUP BY r)
+        SELECT arg_max(model, t) FROM t HAVING (SELECT avg(CASE WHEN m >= (SELECT max(t) FROM t) THEN 1.0 ELSE 0.0 END) FROM m) < 0.05)"""
+
+
+register("kept0", ("bootmeans",), "SELECT DISTINCT model FROM bootmeans")
+register("kept1", ("kept0",), _eliminate("kept0"))
+register("kept2", ("kept1",), _eliminate("kept1"))
+
+
+@query("model_confidence_set", "N9", sql("SELECT model, model IN (SELECT model FROM kept2) AS included FROM kept0", "kept2"))
 def _mcs(spark, sf):
     long = FC.one_step_long(obs(spark, sf), SHORT).filter((F.col("region") == "holdout") & F.col("y").isNotNull())
     losses = long.withColumn("loss", F.pow(F.col("y") - F.col("forecast"), F.lit(2.0)))
