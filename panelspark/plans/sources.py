@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.config import PANEL_KEY
+from panelspark.config import PANEL_KEY, WORLD
 from panelspark.functions.cells import norm_label
 from panelspark.functions.rules import panel_category
 from panelspark.operators import warehouse as W
@@ -12,9 +12,11 @@ from panelspark.operators.audit import check_contract
 from panelspark.operators.setops import union_blocks
 from panelspark.plans.ctes import sql
 from panelspark.plans.registry import query
-from panelspark.session import shared_dir
+from panelspark.session import shared_dir, stage
+from panelspark.sources import raw_csv as RC
 from panelspark.sources import sinks
 from panelspark.sources import snapshots as SN
+from panelspark.sources.files import write_files
 from panelspark.sources.tables import annotate, area_panel, order_cells, published, rank_cells, rank_panel, table
 
 KEY5 = 'country, block, category, "table", bulletin_date'
@@ -98,18 +100,67 @@ def _page_ranks(spark, sf):
     return SN.rank_rows(rendered_ranks(spark, sf)).withColumn("rank_cutoff", F.col("rank_cutoff").cast("double"))
 
 
+def month_files(spark, sf):
+    """Whole snapshots as files: name and page of each month."""
+    pages = rendered_pages(spark, sf).groupBy("month").agg(F.array_join(F.array_sort(F.collect_list("content")), "").alias("content"))
+    name = F.concat(F.lit("visa-bulletin-for-"), F.lower(F.date_format("month", "MMMM")), F.lit("-"), F.date_format("month", "yyyy"), F.lit(".html"))
+    return stage(pages.select("month", name.alias("name"), "content"), "month-pages")
+
+
 @query(
     "snapshot_months",
     "S1",
-    """SELECT m, count(*) AS n FROM (
-         SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(date_trunc('month', o_orderdate) AS DATE) END AS m FROM orders) GROUP BY ALL""",
+    sql(
+        """SELECT bulletin_date AS m, 1 AS n_files, 1 AS n_pages FROM panel GROUP BY bulletin_date
+           UNION ALL SELECT NULL, count(DISTINCT bulletin_date), 1 FROM panel WHERE month(bulletin_date) = 1""",
+        "panel",
+    ),
 )
 def _months(spark, sf):
-    month = F.date_format("o_orderdate", "MMMM")
-    infix = F.when(F.col("o_orderkey") % 2 == 0, "for-").otherwise("")
-    name = F.concat(F.lit("/data/visa-bulletin-"), infix, month, F.lit("-"), F.year("o_orderdate").cast("string"), F.lit(".html"))
-    broken = F.when(F.col("o_orderkey") % 5 == 0, F.lit("/data/visa-bulletin-announcement.html")).otherwise(name)
-    return table(spark, sf, "orders").groupBy(SN.month_of_name(broken).alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    """A folder of snapshot files, some with names that stand for no month, scanned again."""
+    folder, pages = shared_dir(spark, "snapshots"), month_files(spark, sf)
+    odd = pages.filter(F.month("month") == 1).select(F.concat(F.lit("announcement-"), "name").alias("name"), F.lit("<html></html>").alias("content"))
+    odd = odd.withColumn("name", F.regexp_replace("name", "visa-bulletin-for", "notice"))
+    write_files(pages.select("name", "content").unionByName(odd), folder)
+    found = SN.read_snapshots(spark, folder)
+    return found.groupBy(F.col("month").alias("m")).agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct("sha256").alias("n_pages"))
+
+
+@query(
+    "csv_quarantine",
+    "S4",
+    sql(
+        """WITH r AS (SELECT *, bulletin_date AS m, CASE WHEN month(bulletin_date) = 2 THEN 'fields' WHEN month(bulletin_date) = 3 THEN 'level'
+                  WHEN month(bulletin_date) = 4 THEN 'table type' WHEN month(bulletin_date) = 5 THEN 'bulletin month' WHEN month(bulletin_date) = 6 THEN 'status'
+                  WHEN month(bulletin_date) = 7 AND status = 'F' THEN 'date missing' END AS reason FROM panel)
+           SELECT country, block, coalesce(reason, 'sound') AS reason, count(*) AS n, count(CASE WHEN reason IS NULL THEN days_since_base END) AS n_dates,
+             CAST(sum(CASE WHEN reason IS NULL THEN days_since_base END) AS BIGINT) AS days FROM r GROUP BY ALL""",
+        "panel",
+    ),
+)
+def _quarantine(spark, sf):
+    """Area files with sound lines and lines that are broken in a way that depends on their month; both sides of the split."""
+    cells, month = area_panel(spark, sf), F.month("bulletin_date")
+    level = F.when(month == 3, "X9").when(F.col("block") == "family", F.lit("1")).otherwise(F.lit("EB1"))
+    table = F.when(month == 4, "other").when(F.col("table") == "FAD", "final_action").otherwise("dates_for_filing")
+    fields = [
+        level, F.when(month != 7, F.col("priority_date").cast("string")), F.when(month == 5, "19xx-05-01").otherwise(F.col("bulletin_date").cast("string")), table, F.col("raw_value"),
+        F.when(month == 6, "?").otherwise(F.col("status")), F.lit("1.5"), F.regexp_replace("category", ",", " "),
+    ]
+    line = F.concat(F.array_join(F.array(*[F.coalesce(f, F.lit("")) for f in fields]), ","), F.when(month == 2, ",one,more").otherwise(""))
+    slug = F.when(F.col("country") == WORLD, RC.WORLD_SLUG).otherwise(F.col("country"))
+    rows = cells.select(slug.alias("slug"), "block", line.alias("line"))
+    files = rows.groupBy("slug", "block").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
+    head = ",".join(f.name for f in RC.SCHEMA if f.name != RC.CORRUPT)
+    name = F.concat("slug", F.when(F.col("block") == "family", "_family").otherwise(""), F.lit("_visa_backlog_timecourse.csv"))
+    folder = shared_dir(spark, "area-files")
+    write_files(files.select(name.alias("name"), F.concat(F.lit(head + "\n"), "lines", F.lit("\n")).alias("content")), folder)
+    sound, bad = RC.split_rows(RC.read_raw(spark, folder))
+    good = RC.to_panel(sound).select("country", "block", F.lit("sound").alias("reason"), "days_since_base")
+    both = good.unionByName(bad.select("country", "block", "reason", F.lit(None).cast("int").alias("days_since_base")))
+    return both.groupBy("country", "block", "reason").agg(
+        F.count(F.lit(1)).alias("n"), F.count("days_since_base").alias("n_dates"), F.sum("days_since_base").cast("bigint").alias("days")
+    )
 
 
 @query(
@@ -175,9 +226,22 @@ def _contract(spark, sf):
     )
 
 
-@query("release_manifest", "G14")
+@query(
+    "release_manifest",
+    "G14",
+    """SELECT 'month=' || strftime(m, '%Y-%m') || '.csv' AS path, 'text/csv' AS mime, CASE WHEN m = lo THEN 'required' WHEN m = hi THEN 'optional' ELSE 'extra' END AS criticality,
+         true AS present, sha256(body) AS merkle, CAST(strlen(body) AS BIGINT) AS size FROM (
+         SELECT m, min(m) OVER () AS lo, max(m) OVER () AS hi, string_agg(k, chr(10) ORDER BY k) AS body
+         FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, CAST(o_orderkey AS VARCHAR) AS k FROM orders) GROUP BY m)
+       UNION ALL SELECT 'notes.md', 'text/markdown', 'optional', false, NULL, NULL""",
+)
 def _manifest(spark, sf):
-    path = shared_dir(spark, "release")
-    sinks.write_json_dir(area_panel(spark, sf), path, "block")
-    release, rows = sinks.manifest(spark, path, "2001-08")
-    return rows.withColumn("release_id", F.lit(release))
+    """Files of the order keys of each month, digested in ranges; the SQL digests each file as a whole."""
+    folder, month = shared_dir(spark, "release"), F.date_format("o_orderdate", "yyyy-MM")
+    key = F.col("o_orderkey").cast("string")
+    rows = table(spark, sf, "orders").groupBy(month.alias("m")).agg(F.array_join(F.array_sort(F.collect_list(key)), "\n").alias("content"))
+    rows = stage(rows.select(F.concat(F.lit("month="), "m", F.lit(".csv")).alias("name"), "content"), "release-parts")
+    write_files(rows, folder)
+    first, last = rows.agg(F.min("name"), F.max("name")).first()
+    _, out = sinks.manifest(spark, folder, last[6:13], required=(first,), optional=(last, "notes.md"))
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,10 @@ TABLES = {"final_action": "FAD", "dates_for_filing": "DFF"}
 EMPLOYMENT_LEVEL = r"^EB[1-5]"
 FAMILY_LEVELS = ("1", "2A", "2B", "3", "4")
 WORLD_SLUG = "row"
+STATUSES = ("F", "C", "U", "UNK")
 
+#: Holds a line that does not fit the columns.
+CORRUPT = "_corrupt"
 SCHEMA = T.StructType(
     [
         T.StructField(name, T.StringType())
@@ -30,15 +33,17 @@ SCHEMA = T.StructType(
             "status",
             "visa_wait_time",
             "raw_category",
+            CORRUPT,
         )
     ]
 )
 
 
-def read_raw(spark: SparkSession, folder: str) -> DataFrame:
+def read_raw(spark: SparkSession, folder: str, file_name: str = FILE_NAME) -> DataFrame:
     """Raw cells of every area file under ``folder``; text stays text, only an empty field is NULL.
 
-    Area and block come from the file name, so one scan reads all files. ``NA`` is data, never NULL.
+    Area and block come from the file name (groups 1 and 2 of ``file_name``), so one scan reads all files. ``NA`` is data,
+    never NULL. A line with too few or too many fields is in the column ``_corrupt``.
     """
     raw = (
         spark.read.schema(SCHEMA)
@@ -46,12 +51,14 @@ def read_raw(spark: SparkSession, folder: str) -> DataFrame:
         .option("enforceSchema", True)
         .option("nullValue", "")
         .option("multiLine", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("recursiveFileLookup", True)
         .csv(folder)
     )
     path = F.input_file_name()
-    slug = F.regexp_extract(path, FILE_NAME, 1)
-    family = F.regexp_extract(path, FILE_NAME, 2) != ""
+    slug = F.regexp_extract(path, file_name, 1)
+    family = F.regexp_extract(path, file_name, 2) != ""
     day = lambda c: F.to_date(F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")))
     table = F.when(F.col("table_type") == "final_action", "FAD").when(F.col("table_type") == "dates_for_filing", "DFF")
     return raw.select(
@@ -65,13 +72,39 @@ def read_raw(spark: SparkSession, folder: str) -> DataFrame:
         day(F.col("priority_date")).alias("priority_date"),
         "raw_value",
         "raw_category",
+        CORRUPT,
     )
 
 
+def bad_level() -> Column:
+    """Whether a row's level is outside its block's domain."""
+    bad = F.when(F.col("block") == "family", ~F.col("level").isin(*FAMILY_LEVELS)).otherwise(~F.col("level").rlike(EMPLOYMENT_LEVEL))
+    return F.coalesce(bad, F.lit(True))
+
+
+def with_reason(raw: DataFrame) -> DataFrame:
+    """Adds ``reason``: why a row can't enter the panel, the first that applies; NULL for a sound row."""
+    reason = (
+        F.when(F.col(CORRUPT).isNotNull(), "fields")
+        .when(F.col("country").isNull() | (F.col("country") == ""), "file name")
+        .when(F.col("table").isNull(), "table type")
+        .when(F.col("bulletin_date").isNull(), "bulletin month")
+        .when(bad_level(), "level")
+        .when(F.coalesce(~F.col("status").isin(*STATUSES), F.lit(True)), "status")
+        .when((F.col("status") == "F") & F.col("priority_date").isNull(), "date missing")
+    )
+    return raw.withColumn("reason", reason)
+
+
+def split_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sound rows, and the others with their reason: no row is lost between the two."""
+    judged = with_reason(raw)
+    return judged.filter(F.col("reason").isNull()).drop("reason", CORRUPT), judged.filter(F.col("reason").isNotNull())
+
+
 def level_problems(raw: DataFrame) -> DataFrame:
     """Levels outside their block's domain."""
-    bad = F.when(F.col("block") == "family", ~F.col("level").isin(*FAMILY_LEVELS)).otherwise(~F.col("level").rlike(EMPLOYMENT_LEVEL))
-    return raw.filter(F.coalesce(bad, F.lit(True))).groupBy("country", "block", "level").agg(F.count(F.lit(1)).alias("n"))
+    return raw.filter(bad_level()).groupBy("country", "block", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
 def to_panel(raw: DataFrame, check: bool = True) -> DataFrame:

@@ -1,6 +1,7 @@
 """Snapshot eras, rank layouts, raw CSV files, sinks."""
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -13,6 +14,7 @@ from panelspark.operators.audit import check_contract
 from panelspark.operators.warehouse import ContractError
 from panelspark.sources import raw_csv, sinks
 from panelspark.sources import snapshots as SN
+from panelspark.sources.files import digest_files, list_files, write_files
 from panelspark.sources.tables import annotate
 
 MODERN = """<html><h2>Family</h2><p><b>A.&nbsp;FINAL ACTION DATES FOR FAMILY</b></p>
@@ -170,3 +172,59 @@ def test_every_table_of_a_section_is_read():
     cells = SN.section_cells(page, "family")
     assert {c[0] for c in cells} == {1, 2, 3, 4, 5, 6}
     assert [c[6] for c in cells if c[3] == 1] == [f"0{i}JAN99" for i in range(1, 7)]
+
+
+def test_files_of_any_size_are_digested_in_ranges(spark, tmp_path):
+    """Roots do not depend on who reads which range; a file beyond two gigabytes, mostly holes, included."""
+    folder = tmp_path / "art"
+    folder.mkdir()
+    data = bytes(range(256)) * 5000
+    (folder / "odd.bin").write_bytes(data)
+    (folder / "empty.txt").write_bytes(b"")  # Spark lists no empty file
+    with open(folder / "large.bin", "wb") as file:
+        file.seek((2 << 30) + (100 << 20))
+        file.write(b"end")
+    size = 64 << 20
+    got = {r["path"].rsplit("/", 1)[1]: r["merkle"] for r in digest_files(list_files(spark, str(folder)), size).collect()}
+
+    def plain(path, size):
+        leaves, file = [], open(path, "rb")
+        while part := file.read(size):
+            leaves.append(hashlib.sha256(part).digest())
+        while len(leaves) > 1:
+            leaves = [hashlib.sha256(leaves[i] + leaves[i + 1]).digest() if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
+        return (leaves[0] if leaves else hashlib.sha256(b"").digest()).hex()
+
+    assert got == {name: plain(folder / name, size) for name in ("odd.bin", "large.bin")}
+    assert got["odd.bin"] == hashlib.sha256(data).hexdigest()
+    small = {r["path"].rsplit("/", 1)[1]: r["merkle"] for r in digest_files(list_files(spark, str(folder)).filter("length < 10000000"), 1000).collect()}
+    assert small["odd.bin"] == plain(folder / "odd.bin", 1000) != got["odd.bin"]
+
+
+def test_manifest_names_what_is_missing(spark, tmp_path):
+    write_files(spark.createDataFrame([("a.json", "{}"), ("sub/b.csv", "x")], "name string, content string"), str(tmp_path / "art"))
+    _, rows = sinks.manifest(spark, str(tmp_path / "art"), "2018-01", ("a.json",), ("sub/b.csv", "c.html"))
+    got = {r["path"]: (r["mime"], r["criticality"], r["present"], r["size"]) for r in rows.collect()}
+    assert got == {
+        "a.json": ("application/json", "required", True, 2),
+        "sub/b.csv": ("text/csv", "optional", True, 1),
+        "c.html": ("text/html", "optional", False, None),
+    }
+
+
+def test_bad_lines_go_to_quarantine(spark, tmp_path):
+    lines = [
+        "EB1,2016-05-01,2018-01-01,final_action,01MAY16,F,1.6,1st",
+        "EB1,2016-05-01,2018-01-01,final_action,01MAY16",
+        "EB1,2016-05-01,2018-01-01,final_action,01MAY16,F,1.6,1st,more",
+        "XX,2016-05-01,2018-01-01,final_action,01MAY16,F,1,2nd",
+        "EB2,bad,2018-01-01,final_action,01MAY16,F,1,2nd",
+        "EB2,2016-05-01,01/2018,final_action,01MAY16,F,1,2nd",
+        "EB2,2016-05-01,2018-01-01,advance_notice,01MAY16,F,1,2nd",
+        "EB2,,2018-01-01,final_action,C,?,1,2nd",
+    ]
+    (tmp_path / "row_visa_backlog_timecourse.csv").write_text(HEAD.format(lv="EB_level") + "\n".join(lines) + "\n")
+    sound, bad = raw_csv.split_rows(raw_csv.read_raw(spark, str(tmp_path)))
+    assert raw_csv.to_panel(sound).count() == 1
+    reasons = sorted(r["reason"] for r in bad.collect())
+    assert reasons == ["bulletin month", "date missing", "fields", "fields", "level", "status", "table type"]
