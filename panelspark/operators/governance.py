@@ -303,18 +303,18 @@ def best_challenger(report: DataFrame, by: list[str]) -> DataFrame:
     return report.groupBy(*by).agg(F.min_by("model", key).alias("challenger"), F.bool_or("holdout_pass").alias("any_pass"))
 
 
-def significance_by_horizon(per_series: DataFrame, champion: str, baseline: str, min_pairs: int = 6, alpha: float = 0.05) -> DataFrame:
-    """Is the champion better than the baseline per (table, horizon)? Paired by series, Holm over horizons."""
-    c = per_series.filter(F.col("model") == champion).select(*SERIES, "h", F.col("mase").alias("champ"))
+def significance_by_horizon(per_series: DataFrame, baseline: str, min_pairs: int = 6, alpha: float = 0.05) -> DataFrame:
+    """Is a model better than the baseline per (model, table, horizon)? Paired by series, Holm over horizons."""
+    c = per_series.filter(F.col("model") != baseline).select("model", *SERIES, "h", F.col("mase").alias("champ"))
     b = per_series.filter(F.col("model") == baseline).select(*SERIES, "h", F.col("mase").alias("base"))
     pairs = c.join(b, [*SERIES, "h"]).withColumn("d", F.col("champ") - F.col("base"))
-    group = ["table", "h"]
+    group = ["model", "table", "h"]
     means = pairs.groupBy(*group).agg(
         F.avg("champ").alias("champion_mase"), F.avg("base").alias("baseline_mase"), F.count(F.lit(1)).alias("n")
     ).filter(F.col("n") >= min_pairs)
     tests = wilcoxon(pairs, group, "d").select(*group, "p_two")
     out = means.join(tests, group, "left").withColumn("p", F.coalesce("p_two", F.lit(1.0)))
-    out = holm(out, ["table"], "p", "holm_p", ["h"])
+    out = holm(out, ["model", "table"], "p", "holm_p", ["h"])
     delta = 100 * (F.col("baseline_mase") - F.col("champion_mase")) / F.col("baseline_mase")
     return out.select(
         *group, "champion_mase", "baseline_mase", delta.alias("delta_pct"), "n", "p", "holm_p",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-MODULES = ("cells", "series", "summaries", "warehouse", "evaluation", "ledger", "audit", "governance", "stats", "learners", "sources", "streams")
+MODULES = ("cells", "series", "summaries", "warehouse", "evaluation", "learners", "ledger", "audit", "governance", "stats", "sources", "streams")
 
 
 def load() -> ModuleType:

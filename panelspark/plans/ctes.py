@@ -150,3 +150,27 @@ def sql(body: str, *names: str) -> str:
     if parts and text[:5].upper() == "WITH ":
         return head.rstrip() + ",\n" + text[5:]
     return head + text
+
+
+def normal_tail(z: str) -> str:
+    """Upper tail of the normal law for z >= 0, by its series."""
+    term = f"exp((2 * k + 1) * ln({z}) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))"
+    series = f"0.5 - exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda k: {term}))"
+    return f"CASE WHEN {z} <= 0 THEN 0.5 WHEN {z} > 8 THEN 0 ELSE {series} END"
+
+
+def signed_rank(source: str, by: str) -> str:
+    """Two-sided signed-rank p-value of the column d of ``source`` in each group that has a difference."""
+    return f"""SELECT {by}, CASE WHEN v <= 0 THEN 1 ELSE 2 * ({normal_tail("z")}) END AS p FROM (
+        SELECT *, abs((wp - n * (n + 1) / 4.0) / nullif(sqrt(greatest(v, 0)), 0)) AS z FROM (
+          SELECT {by}, n, wp, n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0 AS v FROM (
+            SELECT {by}, CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS wp, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM (
+              SELECT *, rank() OVER (PARTITION BY {by} ORDER BY a) + (count(*) OVER (PARTITION BY {by}, a) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY {by}, a) AS t
+              FROM (SELECT *, abs(round(d, 12)) AS a FROM {source}) WHERE a > 0) GROUP BY {by})))"""
+
+
+def holm_sql(source: str, by: str, order: str) -> str:
+    """Rows of ``source`` with the step-down p-values of its column p within ``by``."""
+    rank = f"row_number() OVER (PARTITION BY {by} ORDER BY p, {order})"
+    return f"""SELECT * EXCLUDE (_raw, _i), max(_raw) OVER (PARTITION BY {by} ORDER BY _i) AS holm_p FROM (
+        SELECT *, {rank} AS _i, least(1.0, (count(*) OVER (PARTITION BY {by}) - {rank} + 1) * p) AS _raw FROM {source})"""

@@ -12,11 +12,13 @@ from panelspark.operators import ledger as L
 from panelspark.operators import metrics as ME
 from panelspark.operators import series as S
 from panelspark.operators import significance as SG
-from panelspark.plans.ctes import KEY, register, sql
-from panelspark.plans.evaluation import MINTRAIN, backtest_report
-from panelspark.plans.ledger import SHADOW, ledger, score, stamped, vintage_rows
-from panelspark.plans.protocol import SHORT, obs, r6, settle_sql
+from panelspark.plans.challengers import challengers
+from panelspark.plans.ctes import KEY, holm_sql, register, signed_rank, sql
+from panelspark.plans.evaluation import MINTRAIN, backtest_report, horizon_errors
+from panelspark.plans.ledger import ledger, score, shadow_recipes, stamped, vintage_rows
+from panelspark.plans.protocol import SHORT, obs, r6, settle, settle_sql
 from panelspark.plans.registry import query
+from panelspark.session import stage
 from panelspark.sources.tables import area_panel, supplier_panel
 
 _AGG = f"""count(*) AS n, {settle_sql("avg(abs_err)")} AS mae_days, {settle_sql("avg(scaled_err)")} AS mase,
@@ -177,9 +179,10 @@ def _replica_counts(spark, sf):
 
 
 def copied_pairs(spark, sf):
-    o = with_world_copies(spark, sf)
+    o = stage(with_world_copies(spark, sf), "with-copies")
+    second = shadow_recipes(spark, sf)
     champ = L.scorecard(stamped(vintage_rows(o, coherent=False)), o)
-    shadow = L.scorecard(stamped(vintage_rows(o, SHADOW, coherent=False), SHADOW), o)
+    shadow = L.scorecard(stamped(vintage_rows(o, second, coherent=False), second), o)
     return L.pair_scorecards(champ, shadow)
 
 
@@ -204,35 +207,46 @@ def series_errors(spark, sf):
     return backtest_report(spark, sf).select(*SERIES, "model", F.round("hold_mase", 9).alias("mase"))
 
 
-def challengers(spark, sf):
-    values = obs(spark, sf).withColumnRenamed("bulletin_date", "date").withColumnRenamed("y", "actual")
-    single = G.replica_representatives(values, SERIES, ["block", "category", "table"])
-    return G.champion_challenger(series_errors(spark, sf), "naive1", ["table"], single)
-
-
-@query("champion_challenger", "G22 N5 W23")
+@query(
+    "champion_challenger",
+    "G22 N5 W23",
+    sql(
+        f"""SELECT "table", model, n_series_raw, n_series_effective, {settle_sql("mean")} AS mean, {settle_sql("champion_mean")} AS champion_mean,
+              {settle_sql("margin")} AS margin, 'normal' AS method, {settle_sql("p")} AS p, {settle_sql("holm_p")} AS holm_p, holdout_pass FROM verdicts""",
+        "verdicts",
+    ),
+)
 def _challenge(spark, sf):
-    return challengers(spark, sf).withColumns(
-        r6("mean", "champion_mean", "margin", "p", "holm_p")
-    )
+    return challengers(spark, sf).withColumns(settle("mean", "champion_mean", "margin", "p", "holm_p"))
 
 
-@query("best_challenger", "E24 G22")
+@query("best_challenger", "E24 G22", sql("SELECT * FROM best", "best"))
 def _best(spark, sf):
     return G.best_challenger(challengers(spark, sf), ["table"])
 
 
-def horizon_errors(spark, sf):
-    o = obs(spark, sf)
-    per = ME.mase_by_horizon(FC.rolling_baselines(o, HORIZONS, SHORT), ME.holdout_scale(o, SHORT))
-    return per.withColumn("mase", F.round("mase", 9))
+register("hpairs", ("mbh",), f"""SELECT c.model, c."table", c.h, round(c.mase, 9) AS champ, round(b.mase, 9) AS base, round(c.mase, 9) - round(b.mase, 9) AS d
+    FROM mbh c JOIN mbh b USING ({KEY}, h) WHERE c.model <> 'naive1' AND b.model = 'naive1'""")
+register("htests", ("hpairs",), signed_rank("hpairs", 'model, "table", h'))
+register("hmeans", ("hpairs", "htests"), """SELECT m.*, coalesce(t.p, 1.0) AS p FROM (SELECT model, "table", h, avg(champ) AS champion_mase, avg(base) AS baseline_mase, count(*) AS n
+    FROM hpairs GROUP BY ALL HAVING count(*) >= 6) m LEFT JOIN htests t USING (model, "table", h)""")
+register("hverdicts", ("hmeans",), holm_sql("hmeans", 'model, "table"', "h"))
 
 
-@query("significance_by_horizon", "E18 N5 W23")
+@query(
+    "significance_by_horizon",
+    "E18 N5 W23",
+    sql(
+        f"""SELECT model, "table", h, {settle_sql("champion_mase")} AS champion_mase, {settle_sql("baseline_mase")} AS baseline_mase,
+              {settle_sql("100 * (baseline_mase - champion_mase) / baseline_mase")} AS delta_pct, n, {settle_sql("p")} AS p, {settle_sql("holm_p")} AS holm_p,
+              holm_p < 0.05 AND champion_mase < baseline_mase AS significant FROM hverdicts""",
+        "hverdicts",
+    ),
+)
 def _sig(spark, sf):
-    return G.significance_by_horizon(horizon_errors(spark, sf), "drift", "naive1").withColumns(
-        r6("champion_mase", "baseline_mase", "delta_pct", "p", "holm_p")
-    )
+    """Every candidate against the random walk at every horizon."""
+    errors = horizon_errors(spark, sf).withColumn("mase", F.round("mase", 9))
+    return G.significance_by_horizon(errors, "naive1").withColumns(settle("champion_mase", "baseline_mase", "delta_pct", "p", "holm_p"))
 
 
 register(

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from panelspark.config import QUANTILE_LEVELS, SERIES
 from panelspark.operators import forecast as FC
+from panelspark.operators import governance as G
 from panelspark.operators import intervals as IV
 from panelspark.operators import ledger as L
 from panelspark.operators import metrics as ME
 from panelspark.operators import smoothing as SM
 from panelspark.operators import vintage as V
+from panelspark.plans.challengers import challengers
 from panelspark.plans.ctes import KEY, W, register, sql
 from panelspark.plans.evaluation import MINTRAIN
 from panelspark.plans.protocol import SHORT, obs, r6, settle, settle_sql
@@ -18,9 +20,8 @@ from panelspark.plans.registry import query
 from panelspark.plans.states import ahead
 from panelspark.session import stage
 
-# Deployed and shadow recipes: models and how they are combined.
+# The deployed recipe; the shadow follows the best challenger of each table.
 CHAMPION = V.recipes(SM.CANDIDATES, "median")
-SHADOW = V.recipes(("naive1", "drift"), "mean")
 CALIBRATION_END = "2001-01"
 
 
@@ -60,6 +61,10 @@ def score_of(o, recipe=CHAMPION):
     return L.scorecard(stage(ledger_of(o, recipe), "ledger"), o)
 
 
+def shadow_recipes(spark, sf):
+    return V.challenger_recipes(G.best_challenger(challengers(spark, sf), ["table"]))
+
+
 def score(spark, sf, recipe=CHAMPION):
     return score_of(observed_once(spark, sf), recipe)
 
@@ -67,14 +72,14 @@ def score(spark, sf, recipe=CHAMPION):
 _AHEAD = ahead("", "h")
 register(
     "ens",
-    ("slev", "sstates"),
+    ("slev", "sstates", "best"),
     f"""SELECT *, CASE WHEN seasonal IS NOT NULL AND ets IS NOT NULL THEN abs(y - list_sort([naive1, seasonal, drift, ets, theta])[3]) END AS r,
-               abs(y - (naive1 + drift) / 2) AS r2 FROM (
+               abs(y - CASE challenger WHEN 'naive1' THEN naive1 WHEN 'seasonal' THEN seasonal WHEN 'drift' THEN drift WHEN 'ets' THEN ets ELSE theta END) AS r2 FROM (
           SELECT {KEY}, m, y, level, pos, n_grid, first_value(level) OVER ({W}) AS fst, lag(level) OVER ({W}) AS naive1,
             lag(level, 12) OVER ({W}) AS seasonal, ets_level, ets_slope, ets_phi, theta_level, theta_slope,
             lag(level) OVER ({W}) + (lag(level) OVER ({W}) - first_value(level) OVER ({W})) / nullif(pos - 2, 0) AS drift,
             lag({_AHEAD["ets"]}) OVER ({W}) AS ets, lag({_AHEAD["theta"]}) OVER ({W}) AS theta
-          FROM (SELECT *, 1 AS h FROM slev LEFT JOIN sstates USING ({KEY}, pos)))""",
+          FROM (SELECT *, 1 AS h FROM slev LEFT JOIN sstates USING ({KEY}, pos))) LEFT JOIN best USING ("table")""",
 )
 
 
@@ -90,7 +95,9 @@ def _vint(resid: str, point: str) -> str:
 
 _DRIFT = "level + h * (level - fst) / (pos - 1)"
 register("vpoint", ("ens",), _vint("r", f"list_sort([level, yr[(h - 1) % 12 + 1], {_DRIFT}, {_AHEAD['ets']}, {_AHEAD['theta']}])[3]"))
-register("vpoint2", ("ens",), _vint("r2", f"(level + {_DRIFT}) / 2"))
+_SHADOW = f"""CASE challenger WHEN 'naive1' THEN level WHEN 'seasonal' THEN yr[(h - 1) % 12 + 1] WHEN 'drift' THEN {_DRIFT}
+  WHEN 'ets' THEN {_AHEAD["ets"]} ELSE {_AHEAD["theta"]} END"""
+register("vpoint2", ("ens",), _vint("r2", _SHADOW))
 
 _INT = "CAST(round_even(round({}, 6), 0) AS INTEGER)"
 
@@ -132,13 +139,13 @@ for _src, _name in (("vpoint", "vrows"), ("vpoint2", "vrows2")):
 def _stamped(cone: str, label: str) -> str:
     key = "concat_ws('|', origin, country, category, \"table\", CAST(date AS VARCHAR), model_version)"
     return f"""SELECT *, substr(sha1({key}), 1, 12) AS forecast_id, substr(sha1(concat_ws('|', h, days, lo80, hi80, lo95, hi95)), 1, 12) AS row_hash
-      FROM (SELECT *, '{label}@' || "table" AS model_version,
+      FROM (SELECT *, {label} || '@' || "table" AS model_version,
               CASE WHEN origin >= '{CALIBRATION_END}' AND strftime(date, '%Y-%m') > origin THEN 'live' ELSE 'backfill' END AS evaluation_mode
             FROM {cone})"""
 
 
-register("led", ("vrows_cone",), _stamped("vrows_cone", CHAMPION[0].label))
-register("led2", ("vrows2_cone",), _stamped("vrows2_cone", SHADOW[0].label))
+register("led", ("vrows_cone",), _stamped("vrows_cone", f"'{CHAMPION[0].label}'"))
+register("led2", ("vrows2_cone", "best"), _stamped("vrows2_cone", '(SELECT challenger FROM best WHERE best."table" = vrows2_cone."table")'))
 
 
 def _scored(led: str) -> str:
@@ -176,7 +183,7 @@ def _coherent(spark, sf):
 
 @query("shadow_vintages", "E24", sql(f"SELECT {VCOLS} FROM vrows2_cone", "vrows2_cone"))
 def _shadow(spark, sf):
-    return vintage_rows(observed_once(spark, sf), SHADOW).select(*VNAMES)
+    return vintage_rows(observed_once(spark, sf), shadow_recipes(spark, sf)).select(*VNAMES)
 
 
 @query(
@@ -304,7 +311,7 @@ register(
 
 def pairs_of(spark, sf):
     o = observed_once(spark, sf)
-    return L.pair_scorecards(score_of(o), score_of(o, SHADOW))
+    return L.pair_scorecards(score_of(o), score_of(o, shadow_recipes(spark, sf)))
 
 
 @query(

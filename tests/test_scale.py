@@ -24,7 +24,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("recipe", [P.CHAMPION, P.SHADOW])
+@pytest.mark.parametrize("recipe", [P.CHAMPION, P.V.recipes(("naive1", "drift"), "mean")])
 def test_vintages_use_all_partitions(many, recipe, sf):
     rows = P.vintage_rows(P.observed_once(many, sf), recipe, coherent=False)
     text = plan(rows)
