@@ -189,14 +189,16 @@ def select_gamma(replay: DataFrame, by: list[str], alpha: float = ALPHA) -> Data
     )
 
 
-def cqr(rows: DataFrame, by: list[str], n_calibration: int, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def cqr(rows: DataFrame, by: list[str], calibration: int | float, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Conformalised quantile bands: the first rows of each series calibrate, the rest are widened.
 
-    ``rows`` has ``date``, ``y`` and ``lo{level}``/``hi{level}``; each level gets its own order statistic.
+    ``calibration`` is a number of rows, or, below one, the part of a series' rows (rounded down). ``rows`` has ``date``,
+    ``y`` and ``lo{level}``/``hi{level}``; each level gets its own order statistic.
     """
     own = Window.partitionBy(*by)
     df = rows.withColumn("_pos", F.row_number().over(own.orderBy("date")))
-    cal = F.col("_pos") <= n_calibration
+    first = F.lit(calibration) if calibration >= 1 else F.floor(F.round(F.count(F.lit(1)).over(own) * calibration, 9))
+    cal = F.col("_pos") <= first
     df = df.withColumn("_n", F.count_if(cal).over(own)).withColumn("_cal", cal)
     for lv in levels:
         lo, hi = F.col(f"lo{lv}"), F.col(f"hi{lv}")

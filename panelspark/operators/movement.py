@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.config import BIG_JUMP_YEARS, DATA_K, DAYS_PER_YEAR, SERIES
+from panelspark.config import BIG_JUMP_YEARS, DATA_K, DATA_MIN_FLAGGED, DAYS_PER_YEAR, SERIES
 from panelspark.operators.series import difference, over_series, whole_series
 
 
@@ -113,3 +113,9 @@ def data_drift(obs: DataFrame, k: float = DATA_K, min_rows: int = 12, min_deltas
         F.col("_med").alias("hist_median_delta"),
         F.col("_mad").alias("mad"),
     )
+
+
+def systemic_drift(flagged: DataFrame, min_flagged: int = DATA_MIN_FLAGGED) -> DataFrame:
+    """One row: how many series drifted, and whether so many that the source itself must have changed."""
+    n = F.count(F.lit(1))
+    return flagged.agg(n.alias("n_flagged"), F.countDistinct("country").alias("n_areas"), (n >= min_flagged).alias("data_drift"))

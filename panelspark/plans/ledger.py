@@ -414,17 +414,21 @@ def _alpha(spark, sf):
 
 @query("adaptive_replay", "E20")
 def _replay(spark, sf):
-    long = FC.one_step_long(obs(spark, sf), SHORT).filter((F.col("model") == "naive1") & (F.col("region") == "selection"))
+    """The step size of every baseline, by table."""
+    long = FC.one_step_long(obs(spark, sf), SHORT).filter(F.col("region") == "selection")
     res = long.withColumn("resid", F.col("y") - F.col("forecast")).withColumn("date", F.col("bulletin_date"))
-    return IV.select_gamma(IV.aci_replay(res, SERIES), ["table"]).withColumns(r6("coverage", "mean_width"))
+    return IV.select_gamma(IV.aci_replay(res, [*SERIES, "model"]), ["table", "model"]).withColumns(r6("coverage", "mean_width"))
 
 
+#: Part of the hold-out months of a series that corrects its quantile bands; the bands of the others are reported.
+CALIBRATION_SHARE = 1 / 3
 register(
     "qband",
     ("onelong", "rquant"),
-    f"""SELECT {KEY}, m, y, forecast + rq[{QUANTILE_LEVELS.index(0.1) + 1}] AS lo80, forecast + rq[{QUANTILE_LEVELS.index(0.9) + 1}] AS hi80,
-               forecast + rq[1] AS lo95, forecast + rq[9] AS hi95, row_number() OVER ({W}) AS rn
-        FROM onelong JOIN rquant USING ({KEY}, model) WHERE model = 'drift' AND region = 'holdout' AND y IS NOT NULL""",
+    f"""SELECT {KEY}, model, m, y, forecast + rq[{QUANTILE_LEVELS.index(0.1) + 1}] AS lo80, forecast + rq[{QUANTILE_LEVELS.index(0.9) + 1}] AS hi80,
+               forecast + rq[1] AS lo95, forecast + rq[9] AS hi95, row_number() OVER (PARTITION BY {KEY}, model ORDER BY m) AS rn,
+               floor(count(*) OVER (PARTITION BY {KEY}, model) / 3.0) AS n_cal
+        FROM onelong JOIN rquant USING ({KEY}, model) WHERE region = 'holdout' AND y IS NOT NULL""",
 )
 _CQR_SHIFT = """e{lv}[CAST(ceil(round(least(1.0, ceil(round((len(e{lv}) + 1) * {p}, 9)) / len(e{lv})) * (len(e{lv}) - 1), 9)) AS BIGINT) + 1]"""
 
@@ -433,24 +437,24 @@ _CQR_SHIFT = """e{lv}[CAST(ceil(round(least(1.0, ceil(round((len(e{lv}) + 1) * {
     "quantile_band_correction",
     "E21",
     sql(
-        f"""WITH c AS (SELECT {KEY}, list_sort(list(greatest(lo80 - y, y - hi80))) AS e80, list_sort(list(greatest(lo95 - y, y - hi95))) AS e95
-                       FROM qband WHERE rn <= 8 GROUP BY ALL),
-                 s AS (SELECT {KEY}, {_CQR_SHIFT.format(lv=80, p=0.8)} AS s80, {_CQR_SHIFT.format(lv=95, p=0.95)} AS s95 FROM c)
-            SELECT {KEY}, m AS date, round(lo80 - s80, 6) AS lo80, round(hi80 + s80, 6) AS hi80, round(lo95 - s95, 6) AS lo95,
-                   round(hi95 + s95, 6) AS hi95 FROM qband JOIN s USING ({KEY}) WHERE rn > 8""",
+        f"""WITH c AS (SELECT {KEY}, model, list_sort(list(greatest(lo80 - y, y - hi80))) AS e80, list_sort(list(greatest(lo95 - y, y - hi95))) AS e95
+                       FROM qband WHERE rn <= n_cal GROUP BY ALL),
+                 s AS (SELECT {KEY}, model, {_CQR_SHIFT.format(lv=80, p=0.8)} AS s80, {_CQR_SHIFT.format(lv=95, p=0.95)} AS s95 FROM c)
+            SELECT {KEY}, model, m AS date, round(lo80 - s80, 6) AS lo80, round(hi80 + s80, 6) AS hi80, round(lo95 - s95, 6) AS lo95,
+                   round(hi95 + s95, 6) AS hi95 FROM qband LEFT JOIN s USING ({KEY}, model) WHERE rn > n_cal""",
         "qband",
     ),
 )
 def _cqr(spark, sf):
-    long = FC.one_step_long(obs(spark, sf), SHORT).filter(F.col("model") == "drift")
-    group = [*SERIES, "model"]
+    """Bands of every baseline, corrected on the first third of its hold-out months."""
+    long, group = FC.one_step_long(obs(spark, sf), SHORT), [*SERIES, "model"]
     rq = ME.residual_quantiles(
         long.filter(F.col("region") == "selection").withColumn("resid", F.col("y") - F.col("forecast")), group
     )
     at = {f"{side}{lv}": QUANTILE_LEVELS.index(q) for lv, lo, hi in ((80, 0.1, 0.9), (95, 0.025, 0.975)) for side, q in (("lo", lo), ("hi", hi))}
     rows = long.filter((F.col("region") == "holdout") & F.col("y").isNotNull()).join(rq, group)
     rows = rows.select(
-        *SERIES, F.col("bulletin_date").alias("date"), "y", *[(F.col("forecast") + F.col("rq")[i]).alias(n) for n, i in at.items()]
+        *group, F.col("bulletin_date").alias("date"), "y", *[(F.col("forecast") + F.col("rq")[i]).alias(n) for n, i in at.items()]
     )
-    out = IV.cqr(rows, SERIES, 8)
-    return out.select(*SERIES, "date", *[F.round(n, 6).alias(n) for n in at])
+    out = IV.cqr(rows, group, CALIBRATION_SHARE)
+    return out.select(*group, "date", *[F.round(n, 6).alias(n) for n in at])

@@ -216,14 +216,30 @@ CONTRACT = {c: "*" for c in ("country", "block", "category", "table", "raw_value
 @query(
     "contract_check",
     "G13",
-    sql("SELECT 'panel' AS artifact, strftime(max(bulletin_date), '%Y-%m') AS vintage, 0 AS n_problems FROM panel", "panel"),
+    sql(
+        """WITH v AS (SELECT strftime(max(bulletin_date), '%Y-%m') AS vintage FROM panel)
+           SELECT a.artifact, v.vintage, a.problem FROM v, (VALUES ('panel', NULL), ('early', 'vintage'), ('renamed', 'missing path raw_value'), ('typed', 'days_since_base is string, not int'),
+             ('nested', 'missing path cells.status')) a(artifact, problem)""",
+        "panel",
+    ),
 )
 def _contract(spark, sf):
-    panel = area_panel(spark, sf)
-    problems = check_contract(panel, CONTRACT)
-    return panel.agg(F.date_format(F.max("bulletin_date"), "yyyy-MM").alias("vintage")).select(
-        F.lit("panel").alias("artifact"), "vintage", F.lit(len(problems)).alias("n_problems")
-    )
+    """The panel as an artifact, sound and broken in four ways, against its contract; a problem is a row."""
+    panel = stage(area_panel(spark, sf), "artifact")
+    vintage = panel.agg(F.date_format(F.max("bulletin_date"), "yyyy-MM")).first()[0]
+    nested = panel.groupBy("country").agg(F.collect_list(F.struct("bulletin_date", F.col("status").alias("regime"))).alias("cells"))
+    artifacts = {
+        "panel": (panel, CONTRACT),
+        "early": (panel.filter(F.date_format("bulletin_date", "yyyy-MM") < vintage), CONTRACT),
+        "renamed": (panel.withColumnRenamed("raw_value", "raw"), CONTRACT),
+        "typed": (panel.withColumn("days_since_base", F.col("days_since_base").cast("string")), CONTRACT),
+        "nested": (nested, {"country": "string", "cells.bulletin_date": "date", "cells.status": "string"}),
+    }
+    rows = []
+    for name, (df, contract) in artifacts.items():
+        found = check_contract(df, contract, "bulletin_date" if "bulletin_date" in df.columns else None, vintage)
+        rows += [(name, vintage, p.split(" ")[0] if p.startswith("vintage") else p) for p in found] or [(name, vintage, None)]
+    return spark.createDataFrame(rows, "artifact string, vintage string, problem string")
 
 
 @query(

@@ -342,23 +342,32 @@ def _feed(spark, sf):
     return M.bulletin_feed(area_panel(spark, sf), 24)
 
 
-@query(
-    "data_drift",
-    "W18",
-    sql(
-        f"""WITH c AS (SELECT *, max(m) OVER (PARTITION BY {KEY}) AS lm, count(*) OVER (PARTITION BY {KEY}) AS n FROM sd),
+register(
+    "drifted",
+    ("sd",),
+    f"""WITH c AS (SELECT *, max(m) OVER (PARTITION BY {KEY}) AS lm, count(*) OVER (PARTITION BY {KEY}) AS n FROM sd),
                  h AS (SELECT {KEY}, median(d) AS med FROM c WHERE m < lm AND d IS NOT NULL GROUP BY ALL),
                  a AS (SELECT {KEY}, any_value(med) AS med, median(abs(d - med)) AS mad FROM c JOIN h USING ({KEY})
                        WHERE m < lm AND d IS NOT NULL GROUP BY {KEY})
             SELECT {KEY}, CAST(d AS BIGINT) AS delta_days, med AS hist_median_delta, mad FROM c JOIN a USING ({KEY})
             WHERE m = lm AND lm = (SELECT max(m) FROM fs) AND n >= 12 AND mad > 0 AND abs(d - med) > 8 * mad""",
-        "sd",
-    ),
 )
+
+
+@query("data_drift", "W18", sql("SELECT * FROM drifted", "drifted"))
 def _drift(spark, sf):
     return M.data_drift(obs(spark, sf))
 
 
+@query(
+    "systemic_drift",
+    "W18",
+    sql("SELECT count(*) AS n_flagged, count(DISTINCT country) AS n_areas, count(*) >= 8 AS data_drift FROM drifted", "drifted"),
+)
+def _systemic(spark, sf):
+    return M.systemic_drift(M.data_drift(obs(spark, sf)))
+
+
 @query(
     "increment_correlation",
     "A23",
