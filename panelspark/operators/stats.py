@@ -17,7 +17,7 @@ from panelspark.functions import special
 from panelspark.operators.quantiles import average_ranks, sort_key
 from panelspark.operators.series import over_series, positions, whole_series
 from panelspark.operators.warehouse import Contract, validate
-from panelspark.session import stage
+from panelspark.session import numbered, stage
 
 # Robust z limits, tile width, test lags.
 OUTLIER_Z = 3.0
@@ -468,8 +468,7 @@ def kendall(long: DataFrame) -> DataFrame:
     ordered = counted.repartitionByRange("feature", "x", "y").sortWithinPartitions("feature", "x", "y")
     # consecutive ids follow the order; keys are made unsigned, so that their bits order them
     key = sort_key(F.col("y").cast("double")).bitwiseXOR(F.lit(-(1 << 63)))
-    ordered = ordered.withColumn("_id", F.monotonically_increasing_id()).withColumn("k", key)
-    ordered = stage(ordered.withColumn("_block", F.shiftright("_id", BLOCK_BITS)), "kendall")
+    ordered = numbered(ordered.withColumn("k", key), "_id", "kendall").withColumn("_block", F.shiftright("_id", BLOCK_BITS))
 
     entries = F.sort_array(F.collect_list(F.struct("_id", "k", "c")))
     blocks = ordered.groupBy("feature", "_block").agg(entries.alias("_e"))

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _SHIPPED = "_panelspark_shipped"
@@ -81,3 +82,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``stage`` with a unique ``column`` that ascends with the rows of a partition; written at once, so that numbers stay."""
+    return stage(df.withColumn(column, F.monotonically_increasing_id()), name)

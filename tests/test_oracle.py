@@ -18,10 +18,10 @@ table_gap movement_class bulletin_feed data_drift increment_correlation lead_lag
 constraint_violations table_fingerprint scale_before_cutoff rolling_baselines mase_by_series backtest_report crps_of_samples quantile_crps
 coherent_vintages stamped_ledger ledger_append forecast_scorecard band_scales dedup_by_regime panel_audit score_summary
 replica_representatives signed_rank_sums best_two_models shape_features ljung_box stationarity spectral_entropy giacomini_white
-kendall_relevance csv_round_trip page_cells page_ranks stream_event_windows exponential_smoothing champion_challenger""".split()
+kendall_relevance csv_round_trip page_cells page_ranks stream_event_windows exponential_smoothing champion_challenger rolling_candidates
+champion_by_horizon best_challenger shadow_vintages significance_by_horizon model_confidence_set release_manifest csv_quarantine snapshot_months
+stream_snapshot_revisions systemic_drift contract_check quantile_band_correction meta_weighted_ensemble""".split()
 ALL = bool(os.environ.get("PANELSPARK_ALL"))
-# Fits of pooled learners take long and have their own checks in test_learners.
-SLOW = {"pooled_gbm", "hurdle_model", "meta_weighted_ensemble"}
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +38,7 @@ def test_core_names_exist():
     assert set(CORE) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(ORACLES) - SLOW if ALL or n in CORE))
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(ORACLES) if ALL or n in CORE))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
