@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelspark.session import stage
+from panelspark.session import numbered, stage
 
 #: Turns that fill more than one in so many rows are coded by a broadcast; there are fewer than that.
 HOT = 1000
@@ -64,7 +64,7 @@ def coded_turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     )
     rows = stage(rows, "trie-turns")
     dictionary = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("times"))
-    dictionary = stage(dictionary.withColumn("code", F.monotonically_increasing_id()), "trie-codes")
+    dictionary = numbered(dictionary, "code", "trie-codes")
     often = F.col("times") * HOT > rows.count()
     hot = rows.join(F.broadcast(dictionary.where(often).drop("times")), "digest", "left")
     rest = hot.where("code is null").drop("code").join(dictionary.where(~often).drop("times"), "digest")

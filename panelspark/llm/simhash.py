@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import as_bytes, field, lists, map_texts
-from panelspark.session import stage
+from panelspark.session import numbered, stage
 
 WORDS = 3
 SEED = 42
@@ -555,7 +555,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     while any(name.lower().startswith(mark) for name in names):
         mark += "_"
     marked = _with_bands(docs.withColumn(f"{mark}text", F.col(text)), f"{mark}text", tuple(names), mark)
-    stored = stage(marked.withColumn(f"{mark}id", F.monotonically_increasing_id()), "marked")
+    stored = numbered(marked, f"{mark}id", "marked")
     best = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.col(f"{mark}id").alias("id"))
     # the best of each set first, so that copies, however many, meet the roots as one row
     rows = stored.groupBy(F.col(mark).alias("fp")).agg(F.min(best).alias("best"))
