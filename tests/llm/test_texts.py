@@ -292,3 +292,34 @@ def test_links_equal_sql_on_conflicts_and_other_roles(spark):
     out = tool_links.conversation_links(turns)
     assert differences(out, con, tool_links.SQL) == []
     assert sum((r.call_copies or 0) + (r.result_copies or 0) for r in out.collect()) == len(rows)
+
+
+def test_main_text_without_article_tags(spark, sf):
+    """The distribution finds the article on pages that do not name it."""
+    pages = [r.html for r in table(spark, sf, "pages").collect()]
+    same = sum(main_text.main_text(re.sub(r"</?article[^>]*>", "", p)) == main_text.main_text(p) for p in pages)
+    assert same >= 0.95 * len(pages)
+
+
+def test_main_text_keeps_what_loose_names_would_lose():
+    body = "This is a long paragraph of text, which goes on for a while so that it is over the threshold of a window."
+    assert main_text.main_text(f"<article class='comment'><p>{body}</p></article><p>{body} Main.</p>") == f"{body} Main."
+    assert main_text.main_text(f"<article><p>{body}</p><article class='user-comment'><p>{body}</p></article></article>") == body
+    assert main_text.main_text("<article><h1>T</h1><p class='notice'>x<p>real text</article>") == "T\nreal text"
+    assert main_text.main_text(f"<ul><li class='share'>x<li>{body}</ul><p>{body}") == f"{body}\n{body}"
+    assert main_text.main_text(f"<div class='content has-sidebar'><p>{body}</p></div>") == body
+    assert main_text.main_text(f"<form><p>{body}</p><nav>no</nav></form>") == body
+    inner = f"<div class='post-header'><h1>Title</h1></div><p>{body}</p><section class='related-work'><p>{body}</p></section>"
+    assert main_text.main_text(f"<article>{inner}</article>") == f"Title\n{body}\n{body}"
+    assert main_text.main_text(f"<p>{body}</p><p><a href=x>linked words</a></p><p>{body}</p>") == f"{body}\nlinked words\n{body}"
+    for name in ("user-comments", "site-footer", "cookieNotice", "nav-menu", "related-posts", "ad-slot", "sidebar left"):
+        assert main_text.main_text(f"<p>{body}</p><div class='{name}'><p>{body} other</p></div>") == body, name
+
+
+def test_main_text_of_odd_pages(spark):
+    body = "word " * 60_000
+    rows = [(1, "u", None), (2, None, ""), (3, "u", f"<p>{body}</p>"), (4, "u", "<p>same text here</p>"), (4, "u", "<p>same text here</p>"), (None, None, "<nav>x</nav>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"Text": F.lit(1), "n_chars": F.lit("x"), "_text": F.lit(2)})
+    got = sorted((r.page_id or 0, r.text) for r in main_text.extract(pages).collect())
+    assert got == [(0, ""), (1, ""), (2, ""), (3, body.strip()), (4, "same text here"), (4, "same text here")]
+    assert main_text.extract(pages.where("1 = 0")).count() == 0
