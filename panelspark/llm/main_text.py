@@ -130,7 +130,7 @@ def lines(page: str) -> list[Line]:
         out, sizes = _lines(page, around)
         inside = sum(len(x.text) for x in out)
         place, most = max(sizes.items(), key=lambda part: part[1], default=(0, 0))
-        if most <= AROUND * inside:
+        if most <= max(AROUND * inside, SURGE // 2):
             return out
         around.add(place)  # nothing to speak of is outside this part: look into it
 
