@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.config import QUANTILE_LEVELS, SERIES
+from panelspark.config import ACI_MIN_HITS, QUANTILE_LEVELS, SERIES
 from panelspark.operators import forecast as FC
 from panelspark.operators import governance as G
 from panelspark.operators import intervals as IV
@@ -83,18 +83,19 @@ register(
 )
 
 
-def _vint(resid: str, point: str) -> str:
+def _vint(resid: str, point: str, source: str = "ens", level: str = "0.95", origins: str = "TRUE") -> str:
     return f"""
     SELECT strftime(m, '%Y-%m') AS origin, {KEY}, h, CAST(m + to_months(h) AS DATE) AS date, {point} AS point,
-           errs[CAST(ceil(round(least(1.0, ceil(round((len(errs) + 1) * 0.95, 9)) / len(errs)) * (len(errs) - 1), 9)) AS BIGINT) + 1] AS half
+           errs[CAST(ceil(round(least(1.0, ceil(round((len(errs) + 1) * {level}, 9)) / len(errs)) * (len(errs) - 1), 9)) AS BIGINT) + 1] AS half
     FROM (SELECT *, list_sort(list({resid}) FILTER ({resid} IS NOT NULL) OVER ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) AS errs,
-                 list(level) OVER ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS yr FROM ens),
+                 list(level) OVER ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS yr FROM {source}),
          (SELECT CAST(unnest(generate_series(1, 12)) AS INTEGER) AS h)
-    WHERE pos >= {MINTRAIN} + 30 AND len(errs) > 0"""
+    WHERE pos >= {MINTRAIN} + 30 AND len(errs) > 0 AND {origins}"""
 
 
 _DRIFT = "level + h * (level - fst) / (pos - 1)"
-register("vpoint", ("ens",), _vint("r", f"list_sort([level, yr[(h - 1) % 12 + 1], {_DRIFT}, {_AHEAD['ets']}, {_AHEAD['theta']}])[3]"))
+_MEDIAN = f"list_sort([level, yr[(h - 1) % 12 + 1], {_DRIFT}, {_AHEAD['ets']}, {_AHEAD['theta']}])[3]"
+register("vpoint", ("ens",), _vint("r", _MEDIAN))
 _SHADOW = f"""CASE challenger WHEN 'naive1' THEN level WHEN 'seasonal' THEN yr[(h - 1) % 12 + 1] WHEN 'drift' THEN {_DRIFT}
   WHEN 'ets' THEN {_AHEAD["ets"]} ELSE {_AHEAD["theta"]} END"""
 register("vpoint2", ("ens",), _vint("r2", _SHADOW))
@@ -420,6 +421,24 @@ def _replay(spark, sf):
     return IV.select_gamma(IV.aci_replay(res, [*SERIES, "model"]), ["table", "model"]).withColumns(r6("coverage", "mean_width"))
 
 
+register(
+    "ens_alpha",
+    ("ens", "score"),
+    f"""SELECT * FROM ens LEFT JOIN (
+          SELECT {KEY}, CASE WHEN count(*) >= {ACI_MIN_HITS} THEN least(greatest(0.05 + 0.05 * sum(0.05 - CASE in95 WHEN 1 THEN 0.0 ELSE 1.0 END), 0.001), 0.999) ELSE 0.05 END AS alpha
+          FROM score GROUP BY ALL) USING ({KEY})""",
+)
+register("vlive", ("ens_alpha",), _vint("r", _MEDIAN, "ens_alpha", "(1 - coalesce(alpha, 0.05))", "pos = n_grid"))
+
+
+@query("adaptive_vintages", "E20 E23", sql(_banded("vlive", _GROW80, _GROW95, "'sqrt_h'"), "vlive"))
+def _adaptive_vintages(spark, sf):
+    """The live vintage, each series with the level that its scored forecasts have led to."""
+    o = observed_once(spark, sf)
+    alphas = IV.aci_alpha(score_of(o), SERIES, min_hits=ACI_MIN_HITS)
+    return V.vintages(o, None, CHAMPION, SHORT, alphas=stage(alphas, "alphas"), coherent=False).select(*VNAMES)
+
+
 #: Part of the hold-out months of a series that corrects its quantile bands; the bands of the others are reported.
 CALIBRATION_SHARE = 1 / 3
 register(
