@@ -9,6 +9,7 @@ from panelspark.functions import cells as C
 from panelspark.functions import hashing as H
 from panelspark.functions import rules
 from panelspark.operators import aggregates as A
+from panelspark.operators import labelling as LB
 from panelspark.operators import series as S
 from panelspark.operators import setops as SO
 from panelspark.operators import warehouse as W
@@ -16,11 +17,13 @@ from panelspark.plans.ctes import KEY, sql
 from panelspark.plans.ctes import W as WIN
 from panelspark.plans.protocol import SHORT
 from panelspark.plans.registry import query
+from panelspark.session import stage
 from panelspark.sources.tables import (
     area_panel,
     observed,
     order_cells,
     published,
+    rank_cells,
     rank_panel,
     supplier_panel,
     table,
@@ -87,6 +90,38 @@ def _alias(spark, sf):
     return A.alias_bridge(raw)
 
 
+#: Two versions of the rule sets; the second is coarser.
+RULE_BOOK = {
+    ("v1", "employment"): rules.EMPLOYMENT_RULES,
+    ("v1", "family"): rules.FAMILY_RULES,
+    ("v1", "region"): rules.REGION_RULES,
+    ("v2", "employment"): (rules.Rule("TOP", "equals", ("1st", "2nd")), rules.Rule("OTHER", "contains", ("relig",), "workers")),
+    ("v2", "family"): (rules.Rule("FIRST", "equals", ("1st", "f1")), rules.Rule("REST", "prefix", ("2",))),
+}
+
+
+@query(
+    "labels_by_rule_table",
+    "P5 P6 P7",
+    sql(
+        """SELECT block, 'v1' AS version, CASE block WHEN 'family' THEN substr(category, 2) ELSE category END AS code, count(*) AS n FROM panel GROUP BY ALL
+           UNION ALL SELECT block, 'v2', CASE category WHEN 'EB1' THEN 'TOP' WHEN 'EB2' THEN 'TOP' WHEN 'EB4_RW' THEN 'OTHER' WHEN 'F1' THEN 'FIRST' ELSE 'REST' END, count(*)
+           FROM panel GROUP BY ALL
+           UNION ALL SELECT 'region', 'v1', region, count(*) FROM ranks GROUP BY ALL UNION ALL SELECT 'region', 'v2', NULL, count(*) FROM ranks""",
+        "panel",
+        "ranks",
+    ),
+)
+def _by_rule_table(spark, sf):
+    """Labels under both versions of the rules, which are read from a stored table."""
+    book = LB.read_rules(stage(LB.rule_rows(spark, RULE_BOOK), "rules"))
+    cells = published(order_cells(spark, sf)).select("block", F.col("raw_category").alias("label"))
+    labels = cells.unionByName(rank_cells(spark, sf).select(F.lit("region").alias("block"), "label"))
+    clean = F.when(F.col("block") == "region", C.norm_label(F.col("label"))).otherwise(C.strip_footnotes(C.norm_label(F.col("label"))))
+    versions = F.array(*[F.struct(F.lit(v).alias("version"), LB.coded(clean, F.col("block"), v, book).alias("code")) for v in ("v1", "v2")])
+    return labels.select("block", F.inline(versions)).groupBy("block", "version", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "wait_times",
     "P8 P10",

@@ -84,3 +84,23 @@ def test_ranks(spark, raw, status, rank):
 def test_label_noise(spark):
     df = spark.createDataFrame([("  All Areas \n  Except ",)], "r string")
     assert df.select(C.norm_label(F.col("r"))).first()[0] == "all areas except"
+
+
+def test_rule_tables_are_checked(spark):
+    from panelspark.functions import rules
+    from panelspark.operators import labelling as LB
+    from panelspark.operators.warehouse import ContractError
+
+    book = {("v1", "family"): rules.FAMILY_RULES, ("v1", "employment"): rules.EMPLOYMENT_RULES}
+    rows = LB.rule_rows(spark, book)
+    assert LB.read_rules(rows.orderBy(F.desc("priority"))) == book
+    for broken in (
+        rows.withColumn("kind", F.when(F.col("priority") == 3, "like").otherwise(F.col("kind"))),
+        rows.withColumn("priority", F.least("priority", F.lit(2))),
+        rows.withColumn("code", F.lit(None).cast("string")),
+    ):
+        with pytest.raises(ContractError):
+            LB.read_rules(broken)
+    labels = spark.createDataFrame([("2a", "family"), ("set aside: rural", "employment"), ("2a", "none"), (None, "family")], "label string, s string")
+    assert [r[0] for r in labels.select(LB.coded(F.col("label"), F.col("s"), "v1", book)).collect()] == ["2A", "EB5_RURAL", None, None]
+    assert [r[0] for r in labels.select(LB.coded(F.col("label"), F.col("s"), "v9", book)).collect()] == [None] * 4
