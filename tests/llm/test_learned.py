@@ -120,3 +120,59 @@ def test_every_labelled_language_is_learned(spark):
     assert set(model.langs) == learnable
     wanted = spark.createDataFrame([(1, english[1][1]), (2, french[1][1])], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in langid.predict(wanted, model).collect()} == {1: "en", 2: "fr"}
+
+
+def plain_perplexity(trusted, text, order):
+    """Perplexity under interpolated modified Kneser-Ney over single characters, from plain counts."""
+    tables = {order: Counter()}
+    for t in trusted:
+        line = ("^",) * (order - 1) + tuple(t)
+        tables[order].update(line[i : i + order] for i in range(len(t)))
+    for n in range(order - 1, 0, -1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+    cuts, contexts = {}, {}
+    for n, table in tables.items():
+        times = Counter(table.values())
+        cuts[n] = (0.5, 0.5, 0.5)
+        if times[1] and times[2] and times[3]:
+            y = times[1] / (times[1] + 2 * times[2])
+            found = (1 - 2 * y * times[2] / times[1], 2 - 3 * y * times[3] / times[2], 3 - 4 * y * times[4] / times[3])
+            cuts[n] = tuple(min(max(d, 0.05), k + 0.9) for k, d in enumerate(found))
+        contexts[n] = {}
+        for g, c in table.items():
+            total, lost = contexts[n].get(g[:-1], (0, 0))
+            contexts[n][g[:-1]] = (total + c, lost + cuts[n][min(c, 3) - 1])
+
+    def p(g):
+        if not g:
+            return 1 / 0x110000
+        if g[:-1] not in contexts[len(g)]:
+            return p(g[1:])
+        total, lost = contexts[len(g)][g[:-1]]
+        c = tables[len(g)][g]
+        return (c - cuts[len(g)][min(c, 3) - 1] if c else 0) / total + lost / total * p(g[1:])
+
+    line = ("^",) * (order - 1) + tuple(text)
+    return math.exp(-sum(math.log(p(line[i : i + order])) for i in range(len(text))) / len(text))
+
+
+def test_characters_are_told_apart(spark, monkeypatch):
+    """Perplexities of whole texts of any script against plain counts; letters in another order score worse in every script."""
+    monkeypatch.setattr(quality_lm, "PART", 300)
+    monkeypatch.setattr(quality_lm, "CHUNK", 700)
+    sound = ["тихая река течет мимо старого дома и сада " * 9, "the old man reads his paper near the river " * 9, "静かな川が古い家のそばを流れている。" * 9, "😀 a\0b\U0010ffff " * 9]
+    rows = [(i, t, "x") for i, t in enumerate(sound)]
+    rows += [(10 + i, "".join(sorted(t)), "x") for i, t in enumerate(sound)]
+    rows += [(20, None, "x"), (21, "", None), (22, "Ωmega", None), (23, "ж" * 2000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(sound))], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in quality_lm.classify(docs, labels).collect()}
+    assert len(found) == len(rows)
+    for i, text, _ in rows:
+        assert found[i].n_chars == len(text or "")
+        if text:
+            assert math.isclose(found[i].perplexity, plain_perplexity(sound, text, quality_lm.ORDER), rel_tol=1e-9), i
+        else:
+            assert found[i].perplexity is None and not found[i].kept
+    for i in range(3):
+        assert found[i].kept and found[10 + i].perplexity > 2 * found[i].perplexity and not found[10 + i].kept
