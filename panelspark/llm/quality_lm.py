@@ -43,7 +43,7 @@ ACCURACY = 10_000
 #: Trusted ids that may be broadcast (8 bytes each); beyond it the join is shuffled.
 MAX_SENT_IDS = 2_000_000
 #: Characters whose n-grams are told apart together, and characters of a chunk of documents, both at least.
-PART, CHUNK = 1 << 20, 1 << 23
+PART, CHUNK = 1 << 20, 1 << 25
 #: Bytes of a symbol in an n-gram, the highest first.
 WIDE = 3
 
@@ -239,7 +239,7 @@ def _chunked(docs: DataFrame, text: str, passed: tuple[str, ...], order: int, al
     """Rows of two kinds: (chunk, gram) for each different n-gram of a chunk, and (chunk, part), some of its rows with their texts, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packing = pa.ipc.IpcWriteOptions(compression="zstd")
+        packing = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
         chunk, size, held = None, 0, np.zeros(0, f"S{WIDE * order}")
 
         def of_chunk() -> pa.RecordBatch:
@@ -271,12 +271,12 @@ def _chunked(docs: DataFrame, text: str, passed: tuple[str, ...], order: int, al
 def perplexities(docs: DataFrame, model: Tables, text: str = "text", passed: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """``passed`` columns, n_chars and perplexity of every row's whole text; null for a null or empty text or without a model."""
     order, alphabet = len(model.seen), model.alphabet
-    chunks = stage(_chunked(docs, text, passed, order, alphabet), "chunks")
+    chunks = stage(_chunked(docs, text, passed, order, alphabet), "chunks", compression="zstd")
     asked = chunks.where("gram is not null").select("chunk", "gram")
     known = probabilities(asked.select("gram").distinct(), model, order)
     empty = model.seen[0].isEmpty()
-    dealt = asked.join(known, "gram").select("chunk", "gram", "p", F.lit(None).cast("binary").alias("part"))
-    dealt = dealt.unionByName(chunks.where("part is not null").select("chunk", "gram", F.lit(None).cast("double").alias("p"), "part"))
+    dealt = asked.join(known, "gram").select("chunk", "gram", F.log("p").cast("float").alias("log"), F.lit(None).cast("binary").alias("part"))
+    dealt = dealt.unionByName(chunks.where("part is not null").select("chunk", "gram", F.lit(None).cast("float").alias("log"), "part"))
     dealt = dealt.repartition("chunk").sortWithinPartitions("chunk", F.col("part").isNotNull())
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in passed] + [field("n_chars", "bigint"), field("perplexity", "double")])
     wanted = to_arrow_schema(schema)
@@ -298,7 +298,7 @@ def perplexities(docs: DataFrame, model: Tables, text: str = "text", passed: tup
                     continue
                 if lookup is None:
                     grams = np.concatenate([g for g, _ in blocks] or [np.zeros(0, f"S{WIDE * order}")])
-                    logs = np.log(np.concatenate([p for _, p in blocks] or [np.zeros(0)]))
+                    logs = np.concatenate([x for _, x in blocks] or [np.zeros(0, np.float32)]).astype(np.float64)
                     sort = np.argsort(grams)
                     lookup, blocks = (grams[sort], logs[sort]), []
                 for part in rows.column(3):
