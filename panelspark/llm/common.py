@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from panelspark.session import stage
+
 #: Rows handled at a time inside a task; a batch of Arrow rows is cut into parts of this size.
 PART_ROWS = 128
+#: Row numbers that may be broadcast (8 bytes each); beyond it the rows are shuffled to them.
+SENT_IDS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +80,18 @@ def lists(values: pa.Array, lengths: Sequence[int]) -> pa.Array:
     for n in lengths:
         ends.append(ends[-1] + n)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def pick(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The ``rows`` whose ``column`` is in ``wanted`` (that column, no null, each once), as a broadcast join where ids are few enough.
+
+    Wide rows then stay where they are. The ids to be left out are sent instead where those are fewer.
+    """
+    wanted = stage(wanted.select(column), "wanted")
+    n, left = wanted.count(), rows.count()
+    if n <= min(SENT_IDS, left - n):
+        return rows.join(F.broadcast(wanted), column, "left_semi")
+    if left - n <= SENT_IDS:
+        others = stage(rows.select(column).join(wanted.hint("merge"), column, "left_anti"), "others")
+        return rows.join(F.broadcast(others), column, "left_anti")
+    return rows.join(wanted, column, "left_semi")

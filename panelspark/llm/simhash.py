@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import as_bytes, field, lists, map_texts
+from panelspark.llm.common import as_bytes, field, lists, map_texts, pick
 from panelspark.session import numbered, stage
 
 WORDS = 3
@@ -46,7 +46,7 @@ BUCKET = 1024
 #: Children of a node of the index.
 FAN = 8
 #: Pairs of search and node that are looked at together, at most about; bounds a task's memory.
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 
 ALL = (1 << BITS) - 1
 #: A-Z to a-z, all other bytes as they are.
@@ -475,7 +475,7 @@ def similar_sets(stored: DataFrame, text: str, mark: str) -> DataFrame:
 
     # texts of the sets that share a bucket, each once
     wanted = keyed.select(F.col("id").alias(f"{mark}id")).distinct()
-    chosen = stored.join(wanted, f"{mark}id", "left_semi")
+    chosen = pick(stored, wanted, f"{mark}id")
 
     def start():
         def work(texts: pa.Array):
@@ -511,7 +511,9 @@ def similar_sets(stored: DataFrame, text: str, mark: str) -> DataFrame:
         tested = stage(tested.unionByName(done), "tested")
         linked = done.where("similar").count()
         if linked:
-            known = components(tested.where("similar").select("a", "b"))
+            # the components so far stand for the links that made them
+            new = done.where("similar").select("a", "b")
+            known = components(new if known is None else new.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         return linked
 
     def star(turn: int) -> Column:
@@ -562,4 +564,4 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     roots = stage(similar_sets(stored, text, mark), "roots")
     found = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = found.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias(f"{mark}id"))
-    return stored.join(kept, f"{mark}id", "left_semi").select(*names)
+    return pick(stored, kept, f"{mark}id").select(*names)

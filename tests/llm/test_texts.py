@@ -323,3 +323,39 @@ def test_main_text_of_odd_pages(spark):
     got = sorted((r.page_id or 0, r.text) for r in main_text.extract(pages).collect())
     assert got == [(0, ""), (1, ""), (2, ""), (3, body.strip()), (4, "same text here"), (4, "same text here")]
     assert main_text.extract(pages.where("1 = 0")).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 3, 1000])
+def test_near_duplicates_leave_texts_where_they_are(spark, monkeypatch, sent):
+    """Ids are sent to the texts, whatever Spark takes for small; the same rows stay if there are too many ids to send."""
+    words = [" ".join(f"w{random.Random(i).randrange(10**6)}x{j}" for j in range(60)) for i in range(10)]
+    docs = spark.createDataFrame([(i, words[i % 10] + (" end" if i > 9 else "")) for i in range(12)], "doc_id long, text string")
+    monkeypatch.setattr("panelspark.llm.common.SENT_IDS", sent)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        kept = simhash.keep_one(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (sent == 0)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(10))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_search_among_near_copies_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 2**63, dtype=np.int64)
+    bits = np.sort(base ^ (1 << rnd.integers(0, 60, 1500)) ^ (1 << rnd.integers(0, 60, 1500)))
+    names = [i.to_bytes(16, "big") for i in range(1500)]
+    zero, hundred = np.zeros(1500, np.int64), np.full(1500, 100)
+    rows = [zero, zero.astype(np.int32), (np.arange(1500) >= 1000).astype(np.int32), bits, hundred.astype(np.int32), hundred.astype(np.int32), names, names]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in rows], [*"abcdefgh"])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in simhash._near_pairs(iter([batch]), 0, 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 500 * 4 and peak < 40 << 20
