@@ -14,7 +14,6 @@ Texts repeat their words: the ids of what stands between two spaces are remember
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from array import array
 from collections.abc import Iterable
@@ -26,7 +25,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from panelspark.llm.common import field, lists, map_texts
+from panelspark.llm.common import field, lists, map_texts, worker_tables
 from panelspark.llm.memo import Memo, spaced
 
 #: White space as rank-file tokenizers know it.
@@ -57,7 +56,7 @@ def _every() -> str:
     return "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
 
 
-@functools.cache
+@worker_tables
 def library_classes() -> dict[str, frozenset[int]]:
     """Code points of the classes L and N as the tiktoken library knows them, asked from the library itself."""
     found = {}
@@ -67,7 +66,7 @@ def library_classes() -> dict[str, frozenset[int]]:
     return found
 
 
-@functools.cache
+@worker_tables
 def _unlike() -> np.ndarray:
     """Which code points Python, the regex module and the library class differently: their Unicode versions differ."""
     classes, every = library_classes(), _every()
@@ -204,13 +203,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
-@functools.cache
+@worker_tables
 def load(path: str, pattern: str) -> Bpe:
-    """The encoder of a rank file, once for each Python process."""
+    """The encoder of a rank file, once for each Python worker as long as tasks use it."""
     return Bpe(read_ranks(path), pattern)
 
 
-@functools.cache
+@worker_tables
 def load_tokens(path: str) -> dict[int, bytes]:
     """The bytes of each token: all that decoding needs."""
     return {rank: token for token, rank in read_ranks(path).items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -16,6 +18,34 @@ from panelspark.session import stage
 PART_ROWS = 128
 #: Row numbers that may be broadcast (8 bytes each); beyond it the rows are shuffled to them.
 SENT_IDS = 2_000_000
+#: Tasks of a Python worker after which it drops the tables that none of them asked for. More than one, as operators that
+#: follow each other in a task may take turns in a worker.
+UNUSED = 4
+#: The calls of each function of ``worker_tables`` as the last task began, and the tasks since then without any.
+_TABLES: dict[Callable, list[int]] = {}
+
+
+def worker_tables(make: Callable) -> Callable:
+    """``functools.cache`` for what an operator builds once in a Python worker and does not need after its last task.
+
+    Spark goes on with the same workers for the operators after it, and its tables would be added to theirs.
+    """
+    cached = functools.cache(make)
+    _TABLES[cached] = [0, 0]
+    return cached
+
+
+def drop_unused() -> None:
+    """As a task begins: give back the memory of earlier ones, and tables that the last ``UNUSED`` tasks did not ask for."""
+    for cached, state in _TABLES.items():
+        info = cached.cache_info()
+        calls = info.hits + info.misses
+        state[:] = [calls, 0 if calls != state[0] else state[1] + 1]
+        if info.currsize and state[1] >= UNUSED:
+            cached.cache_clear()
+            state[:] = [0, 0]
+            gc.collect()  # tables and what they remember refer to each other
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,22 +67,26 @@ def map_texts(
     """``passed`` columns plus new ``fields``, computed from the column ``text`` part by part.
 
     ``start`` runs once in each task and gives a function from an Arrow array of texts to one column of values
-    for each field. Only the named columns travel to Python; other columns of ``df``, whatever their names, do not.
+    for each field. Only the named columns travel to Python, a ``text`` that is ``passed`` once; other columns of ``df``,
+    whatever their names, do not.
     """
     kinds = [to_arrow_type(f.dataType) for f in fields]
     names = [*passed, *(f.name for f in fields)]
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in passed] + list(fields))
+    sent = [F.col(c) for c in passed] + [F.col(text).alias("_text")] * (text not in passed)
+    at_column = list(passed).index(text) if text in passed else len(passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_unused()
         work = start()
         for batch in batches:
-            texts = batch.column(len(passed))
+            texts = batch.column(at_column)
             for at in range(0, batch.num_rows, PART_ROWS):
                 new = work(texts.slice(at, PART_ROWS))
                 new = [v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(new, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, PART_ROWS) for i in range(len(passed))] + new, names)
 
-    return df.select(*(F.col(c) for c in passed), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*sent).mapInArrow(run, schema)
 
 
 def keep_rows(df: DataFrame, text: str, start: Callable[[], Callable[[pa.Array], Sequence[bool]]]) -> DataFrame:
@@ -60,6 +94,7 @@ def keep_rows(df: DataFrame, text: str, start: Callable[[], Callable[[pa.Array],
     at_column = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_unused()
         work = start()
         for batch in batches:
             texts = batch.column(at_column)

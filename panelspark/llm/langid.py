@@ -14,7 +14,6 @@ are rejected (``accepted`` false), and at most ``REJECT_RATE`` of the rightly pr
 
 from __future__ import annotations
 
-import functools
 import math
 from dataclasses import dataclass
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import field, keep_rows, map_texts
+from panelspark.llm.common import field, keep_rows, map_texts, worker_tables
 
 UNKNOWN = "und"
 BUCKETS = 1 << 13
@@ -51,7 +50,7 @@ class Model:
     reject_below: float
 
 
-@functools.cache
+@worker_tables
 def _symbols() -> np.ndarray:
     """For each code point its lower-case letter, or 0 if it is no letter."""
     table = np.zeros(0x110000, np.uint32)

@@ -556,7 +556,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     mark = "fp"
     while any(name.lower().startswith(mark) for name in names):
         mark += "_"
-    marked = _with_bands(docs.withColumn(f"{mark}text", F.col(text)), f"{mark}text", tuple(names), mark)
+    marked = _with_bands(docs, text, tuple(names), mark)
     stored = numbered(marked, f"{mark}id", "marked")
     best = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.col(f"{mark}id").alias("id"))
     # the best of each set first, so that copies, however many, meet the roots as one row

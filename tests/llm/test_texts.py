@@ -13,8 +13,8 @@ from compare import connect, differences
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelspark.llm import decontaminate, main_text, quality_rules, queries, simhash, tool_links
-from panelspark.llm.common import table
+from panelspark.llm import common, decontaminate, main_text, quality_rules, queries, simhash, tool_links
+from panelspark.llm.common import field, map_texts, table
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -359,3 +359,42 @@ def test_search_among_near_copies_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == 500 * 4 and peak < 40 << 20
+
+
+def test_near_duplicates_send_texts_to_python_once(odd):
+    marked = simhash._with_bands(odd.withColumn("Text2", F.lit("x")), "text", (*odd.columns, "Text2"), "mark")
+    assert "_text" not in marked._jdf.queryExecution().executedPlan().toString()
+    apart = simhash._with_bands(odd, "text", ("doc_id",), "mark")
+    kinds = ["mark", "markn", "markbits", "markkeys"]
+    both = [sorted((r.doc_id or 0, *(r[k] for k in kinds)) for r in rows.collect()) for rows in (marked, apart)]
+    assert both[0] == both[1] and sorted(r.text or "" for r in marked.collect()) == sorted(r.text or "" for r in odd.collect())
+
+
+def test_workers_drop_the_tables_of_earlier_operators(spark, odd):
+    """A stage of other tasks leaves nothing of the tokenizer in the workers; its own tasks find it again."""
+
+    def held():
+        from panelspark.llm import bpe
+
+        return lambda texts: [[bpe.load.cache_info().currsize + bpe.library_classes.cache_info().currsize] * len(texts)]
+
+    assert all(r.round_trip for r in corpus_pipeline.tokens(spark, odd, "").collect())
+    rows = spark.range(400).withColumn("text", F.lit("some words")).repartition(200)
+    map_texts(rows, "text", ["id"], [field("held", "int")], held).collect()
+    last = map_texts(rows, "text", ["id"], [field("held", "int")], held).collect()
+    assert {r.held for r in last} == {0}
+
+
+def test_tables_stay_while_tasks_use_them(monkeypatch):
+    monkeypatch.setattr(common, "_TABLES", {})
+    made = []
+    tables = common.worker_tables(lambda key: made.append(key) or key)
+    for task in range(3 * common.UNUSED):  # operators that take turns in a worker
+        common.drop_unused()
+        if task % 2:
+            tables("a")
+    assert made == ["a"]
+    for _ in range(common.UNUSED + 1):
+        common.drop_unused()
+    assert tables.cache_info().currsize == 0
+    assert tables("a") == "a" and made == ["a", "a"]
