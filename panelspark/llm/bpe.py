@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -52,40 +52,49 @@ def _ranges(codes: Iterable[int]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
-def _every() -> str:
-    return "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+def _planes() -> Iterator[str]:
+    """All code points but surrogates, a plane at a time, as objects for all at once would fill a worker's memory."""
+    for at in range(0, 0x110000, 0x10000):
+        yield "".join(chr(c) for c in range(at, at + 0x10000) if not 0xD800 <= c < 0xE000)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 @worker_tables
-def library_classes() -> dict[str, frozenset[int]]:
-    """Code points of the classes L and N as the tiktoken library knows them, asked from the library itself."""
+def library_classes() -> dict[str, np.ndarray]:
+    """Which code points are in the classes L and N as the tiktoken library knows them, asked from the library itself."""
     found = {}
     for name in "LN":
         one = tiktoken.Encoding("class", pat_str=rf"\p{{{name}}}", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-        found[name] = frozenset(map(ord, bytes(one.encode_ordinary(_every())).decode()))
+        found[name] = np.zeros(0x110000, bool)
+        for chars in _planes():
+            found[name][_codes(bytes(one.encode_ordinary(chars)).decode())] = True
     return found
 
 
 @worker_tables
 def _unlike() -> np.ndarray:
     """Which code points Python, the regex module and the library class differently: their Unicode versions differ."""
-    classes, every = library_classes(), _every()
-    letters, numbers = (frozenset(map(ord, regex.findall(rf"\p{{{name}}}", every))) for name in "LN")
-    alpha = frozenset(ord(c) for c in every if c.isalpha())
-    out = np.zeros(0x110000, bool)
-    out[list((letters ^ classes["L"]) | (numbers ^ classes["N"]) | (alpha ^ classes["L"]))] = True
-    return out
+    classes = library_classes()
+    letters, numbers, alpha = (np.zeros(0x110000, bool) for _ in range(3))
+    for chars in _planes():
+        letters[_codes(regex.sub(r"\P{L}+", "", chars))] = True
+        numbers[_codes(regex.sub(r"\P{N}+", "", chars))] = True
+        alpha[_codes("".join(filter(str.isalpha, chars)))] = True
+    return (letters ^ classes["L"]) | (numbers ^ classes["N"]) | (alpha ^ classes["L"])
 
 
 def unlike(text: str) -> bool:
     """Whether a text has such a code point."""
-    return not text.isascii() and bool(_unlike()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any())
+    return not text.isascii() and bool(_unlike()[_codes(text)].any())
 
 
 def library_pattern(pattern: str) -> regex.Pattern:
     """The pattern with the library's classes spelled out; much slower, so only for texts in which ``unlike`` finds something."""
-    for name, codes in library_classes().items():
-        listed, mark = _ranges(sorted(codes)), rf"\p{{{name}}}"
+    for name, inside in library_classes().items():
+        listed, mark = _ranges(np.flatnonzero(inside).tolist()), rf"\p{{{name}}}"
         # inside a class the ranges stand as they are, elsewhere as a class of their own
         parts, depth = [], 0
         for piece in re.split(r"((?<!\\)[\[\]])", pattern):
@@ -102,6 +111,7 @@ class Bpe:
         self.ranks, self.pattern, self.given, self.slow = ranks, exact_pattern(pattern), pattern, None
         self.tokens = {i: t for t, i in ranks.items()}
         self.size = {i: len(t) for t, i in ranks.items()}
+        self.base = max(ranks.values(), default=0) + 1
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), i)
@@ -129,13 +139,13 @@ class Bpe:
         text = self.tokens[token]
         return next((self.ranks[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.ranks), -1)
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        """Whether merges of the two tokens' bytes, side by side, leave the two tokens.
+    def _compatible(self, pair: int) -> bool:
+        """Whether merges of the two tokens' bytes, side by side, leave the two tokens; ``pair`` is the left one times ``base`` plus the right.
 
         The merges of both sides are undone from the last; as soon as the tokens at the border could have been merged
         before the one that was undone, the border would not have stayed.
         """
-        left, right = pair
+        left, right = divmod(pair, self.base)
         limit = None
         while True:
             joined = self.made.get((left, right))
@@ -155,7 +165,7 @@ class Bpe:
         whole = self.ranks.get(match)
         if whole is not None:
             return [whole]
-        n, size, shorter, compatible = len(match), self.size, self.shorter, self.compatible
+        n, size, shorter, compatible, base = len(match), self.size, self.shorter, self.compatible, self.base
         longest = [0] * n
         for last, token in self.automaton.iter(match.decode("latin-1")):
             longest[last + 1 - size[token]] = token  # matches come by their ends, so a later one is longer
@@ -165,7 +175,7 @@ class Bpe:
         token = longest[0] if n else 0
         while at < n:
             end = at + size[token]
-            if not stuck[end] and (not out or compatible[out[-1], token]):
+            if not stuck[end] and (not out or compatible[out[-1] * base + token]):
                 out.append(token)
                 at = end
                 token = longest[at] if at < n else 0

@@ -556,9 +556,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     mark = "fp"
     while any(name.lower().startswith(mark) for name in names):
         mark += "_"
-    marked = _with_bands(docs, text, tuple(names), mark)
+    marked = _with_bands(docs, text, tuple(names), mark).withColumn(f"{mark}hash", F.xxhash64(text))
     stored = numbered(marked, f"{mark}id", "marked")
-    best = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.col(f"{mark}id").alias("id"))
+    best = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(f"{mark}hash"), F.col(f"{mark}id").alias("id"))  # texts aren't read for it
     # the best of each set first, so that copies, however many, meet the roots as one row
     rows = stored.groupBy(F.col(mark).alias("fp")).agg(F.min(best).alias("best"))
     roots = stage(similar_sets(stored, text, mark), "roots")

@@ -376,7 +376,7 @@ def test_workers_drop_the_tables_of_earlier_operators(spark, odd):
     def held():
         from panelspark.llm import bpe
 
-        return lambda texts: [[bpe.load.cache_info().currsize + bpe.library_classes.cache_info().currsize] * len(texts)]
+        return lambda texts: [[bpe.load.cache_info().currsize + bpe._unlike.cache_info().currsize] * len(texts)]
 
     assert all(r.round_trip for r in corpus_pipeline.tokens(spark, odd, "").collect())
     rows = spark.range(400).withColumn("text", F.lit("some words")).repartition(200)

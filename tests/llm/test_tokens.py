@@ -148,3 +148,15 @@ def test_bpe_gives_the_library_ids_for_every_code_point(reference):
     for at in range(0, len(codes), 48):
         text = "".join(f"a{chr(c)}'s {chr(c)}1 {chr(c)}\n" for c in codes[at : at + 48])
         assert np.frombuffer(own.encode(text), "<i4").tolist() == reference.encode_ordinary(text), hex(codes[at])
+
+
+def test_bpe_tables_take_little_memory():
+    import tracemalloc
+
+    bpe._unlike.cache_clear(), bpe.library_classes.cache_clear()
+    tracemalloc.start()
+    assert not bpe.unlike("aé1²Ⅷ一")
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 5 << 20 and peak < 16 << 20
+    assert bpe.library_classes()["N"][ord("²")] and not bpe.library_classes()["N"][ord("a")]
