@@ -1,6 +1,8 @@
 """Ledger rows stay where their area and category are dealt out, and find what they need there."""
 
 import datetime as dt
+import math
+import random
 import re
 
 import pytest
@@ -8,6 +10,7 @@ from frames import month, obs_frame
 from pyspark.sql import functions as F
 
 from panelspark.operators import governance as G
+from panelspark.operators import intervals as IV
 from panelspark.operators import ledger as L
 from panelspark.operators import metrics as ME
 from panelspark.plans import load
@@ -140,3 +143,47 @@ def test_whole_days_are_what_two_roundings_give(spark):
     df = spark.createDataFrame([(x,) for x in odd + [i / 7 - 300 for i in range(4000)]], "x double")
     slow = F.bround(F.round("x", 6)).cast("int")
     assert df.filter(~P.V.whole_days(F.col("x")).eqNullSafe(slow)).count() == 0
+
+
+def one_by_one(calibration, online, alpha, gamma):
+    """The replay of one series and step size, a month at a time."""
+    pool, level, hits, width = sorted(map(abs, calibration)), alpha, 0, 0.0
+    for r in map(abs, online):
+        half = pool[math.ceil(round((1.0 - min(max(level, 1e-3), 0.999)) * (len(pool) - 1), 9))]
+        hits, width = hits + (r <= half), width + 2.0 * half
+        level += gamma * (alpha - (0.0 if r <= half else 1.0))
+        pool = sorted([*pool, r])
+    return hits, width
+
+
+def test_replay_of_a_batch_is_that_of_each_series(spark):
+    rng = random.Random(4)
+    series = {f"s{i}": [float(rng.choice([0, 30, -30, 61, 15.5]) * (1 + i % 3)) for _ in range(n)] for i, n in enumerate([1, 2, 3, 7, 20, 59, 41, 12])}
+    rows = [(k, month(i), r) for k, v in series.items() for i, r in enumerate(v)] + [("s3", month(99), None)]
+    df = spark.createDataFrame(rows, "k string, date date, resid double").repartition(3)
+    out = IV.aci_replay(df, ["k"])
+    want = {}
+    for k, v in series.items():
+        cut = max(1, int(len(v) * 2 / 3 + 1e-9))
+        want |= {(k, g): (len(v) - cut, *one_by_one(v[:cut], v[cut:], 0.05, g)) for g in IV.ACI_GAMMAS if len(v) > cut}
+    assert {(r["k"], r["gamma"]): (r["n"], r["hits"], r["width"]) for r in out.collect()} == want
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drift_reads_its_scorecard_once(spark):
+    rows = [("2006-01", 1, "FAD", 1.0, 1), ("2006-01", 2, "FAD", 9.0, 0), ("2006-02", 1, "FAD", 2.0, 1), ("2006-02", 1, "DFF", None, 0), ("2006-02", 1, "DFF", 4.0, 1)]
+    card = spark.createDataFrame(rows, "origin string, h int, `table` string, scaled_err double, in95 int")
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    row = G.performance_drift(card.mapInPandas(counted, card.schema), min_n=3).first()
+    assert runs.value == len(rows)
+    assert (row["latest_vintage"], row["latest_n"], row["latest_mase"], row["baseline_mase"], row["baseline_n"]) == ("2006-02", 3, 3.0, 1.0, 1)
+    assert row["latest_cov95"] == pytest.approx(2 / 3) and row["performance_drift"] and row["coverage_drift"]
+    flags = G.vintage_flags(card.mapInPandas(counted, card.schema))
+    assert {tuple(r) for r in flags.collect()} == {("2006-01", True), ("2006-02", False)} and runs.value == 2 * len(rows)
+    assert {tuple(r) for r in G.vintage_flags(card, ["table"]).collect()} == {("FAD", "2006-01", True), ("FAD", "2006-02", False), ("DFF", "2006-02", False)}
